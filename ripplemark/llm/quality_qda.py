@@ -4,7 +4,7 @@ Document statistics are made into log-ratios; each class has a mean and a
 covariance shrunk towards its diagonal and a pooled scale; the score is the
 logistic of the difference of the two Mahalanobis log-densities, made with the
 Cholesky factors kept in the model.  It is fitted on at most ``PER_CLASS``
-labelled documents a class, picked by a hash of the id.
+labelled documents of class 0 and 1, picked by a hash of the id.
 
 Null text counts as empty and is scored like any text; rows with equal ids are
 scored alike; labels that are null or neither 0 nor 1 are left out; without
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import byte_slices
 from .rules_cascade import Statistics, per_document
 
-PER_CLASS = 4000
+PER_CLASS = (4000, 4000)
 SHRINK = 0.1
 THRESHOLD = 0.7
 _BANG = np.zeros(256, bool)
@@ -98,18 +98,18 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = SHRINK) -> Model | None:
     return Model(centre, scale, tuple(means), tuple(factors), tuple(constants))
 
 
-def pick_labelled(labels: DataFrame, id_col: str, label_col: str, per_class: int, held_out) -> DataFrame:
-    """At most about per_class ids of each label 0 and 1, of rows not held out, by a hash of the id."""
+def pick_labelled(labels: DataFrame, id_col: str, label_col: str, per_class: tuple[int, int], held_out) -> DataFrame:
+    """At most about per_class ids of labels 0 and 1, of rows not held out, by a hash of the id."""
     rows = labels.filter(~held_out & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label"))
     sizes = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
     spread = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_003))
     keep = F.lit(False)
     for k in (0, 1):
-        keep = keep | ((F.col("_label") == k) & (spread < int(1_000_003 * min(1.0, per_class / max(1, sizes.get(k, 0))))))
-    return rows.filter(keep).groupBy(id_col).agg(F.max("_label").alias("_label")).limit(4 * per_class)
+        keep = keep | ((F.col("_label") == k) & (spread < int(1_000_003 * min(1.0, per_class[k] / max(1, sizes.get(k, 0))))))
+    return rows.filter(keep).groupBy(id_col).agg(F.max("_label").alias("_label")).limit(4 * sum(per_class))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: tuple[int, int] = PER_CLASS) -> Model | None:
     """Fit on the labelled sample; what reaches the driver is its feature rows."""
     picked = pick_labelled(labels, id_col, label_col, per_class, held_out)
 
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
                 x = features(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).slice(low, high - low)], names=["x", "y"])
 
-    # picked holds at most 4 * per_class rows
+    # picked holds at most 4 * sum(per_class) rows
     sample = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "_label").mapInArrow(rows, "x array<double>, y int").collect()
     sample = sorted((tuple(r[0]), r[1]) for r in sample)
     if not sample:

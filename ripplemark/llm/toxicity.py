@@ -7,7 +7,7 @@ near by raises it, a negation before it or reported speech lowers it.  The
 document's score is the logistic of its clauses' weights.
 
 Which words (and word beginnings) are insults, and how much each weighs, is
-learned from at most about ``PER_CLASS`` labelled documents a class.
+learned from at most about ``PER_CLASS`` labelled documents of class 0 and 1.
 
 Null and empty text and text without any match get the base score; labels
 that are null or neither 0 nor 1 are left out; without labels only threats
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from dataclasses import dataclass
 from functools import cache, reduce
 
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .quality_qda import pick_labelled
 
-PER_CLASS = 6000
+PER_CLASS = (6000, 3000)
 LEAST_SUPPORT = 5
-MOST_STEMS = 4096
+MOST_FEATURES = 65_536
 BASE = -3.0
 #: Function words of the grammar, by class, in English, German, French and Spanish.
 TARGETS = frozenset("you your yours he she they them him her we us du ihr euch sie er dich dir tu toi vous te il elle ils tú usted ustedes él ella ellos ti".split())
@@ -177,26 +179,36 @@ def score_text(text: str | None, machine) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, BASE + sum(clause_weights(text, machine))))))
 
 
-def _features(text: str) -> set[str]:
-    out = set()
-    for w in set(_TOKEN.findall(text.lower())):
-        out.add(w)
-        out.update(w[:k] + "*" for k in range(3, 8) if len(w) > k)
+def _features(text: str) -> dict[str, int]:
+    """{word or beginning of a word: hash of the words around its first place}."""
+    out: dict[str, int] = {}
+    words = _TOKEN.findall(text.lower())
+    for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+        if w not in out:
+            around = zlib.crc32(f"{before} {after}".encode())
+            out[w] = around
+            for k in range(3, min(8, len(w))):
+                out.setdefault(w[:k] + "*", around)
     return out
 
 
 def choose(counts: list[tuple[str, int, int]], n: tuple[int, int], least: int = LEAST_SUPPORT) -> Model:
-    """Words and stems whose documents are toxic far beyond chance.
+    """Words and beginnings of words whose documents are toxic far beyond chance.
 
-    counts: (feature, clean documents, toxic documents).  A stem is taken only
-    if it is surer than chance allows and not merely the beginning of a taken
-    word: its support must pass that of every one of its words.
+    counts: (feature, clean documents, toxic contexts).  A word of so many
+    documents would be in toxic ones alone by chance with the toxic share's
+    power; the support asked for makes that rare over all features.  A
+    beginning is taken only if it stands in clearly more contexts than any one
+    of its words.
     """
+    share = n[1] / (n[0] + n[1])
+    rivals = sum(toxic >= least for _, _, toxic in counts)
+    least = max(least, math.ceil(math.log(100 * max(rivals, 1)) / -math.log(share)))
     scored = {}
     for f, clean, toxic in counts:
         if toxic >= least:
             odds = math.log((toxic + 0.5) / (n[1] + 1)) - math.log((clean + 0.5) / (n[0] + 1))
-            if odds > 3.0 and clean <= 0.02 * toxic:
+            if odds > 3.0:
                 scored[f] = (min(odds, 8.0), toxic)
     words = {f: w for f, (w, _) in scored.items() if f[-1] != "*"}
     most: dict[str, int] = {}
@@ -211,25 +223,46 @@ def choose(counts: list[tuple[str, int, int]], n: tuple[int, int], least: int =
     return Model(words, stems)
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Count words and word beginnings by class over the labelled sample; the driver gets at most MOST_STEMS of them."""
+def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model:
+    """Count words and word beginnings over the labelled sample; the driver gets at most MOST_FEATURES of them.
+
+    Support is the number of different contexts, so copies of one document
+    count once.
+    """
     picked = pick_labelled(labels, id_col, label_col, per_class, held_out)
 
     def rows(batches):
+        clean: dict[str, int] = {}
+        n = [0, 0]
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(list(clean), pa.string()), pa.nulls(len(clean), pa.int64()), pa.array(list(clean.values()), pa.int64())], names=["f", "around", "clean"])
+
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sorted(_features(text or ""))
-                yield pa.RecordBatch.from_arrays([pa.array(["", *found]), pa.array([label] * (len(found) + 1), pa.int32())], names=["f", "y"])
-
-    # picked holds at most 4 * per_class rows
-    sample = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "_label").mapInArrow(rows, "f string, y int")
-    sums = sample.groupBy("f").agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic"))
-    total = sums.filter("f = ''").first()
-    if total is None or not total["clean"] or not total["toxic"]:
+                found = _features(text or "")
+                n[label] += 1
+                if label:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64()), pa.array([0] * len(found), pa.int64())], names=["f", "around", "clean"])
+                else:
+                    for f in found:
+                        clean[f] = clean.get(f, 0) + 1
+                if len(clean) > 1_000_000:
+                    yield flush()
+                    clean.clear()
+        if clean:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array(["", " "]), pa.nulls(2, pa.int64()), pa.array(n, pa.int64())], names=["f", "around", "clean"])
+
+    # picked holds at most 4 * (6000 + 3000) rows
+    sample = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "_label").mapInArrow(rows, "f string, around long, clean long")
+    sums = materialize(sample.groupBy("f", "around").agg(F.sum("clean").alias("clean")).groupBy("f").agg(F.sum("clean").alias("clean"), F.count("around").alias("toxic")), "toxic-features")
+    total = {r["f"]: r["clean"] for r in sums.filter(F.col("f").isin("", " ")).collect()}
+    n = (total.get("", 0), total.get(" ", 0))
+    if not all(n):
         return Model({}, {})
-    n = (total["clean"], total["toxic"])
-    best = sums.filter((F.col("f") != "") & (F.col("toxic") >= LEAST_SUPPORT) & (F.col("clean") <= 0.02 * F.col("toxic")))
-    best = best.orderBy(F.desc("toxic"), "f").limit(MOST_STEMS).collect()
+    best = sums.filter((F.length(F.trim("f")) > 0) & (F.col("toxic") >= LEAST_SUPPORT) & (F.col("clean") * n[1] <= F.col("toxic") * n[0] * 0.05))
+    best = best.orderBy(F.desc("toxic"), "f").limit(MOST_FEATURES).collect()
     return choose([(r["f"], r["clean"], r["toxic"]) for r in best], n)
 
 
