@@ -128,7 +128,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     """(packed rows; taken pieces with the times, 1 or 2, that the mix takes each)."""
     rows, targets = packed(docs, id_col, source_col, text_col, block)
     times = slots(targets, block).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    return rows, pieces(rows, block).join(times, ["rank", "block"])
+    return rows, pieces(rows, block).join(times.hint("merge"), ["rank", "block"])
 
 
 def mix_digest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK) -> DataFrame:
