@@ -241,7 +241,7 @@ def test_transducers_compose():
 
 
 def test_toxicity_odd_rows(spark, odd, empty):
-    docs = spark.createDataFrame([(i, f"you awful w{i} blorg here" if i % 2 else f"fine w{i} words here") for i in range(40)] + [(None, None), (41, ""), (42, "blorg " * 5000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"you awful {chr(97 + i % 26) * (2 + i // 26)} blorg here" if i % 2 else f"fine {chr(97 + i % 26) * 2} words here") for i in range(40)] + [(None, None), (41, ""), (42, "blorg " * 5000)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (41, None), (3, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, F.lit(False))
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, model).collect()}
