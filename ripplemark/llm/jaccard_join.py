@@ -11,11 +11,12 @@ Order of rarity: shingles that a task meets often get their count over all
 documents, and the others count as rarest; any order is right, and this one
 keeps passages that many documents share out of prefixes.
 
-A prefix shingle of many classes is not paired in full at first: its classes
-are dealt to lots of ``LOT`` and each meets its lot's least.  When components of
-those links are known, lots that lie in more than one component are paired
-across components, in full.  So no link between different texts is lost, and
-groups of near copies do not grow as squares.
+A prefix shingle of more than ``LOT`` classes is not paired in full at first:
+each class meets the one at whose set's begin the shingle stands earliest, which
+of a group of near copies is the one with the fewest shingles of its own.  When
+components of those links are known, a shingle whose classes lie in several of
+them is paired across components, in full.  So no link between different texts
+is lost, and groups of near copies do not grow as squares.
 
 A null text, or one without words, has an empty set and is alone; one of fewer
 than k words has its whole sequence as its one shingle; of rows with equal ids
@@ -142,11 +143,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
 
 
 def _may_link(a, b, num: int, den: int):
-    """Length and positional filters on rows (n, pos) that share a shingle at their places pos."""
-    least = F.ceil(F.lit(num) * (a["n"] + b["n"]) / F.lit(num + den)) # intersection needed
+    """Length and positional filters on rows (n, pos) that share a shingle at their places pos.
+
+    The bound takes the shingle for the first that both share, as it is once
+    for every pair; where it is a later one the pair may be left out.
+    """
+    least = F.ceil(F.lit(num) * (a["n"] + b["n"]) / F.lit(num + den))  # intersection needed
     left = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
-    shared = F.least(a["pos"], b["pos"]) + left
-    return (F.lit(den) * F.least(a["n"], b["n"]) >= F.lit(num) * F.greatest(a["n"], b["n"])) & (shared >= least)
+    return (F.lit(den) * F.least(a["n"], b["n"]) >= F.lit(num) * F.greatest(a["n"], b["n"])) & (left >= least)
 
 
 def _check(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
@@ -202,19 +206,17 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = reps.select("id", "n", F.posexplode("prefix").alias("pos", "g"))
     counts = materialize(rows.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
     rows = materialize(rows.join(counts, "g"), "jaccard-prefixes")
-    # lots: a rare shingle's classes are one lot and meet in full; of a common one, each meets its lot's least
-    lots = F.ceil(F.col("m") / LOT)
-    dealt = rows.withColumn("lot", F.pmod(F.xxhash64("id", "g"), lots))
-    small = dealt.filter(F.col("m") <= LOT).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "n", "pos"))).alias("all"))
+    # of a rare shingle, all classes meet; of a common one, each meets the one with the fewest shingles of its own
+    small = rows.filter(F.col("m") <= LOT).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "n", "pos"))).alias("all"))
     meets = small.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.lit(LOT)), lambda y: _may_link(x, y, num, den)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))).alias("p")).select("p.a", "p.b")
-    big = dealt.filter(F.col("m") > LOT)
-    least = big.groupBy("g", "lot").agg(F.min(F.struct("id", "n", "pos")).alias("x"))
-    star = big.join(least, ["g", "lot"]).filter(F.col("x.id") < F.col("id"))
-    star = star.filter(_may_link(F.col("x"), F.struct("n", "pos"), num, den)).select(F.col("x.id").alias("a"), F.col("id").alias("b"))
+    big = rows.filter(F.col("m") > LOT)
+    hubs = materialize(big.groupBy("g").agg(F.min(F.struct("pos", "id", "n")).alias("x")), "jaccard-hubs")
+    star = big.join(hubs, "g").filter(F.col("x.id") != F.col("id"))
+    star = star.filter(_may_link(F.col("x"), F.struct("n", "pos"), num, den)).select(F.least("x.id", "id").alias("a"), F.greatest("x.id", "id").alias("b"))
     pairs = materialize(meets.union(star).distinct(), "jaccard-candidates")
     links = materialize(_check(pairs, docs, reps, id_col, text_col, k, num, den), "jaccard-links")
     components = connected_components(links, "jaccard-components")
-    # what the lots left out: classes of one common shingle that are not yet in one component
+    # what the hubs left out: classes of one common shingle that are not yet in one component
     big = big.select("g", "id", "n", "pos").join(components, F.col("id") == F.col("node"), "left")
     big = big.select("g", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     apart = big.groupBy("g").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("g")
