@@ -1 +1 @@
-
+"""Operators of the impact graph; each takes and returns DataFrames."""

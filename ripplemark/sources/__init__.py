@@ -1 +1 @@
-
+"""Where files, diffs and commits come from."""

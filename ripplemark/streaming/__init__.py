@@ -1 +1 @@
-
+"""Changes and events as they come, on Structured Streaming."""
