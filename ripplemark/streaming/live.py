@@ -15,14 +15,14 @@ from ..operators.parsing import parse_files
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
     """(window_start, event_type, events, total): tumbling windows; late is how long a stream waits for stragglers."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     out = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "events", "total")
 
 
 def sessions(events: DataFrame, gap: str = "1 hour", late: str | None = None) -> DataFrame:
     """(user_id, session_start, session_end, events): runs of a user's events with no longer pause than gap."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"))
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
