@@ -214,7 +214,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def rows(batches):
         for batch in batches:
-            for low, high, data, offsets in byte_slices(batch.column(1), 1 << 23):
+            for low, high, data, offsets in byte_slices(batch.column(1), 1 << 21):
                 w, path, held = _label(data, offsets, model, switch)
                 letters = held.sum(axis=1)
                 top = held.argmax(axis=1)
