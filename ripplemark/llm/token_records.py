@@ -34,7 +34,7 @@ from .common import Hasher, byte_slices, shared_dir
 
 END_ID = 2
 #: Distinct pieces that an encoder keeps between slices.
-MOST_PIECES = 2_000_000
+MOST_PIECES = 1_000_000
 _ENCODERS: dict[str, BatchEncoder] = {}
 _INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8")])
 
@@ -216,7 +216,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
 
         for batch in batches:
             parts, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for low, _, data, offsets in byte_slices(batch.column(2), 1 << 23):
+            for low, _, data, offsets in byte_slices(batch.column(2), 1 << 22):
                 ids, upto = encoder.encode(data, offsets)
                 raw = memoryview(ids.astype(kind).tobytes())
                 for row in range(offsets.size - 1):
