@@ -88,10 +88,10 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int = FREQUE
 
         size = 0
         for batch in batches:
-            for _, _, data, offsets in byte_slices(batch.column(0)):
+            for _, _, data, offsets in byte_slices(batch.column(0), 1 << 21):
                 pending.append(_sets(data, offsets, k)[1])
                 size += pending[-1].size
-                if size > 2_000_000:
+                if size > 1_000_000:
                     merge()
                     size = 0
         merge()
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
     def rows(batches):
         hashes, counts = common.value
         for batch in batches:
-            for low, high, data, offsets in byte_slices(batch.column(1)):
+            for low, high, data, offsets in byte_slices(batch.column(1), 1 << 21):
                 owner, found = _sets(data, offsets, k)
                 docs_ = high - low
                 n = np.bincount(owner, minlength=docs_)
