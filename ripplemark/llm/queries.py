@@ -108,7 +108,7 @@ WITH t AS (
   FROM g LEFT JOIN rep USING (doc_id)
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR 100 * n_repeat_words > 20 * n_words
+  NOT base_failed AND NOT (10 * n_symbols > n_words OR 10 * n_dup_lines > 6 * n_lines OR 100 * n_repeat_words > 40 * n_words
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * up > up + lo OR 10 * worded < 7 * n_words) AS kept
 FROM b""",
 }

@@ -123,11 +123,11 @@ def _symbols(c, s):
 
 def _lines(c, s):
     n, again = s.lines()
-    return 10 * again > 3 * n
+    return 10 * again > 6 * n
 
 
 def _repeats(c, s):
-    return 100 * c["n_repeat_words"] > 20 * c["n_words"]
+    return 100 * c["n_repeat_words"] > 40 * c["n_words"]
 
 
 def _lengths(c, s):
