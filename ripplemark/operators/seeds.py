@@ -38,9 +38,16 @@ def diff_table(spark: SparkSession, text: str) -> DataFrame:
 
 
 def matched_files(paths: DataFrame, changes: DataFrame) -> DataFrame:
-    """(path, file): a graph path and a diff path of which one ends with the other; the diff's side is small."""
-    named = F.broadcast(changes.select("file").distinct()) if changes.select("file").distinct().limit(10_001).count() <= 10_000 else changes.select("file").distinct()
-    return paths.select(F.col("file").alias("path")).filter("path != ''").distinct().join(named, F.col("path").endswith(F.col("file")) | F.col("file").endswith(F.col("path")))
+    """(path, file): a graph path and a diff path of which one ends with the other.
+
+    Every ending of either side is matched as a key, so this is two equi-joins.
+    """
+    endings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), i, F.length(c))))
+    own = paths.select(F.col("file").alias("path")).filter("path != ''").distinct()
+    named = changes.select("file").filter("file != ''").distinct()
+    longer = own.select("path", endings("path").alias("file")).join(named, "file")
+    shorter = named.select("file", endings("file").alias("path")).join(own, "path")
+    return longer.select("path", "file").union(shorter.select("path", "file")).distinct()
 
 
 def seed_nodes(nodes: DataFrame, changes: DataFrame, tolerance: int = 2, spans: bool = True) -> DataFrame:

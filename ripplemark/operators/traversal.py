@@ -251,8 +251,14 @@ def rank_impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k_hops: in
 
 
 def ranked(rows: DataFrame, score: str, tie: str) -> DataFrame:
-    """rows with rank 1, 2, ... by score; a report's rows, few by nature."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), tie)))
+    """rows with rank 1, 2, ... by score: a place in its sorted partition, after those of the partitions before."""
+    order = (F.desc(score), F.col(tie))
+    parts = written(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    out = parts.withColumn("_place", place).join(F.broadcast(before.select("_part", "_before")), "_part")
+    return out.withColumn("rank", (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("int")).drop("_part", "_place", "_before")
 
 
 # ------------------------------------------------------------------------ evidence

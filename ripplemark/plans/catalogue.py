@@ -108,26 +108,27 @@ def symbol_inverted_index(spark, sf_dir):
 
 
 @query(
-    """WITH refs AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey <= 200),
-cand AS (SELECT l_orderkey, l_partkey, d.p_partkey AS target,
-  CASE WHEN d.p_partkey = l_partkey AND l_partkey % 3 = 2 THEN 1 WHEN d.p_brand = s.p_brand AND l_partkey % 3 <> 1 THEN 2 WHEN d.p_type = s.p_type THEN 3 ELSE 4 END AS tier,
-  count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS n
+    """WITH refs AS (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem),
+cand AS (SELECT l_returnflag, l_partkey, d.p_partkey AS target,
+  CASE WHEN d.p_partkey = l_partkey AND l_returnflag = 'R' THEN 1 WHEN d.p_brand = s.p_brand AND l_returnflag <> 'A' THEN 2 WHEN d.p_type = s.p_type THEN 3 ELSE 4 END AS tier,
+  count(*) OVER (PARTITION BY l_returnflag, l_partkey) AS n
   FROM refs JOIN part s ON s.p_partkey = l_partkey JOIN part d ON d.p_name = s.p_name),
-best AS (SELECT *, min(tier) OVER (PARTITION BY l_orderkey, l_partkey) AS m FROM cand)
-SELECT l_orderkey, l_partkey, target, CASE tier WHEN 1 THEN 'import_exact' WHEN 2 THEN 'local_exact' WHEN 3 THEN 'sibling_module' ELSE CASE WHEN n = 1 THEN 'repo_unique' ELSE 'repo_ambiguous' END END AS method FROM best WHERE tier = m"""
+best AS (SELECT *, min(tier) OVER (PARTITION BY l_returnflag, l_partkey) AS m FROM cand)
+SELECT l_returnflag, l_partkey, target, CASE tier WHEN 1 THEN 'import_exact' WHEN 2 THEN 'local_exact' WHEN 3 THEN 'sibling_module' ELSE CASE WHEN n = 1 THEN 'repo_unique' ELSE 'repo_ambiguous' END END AS method FROM best WHERE tier = m"""
 )
 def tiered_resolution(spark, sf_dir):
-    """Parts of the first orders to the parts of their name: itself, else of its brand, else of its type, else any."""
+    """Sold parts to the parts of their name: returned ones to themselves, others to those of their brand, else of their type, else any."""
     p = table(spark, sf_dir, "part")
-    refs = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 200").select("l_orderkey", "l_partkey").distinct()
+    refs = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey").distinct()
     here = p.select(F.col("p_partkey").alias("l_partkey"), "p_name", F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
     cand = refs.join(here, "l_partkey").join(p.select("p_name", F.col("p_partkey").alias("target"), "p_brand", "p_type"), "p_name")
-    third = F.col("l_partkey") % 3
-    tier = F.when((F.col("target") == F.col("l_partkey")) & (third == 2), 1).when((F.col("p_brand") == F.col("brand")) & (third != 1), 2).when(F.col("p_type") == F.col("kind"), 3).otherwise(4)
-    cand = cand.withColumn("tier", tier).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey", "l_partkey")))
-    best = linking.keep_least(cand, ["l_orderkey", "l_partkey"], F.col("tier"))
+    flag = F.col("l_returnflag")
+    tier = F.when((F.col("target") == F.col("l_partkey")) & (flag == "R"), 1).when((F.col("p_brand") == F.col("brand")) & (flag != "A"), 2).when(F.col("p_type") == F.col("kind"), 3).otherwise(4)
+    keys = ["l_returnflag", "l_partkey"]
+    cand = cand.withColumn("tier", tier).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    best = linking.keep_least(cand, keys, F.col("tier"))
     method = F.when(F.col("tier") == 1, "import_exact").when(F.col("tier") == 2, "local_exact").when(F.col("tier") == 3, "sibling_module").when(F.col("n") == 1, "repo_unique").otherwise("repo_ambiguous")
-    return best.select("l_orderkey", "l_partkey", "target", method.alias("method"))
+    return best.select(*keys, "target", method.alias("method"))
 
 
 @query("SELECT p_name AS name, count(*) AS defs, CASE WHEN count(*) = 1 THEN 'repo_unique' ELSE 'repo_ambiguous' END AS method, CASE WHEN count(*) = 1 THEN 0.5 ELSE 0.35 END::DOUBLE AS confidence FROM part GROUP BY ALL")
@@ -203,31 +204,31 @@ _NODES_BY_LINES = "SELECT l_orderkey || ':' || l_partkey AS node_id, 'order/' ||
 
 
 @query(
-    f"""WITH n AS ({_NODES_BY_LINES}), c AS (SELECT 'order/' || o_orderkey AS file, 1 + o_custkey % 30 AS chg FROM orders WHERE o_orderkey % 10 = 0)
+    f"""WITH n AS ({_NODES_BY_LINES}), c AS (SELECT 'order/' || o_orderkey AS file, 1 + o_custkey % 30 AS chg FROM orders)
 SELECT DISTINCT node_id FROM n JOIN c USING (file) WHERE abs(line - chg) <= 2 OR abs(end_line - chg) <= 2 OR (line <= chg AND chg <= end_line)"""
 )
 def seed_range_join(spark, sf_dir):
-    """Call sites whose lines the changes of every tenth order touch."""
+    """Call sites whose lines a change of its order touches."""
     item = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg((F.min("l_linenumber") * 4).alias("line"), F.min("l_quantity").cast("int").alias("q"))
     nodes = item.select(F.concat_ws(":", "l_orderkey", "l_partkey").alias("node_id"), F.concat(F.lit("order/"), "l_orderkey").alias("file"), "line", (F.col("line") + F.col("q") % 5).alias("end_line"), F.lit("call").alias("category"))
-    changes = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.concat(F.lit("order/"), "o_orderkey").alias("file"), (1 + F.col("o_custkey") % 30).alias("at"))
+    changes = table(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("file"), (1 + F.col("o_custkey") % 30).alias("at"))
     near = (F.abs(F.col("line") - F.col("at")) <= 2) | (F.abs(F.col("end_line") - F.col("at")) <= 2) | ((F.col("line") <= F.col("at")) & (F.col("at") <= F.col("end_line")))
     return nodes.join(changes, "file").filter(near).select("node_id").distinct()
 
 
 @query(
     """WITH n AS (SELECT o_orderkey, 'src/cust' || o_custkey || '.py' AS file, (1 + o_orderkey % 50)::INTEGER AS line, (1 + o_orderkey % 50 + o_custkey % 7)::INTEGER AS end_line FROM orders),
-c AS (SELECT 'cust' || c_custkey || '.py' AS file, 20 AS chg FROM customer WHERE c_custkey <= 40),
-m AS (SELECT n.*, c.file AS d, abs(line - chg) <= 2 OR abs(end_line - chg) <= 2 OR (line <= chg AND chg <= end_line) AS hit FROM n JOIN c ON n.file LIKE '%' || c.file),
+c AS (SELECT 'cust' || c_custkey || '.py' AS file, 20 AS chg FROM customer),
+m AS (SELECT n.*, c.file AS d, abs(line - chg) <= 2 OR abs(end_line - chg) <= 2 OR (line <= chg AND chg <= end_line) AS hit FROM n JOIN c ON c.file = n.file[5:]),
 f AS (SELECT file, d, bool_or(hit) AS any_hit FROM m GROUP BY ALL)
 SELECT DISTINCT 'order:' || o_orderkey AS node_id FROM m JOIN f USING (file, d) WHERE hit OR NOT any_hit"""
 )
 def seed_nodes_with_fallback(spark, sf_dir):
-    """Orders at the changed line of the first customers' files; where none is, all of the file's."""
+    """Orders at the changed line of a customer's file; where none is, all of the file's."""
     o = table(spark, sf_dir, "orders")
     line = (1 + F.col("o_orderkey") % 50).cast("int")
     nodes = o.select(tag("order", "o_orderkey").alias("node_id"), F.concat(F.lit("src/cust"), "o_custkey", F.lit(".py")).alias("file"), line.alias("line"), (line + F.col("o_custkey") % 7).cast("int").alias("end_line"), F.lit("function").alias("category"))
-    changes = table(spark, sf_dir, "customer").filter("c_custkey <= 40").select(F.concat(F.lit("cust"), "c_custkey", F.lit(".py")).alias("file"), F.lit(20).alias("line"))
+    changes = table(spark, sf_dir, "customer").select(F.concat(F.lit("cust"), "c_custkey", F.lit(".py")).alias("file"), F.lit(20).alias("line"))
     return seeds.seed_nodes(nodes, changes)
 
 
@@ -315,19 +316,19 @@ def node_status_ui(spark, sf_dir):
     return _status(spark, sf_dir)[1].groupBy("status").agg(F.count("*").alias("n"), F.min("node_id").alias("least"))
 
 
-@query(f"WITH {GRAPH}, {ROLE_SQL}, {_STATUS} SELECT file, count(*) FILTER (WHERE status = 'seed') AS seeds, count(*) FILTER (WHERE status IN ('direct_caller', 'indirect_caller')) AS callers, count(*) AS total FROM st GROUP BY file ORDER BY seeds * 10 + callers DESC, file LIMIT 20")
+@query(f"WITH {GRAPH}, {ROLE_SQL}, {_STATUS} SELECT file, count(*) FILTER (WHERE status = 'seed') AS seeds, count(*) FILTER (WHERE status IN ('direct_caller', 'indirect_caller')) AS callers, count(*) AS total FROM st GROUP BY file")
 def file_rollup(spark, sf_dir):
     n, status = _status(spark, sf_dir)
-    return traversal.file_rollup(n, status).limit(20)
+    return traversal.file_rollup(n, status)
 
 
 @query(
-    f"""WITH RECURSIVE {GRAPH}, e2 AS (SELECT src, dst FROM edges WHERE edge_type = 'E_contain' AND NOT src LIKE 'order:%'), u AS (SELECT src AS a, dst AS b FROM e2 UNION SELECT dst, src FROM e2),
+    f"""WITH RECURSIVE {GRAPH}, e2 AS (SELECT src, dst FROM edges WHERE edge_type = 'E_contain'), u AS (SELECT src AS a, dst AS b FROM e2 UNION SELECT dst, src FROM e2),
 r AS (SELECT 'cust:1' AS n UNION SELECT u.b FROM r JOIN u ON u.a = r.n) SELECT n AS node_id FROM r"""
 )
 def reachability(spark, sf_dir):
     """All that lies in the same tree of containers as the first customer."""
-    e = bridge.graph(spark, sf_dir).edges.filter("edge_type = 'E_contain' and src not like 'order:%'")
+    e = bridge.graph(spark, sf_dir).edges.filter("edge_type = 'E_contain'")
     return traversal.reachable(e, spark.createDataFrame([("cust:1",)], "node_id string"))
 
 
@@ -339,9 +340,9 @@ def name_search(spark, sf_dir):
 # -------------------------------------------------------- weights, PageRank, paths
 
 
-@query(f"WITH {GRAPH}, w AS (SELECT src, dst, edge_type, {WEIGHT} AS weight FROM edges) SELECT src, dst, round(weight, 4) AS weight, round(CASE WHEN weight <= 0 THEN 10.0 ELSE -ln(weight) END, 4) + 0.0 AS cost FROM w WHERE edge_type <> 'E_contain'")
+@query(f"WITH {GRAPH}, w AS (SELECT src, dst, edge_type, {WEIGHT} AS weight FROM edges) SELECT src, dst, round(weight, 4) AS weight, round(CASE WHEN weight <= 0 THEN 10.0 ELSE -ln(weight) END, 4) + 0.0 AS cost FROM w")
 def edge_weight_cost(spark, sf_dir):
-    e = bridge.graph(spark, sf_dir).edges.filter("edge_type != 'E_contain'").withColumn("weight", edge_weight(F.col("edge_type"), F.col("confidence")))
+    e = bridge.graph(spark, sf_dir).edges.withColumn("weight", edge_weight(F.col("edge_type"), F.col("confidence")))
     return e.select("src", "dst", F.round("weight", 4).alias("weight"), (F.round(safe_cost(F.col("weight")), 4) + 0.0).alias("cost"))
 
 
@@ -537,11 +538,11 @@ def evolution_score(spark, sf_dir):
     return history.evolution_scores(history.usable_commits(bridge.commits(spark, sf_dir)), seed).select("file", F.round("evolution", 4).alias("evolution"))
 
 
-@query("WITH c AS (SELECT DISTINCT o_orderkey AS hash, l_partkey AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderkey % 7 <> 0) SELECT count(DISTINCT hash) AS commits, count(DISTINCT file) AS files, count(*) AS changes FROM c")
+@query("WITH c AS (SELECT DISTINCT o_orderkey AS hash, l_partkey AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus <> 'P') SELECT count(DISTINCT hash) AS commits, count(DISTINCT file) AS files, count(*) AS changes FROM c")
 def cochange_before_date(spark, sf_dir):
     """History up to a date, without excluded commits."""
     o = table(spark, sf_dir, "orders").filter("o_orderdate < timestamp '1996-01-01'").select(F.col("o_orderkey").cast("string").alias("hash"))
-    out = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("hash"))
+    out = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").cast("string").alias("hash"))
     got = history.usable_commits(bridge.commits(spark, sf_dir).join(o, "hash", "left_semi"), exclude=out)
     return got.agg(F.countDistinct("hash").alias("commits"), F.countDistinct("file").alias("files"), F.count("*").alias("changes"))
 
@@ -570,11 +571,12 @@ def code_tokens_of_documents(spark, sf_dir):
     return rows.select("doc_id", F.size("k").cast("long").alias("tokens"), F.array_min("k").alias("first_token"), F.array_max("k").alias("last_token"))
 
 
-@query(f"WITH b AS (SELECT item_id, {_TOKENS.format(t='text')} AS k FROM benchmark) SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.k, y.k)) / len(list_distinct(list_concat(x.k, y.k))), 4) AS jaccard FROM b x JOIN b y ON x.item_id < y.item_id")
+@query(f"WITH b AS (SELECT {_TOKENS.format(t='text')} AS k FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), d AS (SELECT doc_id, {_TOKENS.format(t='text')} AS t FROM documents) SELECT doc_id, round(CASE WHEN len(k) = 0 OR len(t) = 0 THEN 0 ELSE len(list_intersect(k, t)) / len(list_distinct(list_concat(k, t))) END, 4)::DOUBLE AS jaccard FROM d, b")
 def token_jaccard(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", code_tokens(F.col("text")).alias("k"))
-    pairs = b.select(F.col("item_id").alias("a"), F.col("k").alias("ka")).join(b.select(F.col("item_id").alias("b"), F.col("k").alias("kb")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(jaccard(F.col("ka"), F.col("kb")), 4).alias("jaccard"))
+    """Words that every document shares with the first benchmark item."""
+    first = F.broadcast(table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("t")).select(code_tokens(F.col("t")).alias("k")))  # one row
+    d = table(spark, sf_dir, "documents").select("doc_id", code_tokens(F.col("text")).alias("t"))
+    return d.crossJoin(first).select("doc_id", F.round(jaccard(F.col("k"), F.col("t")), 4).alias("jaccard"))
 
 
 _DIFF = "def red_widget(promo: str): BrassBolt"
@@ -696,16 +698,16 @@ def most_called_part(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id < 5),
+    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.e, v.e) / sqrt(list_inner_product(q.e, q.e) * list_inner_product(v.e, v.e)), 4) AS score FROM q JOIN v ON v.vec_id <> q.vec_id)
 SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
 )
 def vector_topk(spark, sf_dir):
-    """The five nearest by cosine of the first vectors, in place of a simulated vector baseline."""
+    """The five nearest by cosine of every fiftieth vector against all, in place of a simulated vector baseline."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = v.withColumn("n", dot("e", "e"))
-    q = F.broadcast(v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("n").alias("qn")))  # five rows
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("n").alias("qn"))
     s = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("qe", "e") / F.sqrt(F.col("qn") * F.col("n")), 4).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return s.withColumn("r", F.row_number().over(best)).filter("r <= 5").drop("r")
@@ -723,15 +725,15 @@ def path_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("url", directory_of(u).alias("directory"), extension_of(u).alias("extension"), module_of(u, False).alias("module"), leaf_of(u).alias("leaf"))
 
 
-@query("SELECT p_partkey, unnest([replace(p_name, ' ', '.'), split_part(p_name, ' ', 1)]) AS prefix FROM part WHERE len(string_split(p_name, ' ')) = 2")
+@query("SELECT p_partkey, unnest(list_transform(generate_series(1, len(string_split(p_name, ' '))), lambda i: array_to_string(string_split(p_name, ' ')[1:i], '.'))) AS prefix FROM part")
 def lexical_scope_prefixes(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter(F.size(F.split("p_name", " ")) == 2)
+    p = table(spark, sf_dir, "part")
     return p.select("p_partkey", F.explode(scope_prefixes(F.regexp_replace("p_name", " ", "."))).alias("prefix"))
 
 
-@query("SELECT doc_id, CASE WHEN len(s) >= 2 THEN trim(s[2]) ELSE '' END AS snippet FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE NOT contains(text, chr(13)))")
+@query("SELECT doc_id, CASE WHEN len(s) >= 2 THEN trim(s[2]) ELSE '' END AS snippet FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS s FROM documents)")
 def second_line_snippets(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("\r")))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", snippet(F.col("text"), F.lit(2)).alias("snippet"))
 
 

@@ -72,7 +72,8 @@ def test_containment(graph):
     assert ("core/work.py:L1:def:work.py", "core/work.py:L4:def:Job") in got and ("core/work.py:L4:def:Job", "core/work.py:L5:def:Job.run") in got
     assert ("core/work.py:L5:def:Job.run", "core/work.py:L6:C8:ref:step") in got
     assert graph.nodes.select("node_id").distinct().count() == graph.nodes.count()
-    assert [r["node_seq"] for r in graph.nodes.orderBy("node_seq").collect()] == list(range(1, graph.nodes.count() + 1))
+    first = [r["node_id"] for r in graph.nodes.orderBy("node_seq").limit(3).collect()]
+    assert first == ["auth/service.py:L1:def:service.py", "auth/service.py:L3:def:check", "auth/service.py:L6:def:login"]
 
 
 def test_helpers(graph):
