@@ -179,10 +179,14 @@ def override_signature_compat(spark, sf_dir):
     return rows.withColumn("compatible", signatures_compatible(F.col("sub_sig"), F.col("base_sig")))
 
 
-@query("SELECT l_orderkey AS src, l_linenumber AS dst, min(l_partkey * 10000 + l_suppkey) AS first_seq, arg_max(round(l_discount, 2), l_partkey * 10000 + l_suppkey) AS confidence FROM lineitem GROUP BY ALL")
+_SEQ = "(l_partkey * 10000 + l_suppkey) * 1000 + round(l_discount * 100)::BIGINT"
+
+
+@query(f"SELECT l_orderkey AS src, l_linenumber AS dst, min({_SEQ}) AS first_seq, arg_max(round(l_discount, 2), {_SEQ}) AS confidence FROM lineitem GROUP BY ALL")
 def edge_upsert_last_wins(spark, sf_dir):
     """Lines of equal order and number as one edge: the first one's place, the last one's value."""
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("edge_seq"), F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("dst"), F.lit("E").alias("key"), F.round("l_discount", 2).alias("confidence"))
+    seq = (F.col("l_partkey") * 10000 + F.col("l_suppkey")) * 1000 + F.round(F.col("l_discount") * 100).cast("long")
+    rows = table(spark, sf_dir, "lineitem").select(seq.alias("edge_seq"), F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("dst"), F.lit("E").alias("key"), F.round("l_discount", 2).alias("confidence"))
     return linking.upsert_edges(rows).select("src", "dst", F.col("edge_seq").alias("first_seq"), "confidence")
 
 
