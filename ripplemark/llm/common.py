@@ -39,26 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _FOLDERS[key]
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the cluster's own file system."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _quiet_delete(spark: SparkSession, path: str) -> None:
+def _delete(jvm, conf, path: str) -> None:
     try:
-        delete(spark, path)
-    except Exception:  # the session has ended; its folder goes with it
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # the JVM is gone
         pass
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the cluster's own file system when this process ends."""
+    atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ripplemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_quiet_delete, spark, path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, byte_slices, shared_dir
+from .common import Hasher, byte_slices, delete_at_exit, shared_dir
 
 END_ID = 2
 #: Distinct pieces that an encoder keeps between slices.
@@ -268,7 +268,9 @@ def read_records(folder: str, part: int, vocabulary: int, which: list[int] | Non
 def token_records(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, folder: str | None = None) -> DataFrame:
     """Write docs as records and read them back: id, start, n_tokens and ids_crc32 of each document."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/ripplemark/records-{uuid.uuid4().hex}"
+    if folder is None:
+        folder = f"{shared_dir(spark)}/ripplemark/records-{uuid.uuid4().hex}"
+        delete_at_exit(spark, folder)
     shards = write_records(docs, folder, tokenizer, id_col, text_col, end_id).collect()  # a row a shard
     if not shards:
         return spark.createDataFrame([], f"{id_col} long, start long, n_tokens long, ids_crc32 long")
