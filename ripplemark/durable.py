@@ -19,11 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="ripplemark-"))
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def _forget(jvm, conf, path: str) -> None:
     try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is gone, and its folder with it
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # the JVM is gone
         pass
 
 
@@ -32,5 +32,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ripplemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
+    atexit.register(_forget, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
     return spark.read.schema(df.schema).parquet(path)
