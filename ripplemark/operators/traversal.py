@@ -142,11 +142,12 @@ def impact_projection(edges: DataFrame, node_order: DataFrame | None = None) ->
 # ----------------------------------------------------------------------- PageRank
 
 
-def personalized_pagerank(node_ids: DataFrame, arrows: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 50, tolerance: float | None = 1e-5, write_every: int = 5) -> DataFrame:
+def personalized_pagerank(node_ids: DataFrame, arrows: DataFrame, seeds: DataFrame, alpha: float = 0.85, iterations: int = 50, tolerance: float | None = 1e-5) -> DataFrame:
     """(node_id, ppr) after that many rounds, or fewer once the summed change is below tolerance.
 
     Weight that reaches a node without arrows goes back to the seeds.  Without
-    a tolerance no round asks the driver for anything.
+    a tolerance no round asks the driver for anything.  Every round is written:
+    the next one reads it three times.
     """
     seed = seeds.select("node_id").distinct().join(node_ids.select("node_id"), "node_id", "left_semi")
     n = seed.count()
@@ -157,15 +158,14 @@ def personalized_pagerank(node_ids: DataFrame, arrows: DataFrame, seeds: DataFra
     start = node_ids.select("node_id").distinct().join(seed.withColumn("p0", F.lit(1.0 / n)), "node_id", "left").join(out.select(F.col("src").alias("node_id"), F.lit(True).alias("leads")), "node_id", "left")
     start = written(start.select("node_id", F.coalesce("p0", F.lit(0.0)).alias("p0"), F.coalesce("leads", F.lit(False)).alias("leads")), "ppr-start")
     now = start.select("node_id", F.col("p0").alias("p"))
-    for turn in range(1, iterations + 1):
+    for _ in range(iterations):
         got = now.join(share, now["node_id"] == share["src"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("share")).alias("flow"))
         state = start.join(now, "node_id")
         lost = state.filter(~F.col("leads")).agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("lost"))
         # one row beside each; AQE broadcasts it
         after = state.join(got, F.col("node_id") == F.col("dst"), "left").crossJoin(F.broadcast(lost))
         after = after.select("node_id", ((1 - alpha) * F.col("p0") + alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("p0"))).alias("q"), "p")
-        if tolerance is not None or turn % write_every == 0:
-            after = written(after, "ppr")
+        after = written(after, "ppr")
         now = after.select("node_id", F.col("q").alias("p"))
         if tolerance is not None and (after.agg(F.sum(F.abs(F.col("q") - F.col("p")))).first()[0] or 0.0) < tolerance:
             break
