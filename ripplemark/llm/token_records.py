@@ -74,7 +74,9 @@ class BatchEncoder:
     Before a blank that follows a character other than white space and is
     followed by one, a pre-token always begins.  Texts are cut there; each
     distinct piece of a slice is encoded once, in one long text of pieces, and
-    the ids are dealt out by the pieces' byte lengths.
+    the ids are dealt out by the pieces' byte lengths.  The library matches the
+    vocabulary's added tokens before it makes pre-tokens, so a text that holds
+    one is not cut but encoded whole.
     """
 
     def __init__(self, path: str):
@@ -82,7 +84,9 @@ class BatchEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        if any(b" " in t for t in self.added):
+            raise ValueError("an added token holds a blank, where texts are cut")
         size = self.library.get_vocab_size()
         self.lengths = np.array([len(self.library.id_to_token(k) or "") for k in range(size)], np.int64)
         self.size = size
@@ -136,6 +140,15 @@ class BatchEncoder:
         cut[:-1] &= ~ends_doc[1:]  # a blank at the end of a text is no cut
         cut |= ends_doc
         cut[0], cut[n] = True, True
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[row + 1]  # else the end of one text and the begin of the next
+                if inside:
+                    cut[offsets[row] + 1 : offsets[row + 1]] = False
+                at = raw.find(token, int(offsets[row + 1]) if inside else at + 1)
         marks = np.flatnonzero(cut)
         starts, ends = marks[:-1], marks[1:]
         # a piece without a blank before it (a text's first) may not follow another one in the long text
@@ -145,7 +158,6 @@ class BatchEncoder:
         counts = np.zeros(starts.size, np.int64)
         begin = np.zeros(starts.size, np.int64)
         at = 0
-        raw = data.tobytes()
         whole = np.flatnonzero(fresh)
         if whole.size:
             got = self.library.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[whole].tolist(), ends[whole].tolist(), strict=True)], add_special_tokens=False)

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ripplemark.llm import common, cover_tree, jaccard_join, langid, mixture, quality_qda, queries, rules_cascade, sentencepiece_scan, suffix_dedup, token_records, toxicity
 
@@ -139,6 +140,19 @@ def test_batch_encoder_on_odd_blanks():
                 assert ids[upto[i] : upto[i + 1]].tolist() == encoder.library.encode(texts[low + i], add_special_tokens=False).ids, texts[low + i]
 
 
+def test_batch_encoder_matches_added_tokens():
+    fresh, encoder = Tokenizer.from_file(BPE), token_records.BatchEncoder(BPE)
+    assert fresh.encode("a b <|endoftext|> c", add_special_tokens=False).ids == [64, 275, 220, 50256, 269]
+    rng = random.Random(6)
+    texts = ["a b <|endoftext|> c", "x y<|endof", "text|> z", "<|endoftext|>", "", "<|endoftext|><|endoftext|> the end <|endoftext", "é <|endoftext|>\n w"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|endof", "text|>", " ", " word", "a", "é", "\n"]) for _ in range(rng.randrange(12))) for _ in range(1000)]
+    for _ in range(2):  # the second time from what it has kept
+        for low, _, data, offsets in common.byte_slices(pa.array(texts), 4000):
+            ids, upto = encoder.encode(data, offsets)
+            for i in range(offsets.size - 1):
+                assert ids[upto[i] : upto[i + 1]].tolist() == fresh.encode(texts[low + i], add_special_tokens=False).ids, texts[low + i]
+
+
 # ------------------------------------------------------------------------- op 2
 
 
