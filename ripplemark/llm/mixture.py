@@ -5,7 +5,8 @@ The words of each source are one long sequence, packed into blocks of
 dealt to output shards by pseudorandom draws (so a shard's counts are
 multinomial), slot j of a source takes block permutation(j) of pass j div
 blocks, and blocks are joined to the slots by index.  No block is taken more
-than twice, so no document is.
+than twice, so no document is.  The mix is written as the shards' blocks;
+digest and documents are read from these.
 
 A null text has no words; a null source is a source of its own, last in order;
 a source without words has target 0; rows with equal ids are packed one by one
@@ -94,7 +95,7 @@ def packed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block:
 
 
 def slots(targets: DataFrame, block: int = BLOCK, shards: int | None = None) -> DataFrame:
-    """(rank, slot, shard, place in the shard, block, pass): every slot of the mix.
+    """(rank, slot, shard, order in the shard, block, pass): every slot of the mix.
 
     A source has target / block slots, rounded, at most MOST_TIMES a block.
     Every slot draws its shard, so that each shard's counts are multinomial.
@@ -118,23 +119,34 @@ def slots(targets: DataFrame, block: int = BLOCK, shards: int | None = None) ->
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, h, rank, block, first, words): a document's part of each of its blocks; first counts from the document's begin."""
+    """(id, h, rank, block, at, first, words): a document's part of each of its blocks; at counts from the block's begin, first from the document's."""
     spans = rows.filter("size > 0").select("id", "h", "rank", "size", "place", F.explode(F.sequence(F.floor(F.col("place") / block), F.floor((F.col("place") + F.col("size") - 1) / block))).alias("block"))
     first = F.greatest(F.col("block") * block - F.col("place"), F.lit(0))
-    return spans.select("id", "h", "rank", "block", first.alias("first"), (F.least((F.col("block") + 1) * block - F.col("place"), F.col("size")) - first).alias("words"))
+    at = F.greatest(F.col("place") - F.col("block") * block, F.lit(0))
+    return spans.select("id", "h", "rank", "block", at.alias("at"), first.alias("first"), (F.least((F.col("block") + 1) * block - F.col("place"), F.col("size")) - first).alias("words"))
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(packed rows; taken pieces with the times, 1 or 2, that the mix takes each)."""
+    """(packed rows; the mix as written: every slot's pieces, with its shard, order and pass)."""
     rows, targets = packed(docs, id_col, source_col, text_col, block)
-    times = slots(targets, block).groupBy("rank", "block").agg(F.count("*").alias("times"))
-    return rows, pieces(rows, block).join(times.hint("merge"), ["rank", "block"])
+    dealt = pieces(rows, block).join(slots(targets, block).hint("merge"), ["rank", "block"])
+    return rows, materialize(dealt, "mixture-shards")
+
+
+def mix_shards(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The output shards: shard, order, rank, slot, pass, block, at, id, first and words of each piece.
+
+    A shard's blocks stand in order of (order, rank, slot), a block's pieces in
+    order of at; a piece is so many words of its document from first on.
+    """
+    dealt = mix_plan(docs, id_col, source_col, text_col, block)[1]
+    return dealt.select("shard", "order", "rank", "slot", "pass", "block", "at", F.col("id").alias(id_col), "first", "words")
 
 
 def mix_digest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """id, size, source_size, target and taken of every row."""
     rows, taken = mix_plan(docs, id_col, source_col, text_col, block)
-    sums = taken.groupBy("id", "h").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    sums = taken.groupBy("id", "h").agg(F.sum("words").alias("taken"))
     sums = sums.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "taken")
     # of rows alike in id and text, each takes an equal share of the whole
     alike = rows.groupBy("id", "h", "rank", "size", "source_size", "target").agg(F.count("*").alias("n"))
@@ -152,14 +164,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     words, joined by blanks.  Documents of which nothing is taken are absent.
     """
     rows, taken = mix_plan(docs, id_col, source_col, text_col, block)
-    marks = taken.groupBy("id", "h").agg(F.collect_list(F.struct("first", "words", "times")).alias("_taken"), F.sum("words").alias("_words"), F.sum(F.when(F.col("times") > 1, F.col("words")).otherwise(0)).alias("_again"))
+    words_of = lambda k: F.sum(F.when(F.col("pass") == k, F.col("words")).otherwise(0))
+    marks = taken.groupBy("id", "h").agg(F.collect_list(F.struct("first", "words", "pass")).alias("_taken"), words_of(0).alias("_words"), words_of(1).alias("_again"))
     marks = marks.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "_taken", "_words", "_again")
     out = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     out = out.join(marks, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_h")))
     out = out.withColumn("_size", F.regexp_count(F.col(text_col), F.lit(WORD)))
     out = out.withColumn("_pass", F.explode(F.when(F.col("_again") > 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     whole = F.when(F.col("_pass") == 1, F.col("_words")).otherwise(F.col("_again")) >= F.col("_size")
-    ranges = F.array_sort(F.filter("_taken", lambda x: x["times"] >= F.col("_pass")))
+    ranges = F.array_sort(F.filter("_taken", lambda x: x["pass"] == F.col("_pass") - 1))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.flatten(F.transform(ranges, lambda x: F.slice(words, (x["first"] + 1).cast("int"), x["words"].cast("int")))), " ")
     out = out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))

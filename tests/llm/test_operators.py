@@ -344,6 +344,26 @@ def test_mixed_documents(spark, odd):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def test_mix_is_dealt_to_shards(spark, odd, monkeypatch):
+    monkeypatch.setattr(mixture, "CHUNK", 16)
+    got = mixture.mix_shards(odd, block=16).collect()
+    taken, dealt, blocks = {}, {}, {}
+    for r in got:
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["words"]
+        dealt.setdefault((r["rank"], r["slot"]), set()).add((r["shard"], r["order"], r["pass"], r["block"]))
+        blocks.setdefault((r["rank"], r["slot"]), []).append((r["at"], r["words"]))
+    assert taken == {r["doc_id"]: r["taken"] for r in mixture.mix_digest(odd, block=16).collect() if r["taken"]}
+    assert all(len(x) == 1 for x in dealt.values())  # a slot has one place
+    for x in blocks.values():
+        x.sort()
+        assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and sum(x[-1]) <= 16
+    counts = {}
+    for (rank, _), ((shard, *_),) in dealt.items():
+        counts[shard, rank] = counts.get((shard, rank), 0) + 1
+    shards = {s for s, _ in counts}
+    assert shards == set(range(len(dealt) // 16)) and len({counts.get((s, 0), 0) for s in shards}) > 1
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         got = spark.range(n).select(mixture.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p")).collect()
