@@ -97,11 +97,12 @@ def packed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block:
 def slots(targets: DataFrame, block: int = BLOCK, shards: int | None = None) -> DataFrame:
     """(rank, slot, shard, order in the shard, block, pass): every slot of the mix.
 
-    A source has target / block slots, rounded, at most MOST_TIMES a block.
+    A source has target / block slots, rounded, at least one if it has a
+    target, at most MOST_TIMES a block.
     Every slot draws its shard, so that each shard's counts are multinomial.
     """
     t = targets.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    t = t.withColumn("slots", F.least(F.round(F.col("target") / block).cast("long"), F.col("blocks") * MOST_TIMES)).filter("slots > 0")
+    t = t.withColumn("slots", F.least(F.greatest(F.round(F.col("target") / block).cast("long"), F.lit(1)), F.col("blocks") * MOST_TIMES)).filter("target > 0")
     if shards is None:
         shards = max(1, int(t.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]) // CHUNK)
     t = t.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))))

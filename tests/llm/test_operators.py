@@ -364,6 +364,14 @@ def test_mix_is_dealt_to_shards(spark, odd, monkeypatch):
     assert shards == set(range(len(dealt) // 16)) and len({counts.get((s, 0), 0) for s in shards}) > 1
 
 
+def test_small_sources_stay_in_the_mix(spark):
+    rows = [(0, "w " * 4000, "en", "big", 8000), *((i, "a b c", "en", f"tiny{i}", 5) for i in range(1, 6)), (9, "", "en", "none", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = {r["doc_id"]: r["taken"] for r in mixture.mix_digest(docs).collect()}
+    assert all(3 <= taken[i] <= 6 for i in range(1, 6)) and taken[0] > 4000 and taken[9] == 0
+    assert {r["doc_id"] for r in mixture.mixed_documents(docs).collect()} == set(range(6))
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         got = spark.range(n).select(mixture.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p")).collect()
