@@ -163,7 +163,8 @@ def _check(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, id_col: str,
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SKETCH).astype(np.int64) for i in (2, 3))
             most = np.where((x == 65535) | (y == 65535), np.maximum(x, y), np.minimum(x, y)).sum(axis=1)
             n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            yield batch.filter(pa.array(den * most >= num * (n + m - most))).select(["a", "b"])
+            open_ = ((x == 65535) & (y == 65535)).any(axis=1)  # a bin full on both sides bounds nothing
+            yield batch.filter(pa.array(open_ | (den * most >= num * (n + m - most)))).select(["a", "b"])
 
     p = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
     p = p.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b").select("a", "b", "sa", "sb", "na", "nb")

@@ -444,6 +444,15 @@ def test_jaccard_odd_rows(spark, empty):
     assert sorted((r["doc_id"] or 0) for r in jaccard_join.keep_one(rows).collect()) == [0, 1, 3, 4]
 
 
+def test_full_bins_go_to_the_check(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "A b c d"), (3, "x y z")], "doc_id long, text string")
+    full, some = (np.full(jaccard_join.SKETCH, n, "<u2").tobytes() for n in (65535, 9))
+    sketches = spark.createDataFrame([(1, 20_000_000, full), (2, 20_000_000, full), (3, 20_000_000, some)], "id long, n long, sketch binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    got = jaccard_join._check(pairs, docs, sketches, "doc_id", "text", 3, 90, 100).collect()
+    assert [tuple(r) for r in got] == [(1, 2)]
+
+
 def test_jaccard_on_documents(spark, sf_dir):
     docs = common.read_table(spark, sf_dir, "documents")
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op9_jaccard_join(spark, sf_dir).collect()}
