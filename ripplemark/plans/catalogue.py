@@ -455,7 +455,7 @@ ranked AS (SELECT node_id, category, round(score, 4) AS impact_score, hops::INTE
     WHEN hops <= 2 AND category IN ('function', 'method', 'class') THEN CASE WHEN score >= 0.4 THEN 'HIGH' ELSE 'MEDIUM' END ELSE CASE WHEN score >= 0.15 THEN 'MEDIUM' ELSE 'LOW' END END AS severity FROM sc)"""
 
 
-_RANKINGS: dict[tuple[str, str], tuple[DataFrame, ...]] = {}
+_RANKINGS: dict[tuple[str, ...], tuple[DataFrame, ...]] = {}
 
 
 def _ranking(spark, sf_dir):
@@ -467,9 +467,25 @@ def _ranking(spark, sf_dir):
     return _RANKINGS[key]
 
 
+def _whole_ranking(spark, sf_dir):
+    """The whole bridge graph, all edge types, ranked with the operator's own rounds; made once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "whole")
+    if key not in _RANKINGS:
+        g, s = bridge.graph(spark, sf_dir), bridge.part_seeds(spark, sf_dir)
+        _RANKINGS[key] = (g.nodes, g.edges, s, written(traversal.rank_impact(g.nodes, g.edges, s, 3), "whole-ranking"))
+    return _RANKINGS[key]
+
+
+@query()
+def ranked_impact_whole(spark, sf_dir):
+    """All that a change of the first parts reaches over the whole graph; SQL of so many rounds is too slow."""
+    got = _whole_ranking(spark, sf_dir)[3]
+    return got.select("node_id", "category", F.round("impact_score", 4).alias("impact_score"), "hop_distance", "primary_relationship", "severity")
+
+
 @query(f"WITH {RANKED} SELECT * FROM ranked")
 def ranked_impact(spark, sf_dir):
-    """The flagship: all that a change of the first parts reaches, with scores and severity."""
+    """The flagship: what a change of the first parts reaches by calls and containers within four steps, after ten rounds, as its SQL has it."""
     got = _ranking(spark, sf_dir)[3]
     return got.select("node_id", "category", F.round("impact_score", 4).alias("impact_score"), "hop_distance", "primary_relationship", "severity")
 
@@ -605,9 +621,10 @@ def hybrid_fusion(spark, sf_dir):
 
 @query()
 def hybrid_fusion_topk(spark, sf_dir):
-    """The 25 best with category, confidence and sources."""
-    n, e, s, ranking = _ranking(spark, sf_dir)
-    evolution = spark.createDataFrame([], "file string, evolution double")
+    """The 25 best of the whole graph, with parts as files, category, confidence and sources."""
+    n, e, s, ranking = _whole_ranking(spark, sf_dir)
+    n = n.withColumn("file", F.col("node_id"))
+    evolution = written(history.evolution_scores(history.usable_commits(bridge.commits(spark, sf_dir)), s.select(F.col("node_id").alias("file"))), "evolution")
     got = fusion.fuse(n, s, ranking, evolution, fusion.lexical_scores(n, _DIFF))
     return got.select("node_id", F.round("hybrid_score", 4).alias("hybrid_score"), "rank", "severity", "impact_category", "confidence_level", "evidence_sources")
 

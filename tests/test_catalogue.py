@@ -8,7 +8,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from ripplemark.plans import catalogue
+from ripplemark.operators import traversal
+from ripplemark.plans import bridge, catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROOT = pathlib.Path(__file__).resolve().parent.parent
@@ -49,6 +50,31 @@ def test_query(spark, sf_dir, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_whole_ranking_takes_all_edges_and_settles(spark, sf_dir):
+    arrows = traversal.impact_projection(bridge.graph(spark, sf_dir).edges, bridge.graph(spark, sf_dir).nodes.select("node_id", "node_seq")).toPandas()
+    ids = sorted({r["node_id"] for r in bridge.graph(spark, sf_dir).nodes.select("node_id").collect()})
+    at = {n: i for i, n in enumerate(ids)}
+    src, dst, w = arrows["src"].map(at).to_numpy(), arrows["dst"].map(at).to_numpy(), arrows["weight"].to_numpy()
+    out = np.bincount(src, w, len(ids))
+    start = np.zeros(len(ids))
+    seeds = [at[r["node_id"]] for r in bridge.part_seeds(spark, sf_dir).collect()]
+    start[seeds] = 1 / len(seeds)
+    p = start
+    for _ in range(50):
+        q = 0.15 * start + 0.85 * (np.bincount(dst, p[src] * w / out[src], len(ids)) + p[out == 0].sum() * start)
+        done, p = np.abs(q - p).sum() < 1e-5, q
+        if done:
+            break
+    top = p[start == 0].max()
+    weight = {(a, b): x for a, b, x in zip(arrows["src"], arrows["dst"], arrows["weight"], strict=True)}
+    got = catalogue._whole_ranking(spark, sf_dir)[3].select("node_id", "impact_score", "evidence_path").collect()
+    for r in got:
+        energy = np.prod([0.75 * weight[s["from"], s["to"]] for s in r["evidence_path"]])
+        assert r["impact_score"] == pytest.approx(min(1, 0.65 * energy + 0.35 * p[at[r["node_id"]]] / top), abs=1e-6)
+    kinds = {s["edge_type"] for r in got for s in r["evidence_path"]}
+    assert {"E_invoke", "E_contain", "E_import", "E_invoke_candidate"} <= kinds
+
+
 def test_library_stands_without_the_training_data_folders():
     for path in (ROOT / "ripplemark").rglob("*.py"):
         if "llm" in path.relative_to(ROOT).parts:
