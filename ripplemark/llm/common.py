@@ -2,13 +2,18 @@
 
 The kernels work on whole Arrow batches with numpy: text columns are viewed as
 one UTF-8 byte buffer with document offsets, so no per-word Python objects are
-made.  A batch is cut into slices of at most ``SLICE_BYTES`` (one longer
-document is a slice of its own), which bounds a worker's memory.
+made.  A batch is cut into slices of at most ``SLICE_BYTES``; one longer
+document is a slice of its own, whose words are hashed piece by piece.
+
+Hashes only bring candidates together.  Wherever equality decides a result,
+bytes are compared (``same_bytes``, ``representatives``) or a cryptographic
+digest stands for them.
 """
 
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,10 +34,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, a folder of our own."""
+    """The folder of spark.checkpoint.dir; in local mode, where it is unset, a folder of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = id(spark.sparkContext)
     if key not in _FOLDERS:
         _FOLDERS[key] = "file://" + tempfile.mkdtemp(prefix="ripplemark-")
@@ -82,36 +89,114 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+#: Hashes are polynomials modulo this prime, at two bases that no text can be made for in advance to collide often.
+_PRIME = (1 << 31) - 1
+_BASES = (0x4B7E3A59, 0x2C9F61D3)
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) % np.uint64(_PRIME)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any x below 2^64; in place."""
+    for _ in range(2):
+        high = x >> np.uint64(31)
+        x &= np.uint64(_PRIME)
+        x += high
+    x[x >= _PRIME] -= np.uint64(_PRIME)
+    high = x >> np.uint64(31)
+    x &= np.uint64(_PRIME)
+    x += high
+    x[x >= _PRIME] -= np.uint64(_PRIME)
+    return x
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its powers 0 to n - 1 and those of its inverse."""
+    if not _POWERS or _POWERS[0][0].size < n:
         size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+        out = []
+        for base in _BASES:
+            both = []
+            for b in (base, pow(base, -1, _PRIME)):
+                have = np.ones(1, np.uint64)
+                while have.size < size:  # twice as many from those known
+                    have = np.concatenate([have, _reduced(have * np.uint64(pow(b, have.size, _PRIME)))])
+                both.append(have[:size].astype(np.uint32))
+            out.append(tuple(both))
+        _POWERS[:] = out
+    return _POWERS
 
 
 class Hasher:
-    """64-bit hashes of any byte ranges of one buffer, from one prefix sum."""
+    """62-bit hashes of any byte ranges of one buffer, from two prefix sums."""
 
     def __init__(self, data: np.ndarray, lower: bool = False):
-        power, self.inverse = _powers(data.size + 1)
-        table = _LOWER if lower else _BYTE
-        self.sums = np.zeros(data.size + 1, np.uint64)
-        np.cumsum(table[data] * power[: data.size], out=self.sums[1:])
+        table = (_LOWER if lower else _BYTE)[data]
+        self.parts = []
+        for power, inverse in _powers(data.size + 1):
+            terms = table * power[: data.size]
+            high = terms >> np.uint64(31)
+            terms &= np.uint64(_PRIME)
+            terms += high  # below 2^32, so that sums of 2^32 of them are exact
+            sums = np.zeros(data.size + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self.parts.append((sums, inverse))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix64(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+        (a, a_back), (b, b_back) = self.parts
+        x = _reduced(_reduced(a[ends] - a[starts]) * a_back[starts])
+        y = _reduced(_reduced(b[ends] - b[starts]) * b_back[starts])
+        return mix64((x << np.uint64(32) | y) ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+
+
+def same_bytes(data: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """For each pair of places, whether sizes bytes of data at left equal those of other (data, if None) at right."""
+    other = data if other is None else other
+    out = np.ones(sizes.size, bool)
+    upto = np.cumsum(sizes)
+    low = 0
+    while low < sizes.size:
+        before = upto[low] - sizes[low]
+        high = max(low + 1, int(np.searchsorted(upto, before + (1 << 20), "right")))
+        s, some = sizes[low:high], slice(low, high)
+        if high == low + 1:
+            out[low] = bool((data[left[low] : left[low] + s[0]] == other[right[low] : right[low] + s[0]]).all())
+        else:
+            begin = upto[some] - s - before
+            step = np.arange(int(s.sum())) - np.repeat(begin, s)
+            differ = data[np.repeat(left[some], s) + step] != other[np.repeat(right[some], s) + step]
+            sums = np.concatenate([[0], np.cumsum(differ)])
+            out[some] = sums[begin + s] == sums[begin]
+        low = high
+    return out
+
+
+def representatives(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct string, number of each string): exact, whatever the keys (their hashes) say."""
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    lead = first[back]
+    look = np.flatnonzero(lead != np.arange(keys.size))
+    equal = ends[look] - starts[look] == ends[lead[look]] - starts[lead[look]]
+    text = data
+    if lower:
+        text = data.copy()
+        text[(data >= 65) & (data <= 90)] += 32
+    at = look[equal]
+    equal[equal] = same_bytes(text, starts[at], starts[lead[at]], ends[at] - starts[at])
+    odd = look[~equal]
+    if odd.size:  # strings of one hash that differ: by their bytes
+        known: dict[bytes, int] = {}
+        extra = []
+        for i in odd.tolist():
+            raw = text[starts[i] : ends[i]].tobytes()
+            if raw not in known:
+                known[raw] = first.size + len(extra)
+                extra.append(i)
+            back[i] = known[raw]
+        first = np.concatenate([first, np.array(extra, first.dtype)])
+    return first, back
 
 
 def byte_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -147,6 +232,23 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(right) + 1, np.searchsorted(starts, offsets)
 
 
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, most: int = SLICE_BYTES) -> np.ndarray:
+    """Hashes of ranges that follow one another, in pieces of about most bytes; a longer range is digested."""
+    out = np.empty(starts.size, np.uint64)
+    low = 0
+    while low < starts.size:
+        if ends[low] - starts[low] > most:
+            raw = data[starts[low] : ends[low]].tobytes()
+            out[low] = int.from_bytes(hashlib.blake2b(raw.lower() if lower else raw, digest_size=8).digest(), "little")
+            low += 1
+            continue
+        high = int(np.searchsorted(ends, starts[low] + most, "right"))
+        a, b = starts[low], ends[high - 1]
+        out[low:high] = Hasher(data[a:b], lower)(starts[low:high] - a, ends[low:high] - a)
+        low = high
+    return out
+
+
 def shingles(words: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, document) of every k-word shingle; a document of fewer words has its whole sequence as one."""
     n = words.size

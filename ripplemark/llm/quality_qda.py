@@ -8,7 +8,9 @@ labelled documents of class 0 and 1, picked by a hash of the id.
 
 Null text counts as empty and is scored like any text; rows with equal ids are
 scored alike; labels that are null or neither 0 nor 1 are left out; without
-both labels every score is 0.5; an empty table gives an empty result.
+both labels every score is 0.5; an empty table gives an empty result; other
+columns are not read, whatever their names.  A text longer than a slice is
+scored alone, over its whole length.
 """
 
 from __future__ import annotations
@@ -35,26 +37,24 @@ _MARK[list(b".,;:'\"()-")] = True
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of transformed statistics for each document of a slice."""
     s = Statistics(data, offsets)
-    words = s.word_hashes()
     n = s.n_words.astype(float)
-    chars = s.word_chars().astype(float)
-    lines, again = s.lines()
-    upper, lower = s.letters()
+    chars = s["word_chars"].astype(float)
+    lines, again, upper, lower = s["n_lines"], s["n_dup_lines"], s["upper"], s["lower"]
     digits = per_document((data >= 48) & (data <= 57), offsets)
     ratio = lambda a, b, e=0.01: np.log((a + e) / (b + 1))
     return np.column_stack(
         [
             np.log1p(n),
             np.log((chars + 5) / (n + 1)),
-            ratio(s.n_symbols(), n),
+            ratio(s["n_symbols"], n),
             ratio(per_document(_BANG[data], offsets), n),
             ratio(per_document(_MARK[data], offsets), n, 0.1),
             ratio(again, lines),
-            ratio(s.n_repeat_words(words), n),
-            (s.distinct_words(words) + 1) / (n + 1),
+            ratio(s["n_repeat_words"], n),
+            (s["distinct_words"] + 1) / (n + 1),
             (upper + 1) / (upper + lower + 2),
             ratio(digits, chars),
-            (s.worded() + 1) / (n + 1),
+            (s["worded"] + 1) / (n + 1),
             np.log((lines + 1) / (n + 1)),
         ]
     )

@@ -10,10 +10,13 @@ are u16 if the vocabulary has at most 65,536 entries and u32 otherwise.  The
 index has a ``offset u64 | length u64 | n_tokens u64`` for each record.  Shards
 are ranges of doc_id in order, and a shard's records are in order of doc_id.
 Files are written under another name and renamed, so a task that runs twice
-leaves one whole file.
+leaves one whole file.  There is a shard for every ``PART_ROWS`` rows, and one
+a shuffle partition at least.
 
 A null text is empty: its record holds only the end id.  Null ids come first;
-rows with equal ids are ordered by their text; an empty table has no shard.
+rows with equal ids are in order of their texts' hashes, and if there are many
+of them they are dealt over several shards; an empty table has no shard; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, byte_slices, delete_at_exit, shared_dir
+from .common import byte_slices, delete_at_exit, hash_ranges, representatives, same_bytes, shared_dir
 
 END_ID = 2
+PART_ROWS = 500_000
 #: Distinct pieces that an encoder keeps between slices.
 MOST_PIECES = 1_000_000
 _ENCODERS: dict[str, BatchEncoder] = {}
@@ -74,7 +78,8 @@ class BatchEncoder:
     Before a blank that follows a character other than white space and is
     followed by one, a pre-token always begins.  Texts are cut there; each
     distinct piece of a slice is encoded once, in one long text of pieces, and
-    the ids are dealt out by the pieces' byte lengths.  The library matches the
+    the ids are dealt out by the pieces' byte lengths.  Pieces are the same if
+    their bytes are; hashes only find them.  The library matches the
     vocabulary's added tokens before it makes pre-tokens, so a text that holds
     one is not cut but encoded whole.
     """
@@ -94,33 +99,55 @@ class BatchEncoder:
 
     def _forget(self) -> None:
         self.keys, self.place, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.size_of, self.spot, self.raw, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint8), 0
+
+    def _library(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, the ids), from one text of all pieces in a row."""
+        sizes = ends - starts
+        upto = np.cumsum(sizes)
+        where = np.arange(upto[-1]) + np.repeat(starts - (upto - sizes), sizes)
+        long = self.library.encode_batch_fast(["x" + data[where].tobytes().decode()], add_special_tokens=False)[0].ids
+        found = np.array(long, np.int32)[1:]
+        covered = np.cumsum(self.lengths[found])
+        last = np.searchsorted(covered, upto)  # token that ends each piece
+        if (covered[last] != upto).any():
+            raise AssertionError("a token crosses pieces")
+        return np.diff(np.concatenate([[-1], last])), found
 
     def _pieces(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids, place in the pool) of pieces by their sorted hashes; new ones are encoded and kept."""
+        """(number of ids, place in the pool) of different pieces with their hashes; new ones are encoded and kept."""
         if self.keys.size > MOST_PIECES:
             self._forget()
         at = np.searchsorted(self.keys, keys)
+        old = np.flatnonzero(at < self.keys.size)
+        old = old[self.keys[at[old]] == keys[old]]
+        same = self.size_of[at[old]] == ends[old] - starts[old]
+        same[same] = same_bytes(data, starts[old[same]], self.spot[at[old[same]]], ends[old[same]] - starts[old[same]], self.raw)
+        number, place = np.zeros(keys.size, np.int64), np.zeros(keys.size, np.int64)
+        number[old[same]], place[old[same]] = self.count[at[old[same]]], self.place[at[old[same]]]
         new = np.ones(keys.size, bool)
-        new[at < self.keys.size] = self.keys[at[at < self.keys.size]] != keys[at < self.keys.size]
+        new[old[same]] = False
         pick = np.flatnonzero(new)
         if pick.size:
-            sizes = ends[pick] - starts[pick]
-            upto = np.cumsum(sizes)
-            where = np.arange(upto[-1]) + np.repeat(starts[pick] - (upto - sizes), sizes)
-            long = self.library.encode_batch_fast(["x" + data[where].tobytes().decode()], add_special_tokens=False)[0].ids
-            found = np.array(long, np.int32)[1:]
-            covered = np.cumsum(self.lengths[found])
-            last = np.searchsorted(covered, upto)  # token that ends each piece
-            if (covered[last] != upto).any():
-                raise AssertionError("a token crosses pieces")
-            number = np.diff(np.concatenate([[-1], last]))
-            spot = at[pick]
-            self.keys = np.insert(self.keys, spot, keys[pick])
-            self.place = np.insert(self.place, spot, last + 1 - number + self.pool.size)
-            self.count = np.insert(self.count, spot, number)
+            counts, found = self._library(data, starts[pick], ends[pick])
+            number[pick], place[pick] = counts, np.cumsum(counts) - counts + self.pool.size
             self.pool = np.concatenate([self.pool, found])
-            at = np.searchsorted(self.keys, keys)
-        return self.count[at], self.place[at]
+            # one piece of each hash is kept
+            fresh = np.ones(keys.size, bool)
+            fresh[old] = False
+            keep = pick[fresh[pick]]
+            keep = keep[np.unique(keys[keep], return_index=True)[1]]
+            sizes = ends[keep] - starts[keep]
+            upto = np.cumsum(sizes)
+            total = int(upto[-1]) if keep.size else 0
+            while self.used + total > self.raw.size:
+                self.raw = np.concatenate([self.raw, np.zeros(self.raw.size, np.uint8)])
+            self.raw[self.used : self.used + total] = data[np.arange(total) + np.repeat(starts[keep] - (upto - sizes), sizes)]
+            spot = np.searchsorted(self.keys, keys[keep])
+            for name, values in (("keys", keys[keep]), ("place", place[keep]), ("count", number[keep]), ("size_of", sizes), ("spot", self.used + upto - sizes)):
+                setattr(self, name, np.insert(getattr(self, name), spot, values))
+            self.used += total
+        return number, place
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each text's offset in them)."""
@@ -168,9 +195,9 @@ class BatchEncoder:
             at = int(sizes.sum())
         rest = np.flatnonzero(~fresh)
         if rest.size:
-            keys = Hasher(data)(starts[rest], ends[rest])
-            distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            sizes, places = self._pieces(distinct, data, starts[rest[first]], ends[rest[first]])
+            keys = hash_ranges(data, starts[rest], ends[rest])
+            first, back = representatives(data, starts[rest], ends[rest], keys)
+            sizes, places = self._pieces(keys[first], data, starts[rest[first]], ends[rest[first]])
             counts[rest], begin[rest] = sizes[back], places[back] + at
             ids.append(self.pool)
         pool = np.concatenate(ids)
@@ -189,26 +216,34 @@ def encoder_of(path: str) -> BatchEncoder:
 # --------------------------------------------------------------------- writing
 
 
-def _range_parts(docs: DataFrame, id_col: str, n: int) -> tuple[list, dict[int, int]]:
-    """(n - 1 quantiles of the ids; for each range a number that hash partitioning sends to a partition of its own)."""
+def _range_parts(docs: DataFrame, id_col: str, least: int) -> tuple[int, int, list[float], dict[int, int]]:
+    """(parts, those of null ids, bounds between the others, for each part a number that hash partitioning sends there).
+
+    Bounds are quantiles; an id that many rows have is a bound several times.
+    """
     spark = docs.sparkSession
-    bounds = sorted(set(docs.select(F.col(id_col).cast("double").alias("v")).approxQuantile("v", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    rows, known = docs.agg(F.count("*"), F.count(id_col)).first()
+    n = max(least, -(-rows // PART_ROWS))
+    empty = (rows - known) * n // max(rows, 1)
+    bounds = sorted(docs.select(F.col(id_col).cast("double").alias("v")).approxQuantile("v", [k / (n - empty) for k in range(1, n - empty)], 0.2 / n)) if n - empty > 1 and known else []
     place: dict[int, int] = {}
     for k, p in spark.range(40 * n).select("id", F.pmod(F.hash("id"), F.lit(n))).collect():
         place.setdefault(p, k)
-    return bounds, place
+    return n, empty, bounds, place
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Encode docs and write their shards; (part, records, tokens) of each shard. One job runs when it is used."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bounds, place = _range_parts(docs, "id", n)
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("id").cast("double"))), F.lit(0)) if bounds else F.lit(0)
-    part = F.when(F.col("id").isNull(), 0).otherwise(part)
-    keys = F.array(*[F.lit(place.get(k, k)).cast("long") for k in range(len(bounds) + 1)])
-    dealt = docs.withColumn("part", part.cast("int")).withColumn("deal", F.element_at(keys, F.col("part") + 1)).repartition(n, "deal")
+    n, empty, bounds, place = _range_parts(docs, "id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # rows of one id that is a bound several times are dealt over its parts in order of their texts' hashes
+    share = F.xxhash64("text") / F.lit(2.0**64) + 0.5
+    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    before, upto = (F.size(F.filter(edges, t)) for t in (lambda b: b < F.col("id").cast("double"), lambda b: b <= F.col("id").cast("double")))
+    part = F.when(F.col("id").isNull(), F.floor(share * (empty + 1))).otherwise(empty + before + F.floor(share * (upto - before + 1)))
+    keys = F.array(*[F.lit(place.get(k, k)).cast("long") for k in range(n)])
+    dealt = docs.withColumn("part", F.least(part, F.lit(n - 1)).cast("int")).withColumn("deal", F.element_at(keys, F.col("part") + 1)).repartition(n, "deal")
     dealt = dealt.sortWithinPartitions(F.col("part"), F.col("id").asc_nulls_first(), F.xxhash64("text"), "text").select("part", "id", "text")
 
     def write(batches):

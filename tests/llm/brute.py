@@ -1,5 +1,6 @@
 """Plain versions of the operators, one row or pair at a time."""
 
+import collections
 import hashlib
 import re
 import zlib
@@ -68,3 +69,27 @@ def targets(sizes, weights, share, times):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def repeated_lines_and_words(text):
+    """(lines with a word equal to an earlier one, words in 3-word windows found twice or more)."""
+    text = text or ""
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    w = WORD.findall(text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    twice = {x for x in windows if windows.count(x) > 1} if len(windows) < 500 else {x for x, n in collections.Counter(windows).items() if n > 1}
+    return len(lines) - len(set(lines)), len({i + j for i, x in enumerate(windows) if x in twice for j in range(3)})
+
+
+def rules(text):
+    """(base_failed, kept)."""
+    text = text or ""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    again, repeated = repeated_lines_and_words(text)
+    failed = len(w) < 50 or 100 * repeated > 50 * len(w)
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    chars = sum(map(len, w))
+    bad = 10 * sum(c in "#*$%&|<>" for c in text) > len(w) or 10 * again > 6 * len(lines) or 100 * repeated > 40 * len(w)
+    bad = bad or chars < 2 * len(w) or chars > 20 * len(w) or 2 * upper > upper + lower
+    bad = bad or 10 * sum(bool(re.search("[a-zA-Z]|[^\0-\x7f]", x)) for x in w) < 7 * len(w)
+    return failed, not failed and not bad

@@ -109,7 +109,7 @@ def test_max_plus_product_is_associative():
 def test_token_records(spark, odd, empty, tmp_path):
     folder = f"file://{tmp_path}/r"
     got = {r["doc_id"]: r for r in token_records.token_records(odd, BPE, folder=folder).collect()}
-    library = token_records.encoder_of(BPE).library
+    library = Tokenizer.from_file(BPE)
     start = 0
     for r in sorted(odd.collect(), key=lambda r: r["doc_id"]):
         ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]
@@ -131,13 +131,63 @@ def test_token_records(spark, odd, empty, tmp_path):
 
 
 def test_batch_encoder_on_odd_blanks():
-    rng, encoder = random.Random(4), token_records.BatchEncoder(BPE)
+    rng, encoder, fresh = random.Random(4), token_records.BatchEncoder(BPE), Tokenizer.from_file(BPE)
     texts = ["".join(rng.choice([" ", "  ", "a", "é", " b", "'s", "\n", "　", " ", "1", "!", "日", " ß", " ", "\x85", "\x1c", "<|endoftext|>"]) for _ in range(rng.randrange(30))) for _ in range(2000)]
     for _ in range(2):  # the second time from what it has kept
         for low, _, data, offsets in common.byte_slices(pa.array(texts), 4000):
             ids, upto = encoder.encode(data, offsets)
             for i in range(offsets.size - 1):
-                assert ids[upto[i] : upto[i + 1]].tolist() == encoder.library.encode(texts[low + i], add_special_tokens=False).ids, texts[low + i]
+                assert ids[upto[i] : upto[i + 1]].tolist() == fresh.encode(texts[low + i], add_special_tokens=False).ids, texts[low + i]
+
+
+def alike_words(n):
+    """Two words of Thue-Morse shape: hashes modulo a power of two take long ones of them for equal."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_made_to_collide(spark, size):
+    x, y = alike_words(size)
+    fresh, encoder = Tokenizer.from_file(BPE), token_records.BatchEncoder(BPE)
+    for texts in ([f"a {x} {y}"], [f"b {y} {x} {x}"]):
+        for _, _, data, offsets in common.byte_slices(pa.array(texts)):
+            assert encoder.encode(data, offsets)[0].tolist() == fresh.encode(texts[0], add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, x), (2, y), (3, f"{x}\n{y}\n{x}"), (4, f"{x} {x} {x} {y} {x} {x}")], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard_join.jaccard_components(docs.filter("doc_id < 3")).orderBy("doc_id").collect()] == [(1, 1, 1), (2, 1, 2)]
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in rules_cascade.quality_rules(docs).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (0, 0)}
+
+
+def test_equality_is_by_bytes(monkeypatch):
+    """With a hash that takes nearly all for equal, the same results."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "d\n", "e e e", "\n"]) for _ in range(rng.randrange(60))) for _ in range(80)]
+    fresh, encoder = Tokenizer.from_file(BPE), token_records.BatchEncoder(BPE)
+    for module in (rules_cascade, token_records):
+        monkeypatch.setattr(module, "hash_ranges", lambda data, starts, ends, *_: (ends - starts).astype(np.uint64) % np.uint64(2))
+    for _, _, data, offsets in common.byte_slices(pa.array(texts)):
+        s = rules_cascade.Statistics(data, offsets)
+        for i, t in enumerate(texts):
+            assert (s["n_dup_lines"][i], s["n_repeat_words"][i]) == brute.repeated_lines_and_words(t)
+        for _ in range(2):
+            ids, upto = encoder.encode(data, offsets)
+            assert [ids[upto[i] : upto[i + 1]].tolist() for i in range(len(texts))] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_records_of_repeated_and_null_ids(spark):
+    rows = [(None, f"n{i}") for i in range(60)] + [(7, f"r{i}") for i in range(90)] + [(i, "x y") for i in range(40)] + [(7, "r1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash"))
+    got = sorted((tuple(r) for r in token_records.token_records(docs, BPE).collect()), key=lambda r: r[1])
+    fresh, at = Tokenizer.from_file(BPE), 0
+    assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    want = sorted((-1 if key is None else key, brute.crc([*fresh.encode(t, add_special_tokens=False).ids, 2])) for key, t in rows)
+    assert sorted((-1 if r[0] is None else r[0], r[3]) for r in got) == want
 
 
 def test_batch_encoder_matches_added_tokens():
@@ -467,13 +517,44 @@ def test_rules_do_not_depend_on_their_order(spark, odd, empty):
     for r in odd.collect():
         w = brute.WORD.findall(r["text"] or "")
         assert first[r["doc_id"]][1:3] == (len(w), sum(map(len, w)))
+        assert first[r["doc_id"]][4:6] == brute.repeated_lines_and_words(r["text"])
+        assert first[r["doc_id"]][6:] == brute.rules(r["text"])
     for _, _, data, offsets in common.byte_slices(pa.array([r["text"] for r in odd.collect()])):
-        s = rules_cascade.Statistics(data, offsets)
-        c = rules_cascade.counts_of(s)
-        a, b = (rules_cascade.cascade(s, c, o) for o in (rules_cascade.RULES, rules_cascade.RULES[::-1]))
+        a, b = (rules_cascade.cascade(rules_cascade.Statistics(data, offsets), o) for o in (rules_cascade.RULES, rules_cascade.RULES[::-1]))
         assert (a == b).all()
     assert rules_cascade.quality_rules(empty).isEmpty()
-    assert [r.name for r in rules_cascade.order_rules([("symbols", 1.0, 0.1), ("lines", 1.0, 0.5), ("repeats", 0.1, 0.1), ("lengths", 1.0, 0.0), ("shouting", 1.0, 0.0), ("letterless", 1.0, 0.0)], rules_cascade.RULES)][:3] == ["repeats", "lines", "symbols"]
+    clash = odd.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit("y"))
+    assert {r["doc_id"]: r["kept"] for r in rules_cascade.quality_rules(clash).collect()} == {k: v[-1] for k, v in first.items()}
+    kept = rules_cascade.kept_documents(clash)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, v in first.items() if v[-1])
+
+
+def test_rules_are_ordered_by_rejections_per_cost():
+    costs = {"n_words": 0.0, "n_symbols": 1.0, "n_dup_lines": 4.0, "n_lines": 4.0, "n_repeat_words": 8.0, "word_chars": 1.0, "upper": 1.0, "lower": 1.0, "worded": 2.0}
+    shares = {"symbols": 0.1, "lines": 0.4, "repeats": 0.2, "lengths": 0.3, "shouting": 0.0, "letterless": 0.5}
+    names = lambda made: [r.name for r in rules_cascade.order_rules(costs, shares, rules_cascade.RULES, made)]
+    assert names(()) == ["lengths", "letterless", "symbols", "lines", "repeats", "shouting"]
+    assert names(("n_repeat_words", "n_dup_lines"))[:2] == ["repeats", "lengths"]  # what is made anyway is free
+
+
+def test_the_cascade_skips_what_it_need_not_make(monkeypatch):
+    made = []
+    for name, make in list(rules_cascade.STATISTICS.items()):
+        monkeypatch.setitem(rules_cascade.STATISTICS, name, lambda s, make=make, name=name: (made.append((name, s.n_words.size)), make(s))[1])
+    texts = ["few words"] * 6 + ["# " * 60] * 3 + [" ".join(f"word{i}" for i in range(60))]
+    for _, _, data, offsets in common.byte_slices(pa.array(texts)):
+        assert rules_cascade.cascade(rules_cascade.Statistics(data, offsets), rules_cascade.RULES).tolist() == [False] * 9 + [True]
+    assert ("n_repeat_words", 4) in made and ("worded", 1) in made and not any(n == 10 and name != "n_words" for name, n in made)
+
+
+def test_long_texts_go_in_pieces():
+    rng = random.Random(9)
+    text = "\n".join(" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(12))) for _ in range(300)) + " " + "z" * 900
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = common.word_bounds(data, np.array([0, data.size]))
+    whole, parts = common.hash_ranges(data, starts, ends), common.hash_ranges(data, starts, ends, most=1000)
+    assert (whole == parts).all() and np.unique(whole).size == len(set(brute.WORD.findall(text)))
+    assert (common.hash_ranges(data, starts, ends, True, 500) == common.hash_ranges(data, starts, ends, True, 899)).all()
 
 
 # --------------------------------------------------------------------- pipeline
