@@ -1,18 +1,23 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 The words of each source are one long sequence, packed into blocks of
-``BLOCK`` words.  A source's target decides its number of slots; the slots are
-dealt to output shards by pseudorandom draws (so a shard's counts are
-multinomial), slot j of a source takes block permutation(j) of pass j div
-blocks, and blocks are joined to the slots by index.  No block is taken more
-than twice, so no document is.  The mix is written as the shards' blocks;
-digest and documents are read from these.
+``BLOCK`` words.  A source's target, rounded to words, fixes its slots: whole
+passes over its blocks, then as many blocks as reach it, of which the last one
+is cut.  For every output shard the number of slots of each source is drawn,
+multinomially given the sources' totals; these counts decide which slots a
+shard has: the next so many of each source, in the order of shards.  Slot j of a
+source takes block permutation(j modulo its blocks) of its pass, blocks are
+joined to the slots by index, and the mix is written as the shards' blocks;
+digest and documents are read from these.  No pass goes beyond the second, so
+no document is taken more than twice, and every source's words are its target,
+rounded (one word at least, where the target is above 0).
 
 A null text has no words; a null source is a source of its own, last in order;
 a source without words has target 0; rows with equal ids are packed one by one
-and summed in the digest; an empty table gives an empty result; other columns
-are kept by ``mixed_documents`` and not read otherwise.  All draws are hashes,
-so reruns agree.
+and summed in the digest; an empty table gives an empty result; other columns,
+whatever their names, are kept by ``mixed_documents`` (``n_chars`` follows the
+new text) and not read otherwise.  A very long text is spread over blocks like
+any other.  All draws are hashes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -61,18 +66,36 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def permuted(j: Column, n: Column, key: Column, rounds: int = 12) -> Column:
-    """A pseudorandom permutation of 0 .. n - 1 at j: swap-or-not.
+def permuted(j: Column, n: Column, key: Column, rounds: int = 12, back: bool = False) -> Column:
+    """A pseudorandom permutation of 0 .. n - 1 at j, or its inverse: swap-or-not.
 
     In each round x and its partner (k - x) modulo n trade places if a hash of
-    the larger of them says so; both see the same hash, so it is a bijection.
+    the larger of them says so; both see the same hash, so a round undoes
+    itself, and the rounds in reverse order are the inverse.
     """
 
     def turn(x, r):
         partner = F.pmod(F.pmod(F.xxhash64(key, r), n) + n - x, n)
         return F.when(F.pmod(F.xxhash64(key, r, F.greatest(x, partner)), F.lit(2)) == 0, partner).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), j, turn)
+    return F.aggregate(F.sequence(F.lit(rounds), F.lit(1)) if back else F.sequence(F.lit(1), F.lit(rounds)), j, turn)
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows before, by keys; rows are summed in buckets, so no task holds a key's rows.
+
+    bucket orders like order; keys may be null.
+    """
+    df = df.withColumn("bucket", bucket)
+    sums = df.groupBy(*keys, "bucket").agg(F.sum(value).alias("s"))
+    upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("begin", F.sum("s").over(upto) - F.col("s")).select(*(F.col(k).alias(f"{k}_2") for k in [*keys, "bucket"]), F.col("begin").alias("bucket_begin"))
+    inner = Window.partitionBy(*keys, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("inner", F.sum(value).over(inner) - F.col(value))
+    same = F.col("bucket") == F.col("bucket_2")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_2"))
+    return df.join(sums, same).withColumn(name, F.col("bucket_begin") + F.col("inner")).drop("bucket_begin", "inner", "bucket", "bucket_2", *(f"{k}_2" for k in keys))
 
 
 def packed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame]:
@@ -81,41 +104,58 @@ def packed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block:
     rows = materialize(rows, "mixture-sizes")
     targets = materialize(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n")), "mixture-targets")
     buckets = max(1, math.isqrt(rows.count()))  # as many as there are rows in each
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "h", F.lit(5)), F.lit(buckets)))
-    # place in the source: that of the bucket, from the buckets' sums, and that within the bucket
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
-    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.withColumn("begin", F.sum("s").over(order) - F.col("s")).drop("s")
-    inner = Window.partitionBy("source", "bucket").orderBy("id", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("in_bucket", F.sum("size").over(inner) - F.col("size"))
-    rows = rows.join(sums.withColumnRenamed("source", "s2").withColumnRenamed("bucket", "b2"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
-    rows = rows.withColumn("place", F.col("begin") + F.col("in_bucket"))
+    rows = running_total(rows, ["source"], ["id", "h"], F.pmod(F.xxhash64("id", "h", F.lit(5)), F.lit(buckets)), "size", "place")
     rows = rows.join(targets.select(F.col("source").alias("s3"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("s3")))
     return rows.select("id", "h", "source", "rank", "size", "place", "source_size", "target"), targets
 
 
+def slot_numbers(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(rank, blocks, slots, cut): a source's blocks, its slots, and the words that its last slot takes of its block."""
+    t = targets.filter("target > 0").select("rank", F.col("source_size").alias("size"), F.greatest(F.round("target"), F.lit(1.0)).cast("long").alias("goal"))
+    t = t.withColumn("blocks", F.ceil(F.col("size") / block).cast("long"))
+    t = t.withColumn("whole", F.floor(F.col("goal") / F.col("size")))
+    t = t.withColumn("rest", F.col("goal") - F.col("whole") * F.col("size"))
+    # the source's last block may be short; where it stands in the pass that is not whole
+    t = t.withColumn("lack", F.col("blocks") * block - F.col("size"))
+    t = t.withColumn("short", permuted(F.col("blocks") - 1, F.col("blocks"), F.xxhash64("rank", "whole"), back=True))
+    words = lambda n: n * block - F.when(F.col("short") < n, F.col("lack")).otherwise(0)  # noqa: E731  of the pass's first n slots
+    least = F.ceil(F.col("rest") / block).cast("long")
+    t = t.withColumn("more", F.when(words(least) >= F.col("rest"), least).otherwise(least + 1))
+    cut = F.when(F.col("more") > 0, F.col("rest") - words(F.col("more") - 1)).otherwise(block)
+    return t.select("rank", "blocks", (F.col("whole") * F.col("blocks") + F.col("more")).alias("slots"), cut.cast("long").alias("cut"))
+
+
+def shard_counts(numbers: DataFrame, shards: int) -> DataFrame:
+    """(shard, rank, n): how many slots of each source a shard gets; every slot of a source draws one of the shards."""
+    t = numbers.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))))
+    n = max(1, int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    t = t.select("rank", "slots", "chunk").repartition(n, "rank", "chunk")
+    t = t.select("rank", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("slots")) - 1)).alias("draw"))
+    return t.groupBy(F.floor(_uniform(F.col("rank"), F.col("draw"), F.lit(31)) * shards).alias("shard"), "rank").agg(F.count("*").alias("n"))
+
+
 def slots(targets: DataFrame, block: int = BLOCK, shards: int | None = None) -> DataFrame:
-    """(rank, slot, shard, order in the shard, block, pass): every slot of the mix.
+    """(rank, slot, shard, order in the shard, block, pass, limit): every slot of the mix.
 
-    A source has target / block slots, rounded, at least one if it has a
-    target, at most MOST_TIMES a block.
-    Every slot draws its shard, so that each shard's counts are multinomial.
+    The shards' drawn counts decide which slots are theirs; a slot takes the
+    first ``limit`` words of its block.
     """
-    t = targets.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
-    t = t.withColumn("slots", F.least(F.greatest(F.round(F.col("target") / block).cast("long"), F.lit(1)), F.col("blocks") * MOST_TIMES)).filter("target > 0")
+    numbers = slot_numbers(targets, block)
     if shards is None:
-        shards = max(1, int(t.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]) // CHUNK)
-    t = t.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))))
-    n = max(1, int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    t = t.select("rank", "slots", "blocks", "chunk").repartition(n, "rank", "chunk")
-    t = t.withColumn("slot", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("chunk") * CHUNK + CHUNK, F.col("slots")) - 1)))
+        shards = max(1, int(numbers.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]) // CHUNK)
+    counts = materialize(shard_counts(numbers, shards), "mixture-counts")
+    counts = running_total(counts, ["rank"], ["shard"], F.floor(F.col("shard") / max(1, math.isqrt(shards))), "n", "begin")
+    t = counts.join(numbers.withColumnRenamed("rank", "r2"), F.col("rank") == F.col("r2"))
+    t = t.withColumn("slot", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)))
+    turn = F.floor(F.col("slot") / F.col("blocks"))
     return t.select(
         "rank",
         "slot",
-        F.floor(_uniform(F.col("rank"), F.col("slot"), F.lit(31)) * shards).alias("shard"),
+        "shard",
         _uniform(F.col("rank"), F.col("slot"), F.lit(37)).alias("order"),
-        permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.xxhash64(F.col("rank"), F.floor(F.col("slot") / F.col("blocks")))).alias("block"),
-        F.floor(F.col("slot") / F.col("blocks")).alias("pass"),
+        permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.xxhash64(F.col("rank"), turn)).alias("block"),
+        turn.alias("pass"),
+        F.when(F.col("slot") == F.col("slots") - 1, F.col("cut")).otherwise(block).alias("limit"),
     )
 
 
@@ -131,6 +171,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     """(packed rows; the mix as written: every slot's pieces, with its shard, order and pass)."""
     rows, targets = packed(docs, id_col, source_col, text_col, block)
     dealt = pieces(rows, block).join(slots(targets, block).hint("merge"), ["rank", "block"])
+    dealt = dealt.withColumn("words", F.least("words", F.col("limit") - F.col("at"))).filter("words > 0").drop("limit")
     return rows, materialize(dealt, "mixture-shards")
 
 
@@ -168,15 +209,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     words_of = lambda k: F.sum(F.when(F.col("pass") == k, F.col("words")).otherwise(0))
     marks = taken.groupBy("id", "h").agg(F.collect_list(F.struct("first", "words", "pass")).alias("_taken"), words_of(0).alias("_words"), words_of(1).alias("_again"))
     marks = marks.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "_taken", "_words", "_again")
-    out = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = out.join(marks, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_h")))
-    out = out.withColumn("_size", F.regexp_count(F.col(text_col), F.lit(WORD)))
-    out = out.withColumn("_pass", F.explode(F.when(F.col("_again") > 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    whole = F.when(F.col("_pass") == 1, F.col("_words")).otherwise(F.col("_again")) >= F.col("_size")
-    ranges = F.array_sort(F.filter("_taken", lambda x: x["pass"] == F.col("_pass") - 1))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
+    # columns of docs go in one struct, so no name of theirs meets one of ours
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("text"))
+    out = out.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = out.join(marks, F.col("i").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_h")))
+    out = out.withColumn("size", F.regexp_count("text", F.lit(WORD)))
+    out = out.withColumn("turn", F.explode(F.when(F.col("_again") > 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    whole = F.when(F.col("turn") == 1, F.col("_words")).otherwise(F.col("_again")) >= F.col("size")
+    ranges = F.array_sort(F.filter("_taken", lambda x: x["pass"] == F.col("turn") - 1))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     cut = F.array_join(F.flatten(F.transform(ranges, lambda x: F.slice(words, (x["first"] + 1).cast("int"), x["words"].cast("int")))), " ")
-    out = out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    kept = {c: F.col("row").getField(c) for c in docs.columns} | {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(F.col(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        kept["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.filter("text != ''").select(*(v.alias(c) for c, v in kept.items()))
