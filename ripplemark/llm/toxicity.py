@@ -1,18 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers over token classes (insult, threat, target, negation, reported
-speech) are composed into one machine.  Clauses that hold an insult or a threat
-are run through it, and the best path's weight is the clause's score: a target
-near by raises it, a negation before it or reported speech lowers it.  The
-document's score is the logistic of its clauses' weights.
-
-Which words (and word beginnings) are insults, and how much each weighs, is
-learned from at most about ``PER_CLASS`` labelled documents of class 0 and 1.
+A clause's tokens are classes: insult, threat verb, target, negation, report,
+or other.  Five transducers read them one after the other, composed into one
+machine: insults are taken literally, piled up, or as mere mentions; a threat
+verb is a threat only with a target close by; a target close to an insult aims
+it (if it follows, the machine has guessed that it will); a negation shortly
+before a hit and a report before it mark it.  Arcs carry labels, and a label's
+weight is learned from labelled documents; the best path's weight is the
+clause's score, and the document's is the logistic of a base and all its
+clauses.  A lone insult that is neither aimed nor a threat stays below 0.5, a
+threat does not.
+
+Learned from at most about ``PER_CLASS`` labelled documents of class 0 and 1:
+which words (and word beginnings) are insults, and the weights of the labels.
+Targets, negations, reports and threat verbs are fixed lists.
 
 Null and empty text and text without any match get the base score; labels
 that are null or neither 0 nor 1 are left out; without labels only threats
 match; rows with equal ids are scored alike; an empty table gives an empty
-result; other columns are not read.
+result; other columns, whatever their names, are kept by ``without_toxic`` and
+not read otherwise; texts and clauses are read whole, however long.
 """
 
 from __future__ import annotations
@@ -20,10 +27,12 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from dataclasses import dataclass
+from bisect import bisect_left
+from dataclasses import dataclass, field
 from functools import cache, reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +42,19 @@ from .quality_qda import pick_labelled
 
 PER_CLASS = (6000, 3000)
 LEAST_SUPPORT = 5
-MOST_FEATURES = 65_536
-BASE = -3.0
+#: Labels of arcs: base, insult, piled-up insult, threat, aimed, negated, reported; and their weights before any learning.
+LABELS = "0IJTANQ"
+PRIOR = (-3.0, 1.6, 1.6, 3.6, 0.6, -1.2, -1.0)
+#: How firmly weights are held to those: as if by so many documents each.
+FIRMNESS = (0.1, 0.5, 0.5, 1.0, 1.0, 1.0, 1.0)
+#: A lone insult stays so far below the threshold, and a threat so far above, in log-odds.
+MARGIN = 0.5
 #: Function words of the grammar, by class, in English, German, French and Spanish.
 TARGETS = frozenset("you your yours he she they them him her we us du ihr euch sie er dich dir tu toi vous te il elle ils tú usted ustedes él ella ellos ti".split())
+OBJECTS = frozenset("dich euch dir ihn ihm te vous ti os lo lui".split())
 NEGATIONS = frozenset("not no never isn aren wasn don doesn neither nor nicht kein keine keinen nie niemals ne pas jamais aucun nunca jamás tampoco".split())
 REPORTS = frozenset("said says say called calls quoted quote wrote writes reported reports alleged claimed sagte sagt nannte zitierte schrieb dit disait appelé cité dijo dice llamó citó escribió".split())
-THREATS = ("kill you", "hurt you", "destroy you", "beat you", "find you and", "make you suffer", "dich umbringen", "dich töten", "te tuer", "vous tuer", "te voy a matar", "matarte")
+THREATS = frozenset("kill murder hurt destroy stab shoot strangle umbringen töten verletzen erschießen tuer étrangler poignarder matar matarte matarlos apuñalar".split())
 _TOKEN = re.compile(r"[^\W\d_]+")
 _BORDER = re.compile(r"[.!?;\n]")
 
@@ -49,66 +64,119 @@ _BORDER = re.compile(r"[.!?;\n]")
 
 @dataclass(frozen=True)
 class Transducer:
-    """arcs: {(state, in class): ((next state, out class, weight), ...)}; all states accept; state 0 starts."""
+    """arcs: {(state, in class): ((next state, out class, labels), ...)}; state 0 starts, finals accept."""
 
     arcs: dict
+    finals: frozenset
 
     def then(self, other: Transducer) -> Transducer:
-        """Composition: what self puts out goes into other; weights add."""
+        """Composition: what self puts out goes into other; labels of both add up."""
         number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
         classes = sorted({c for _, c in self.arcs})
         while todo:
             a, b = todo.pop()
             for c in classes:
                 got = []
-                for a2, mid, w in self.arcs.get((a, c), ()):
-                    for b2, out, v in other.arcs.get((b, mid), ()):
+                for a2, mid, x in self.arcs.get((a, c), ()):
+                    for b2, out, y in other.arcs.get((b, mid), ()):
                         if (a2, b2) not in number:
                             number[a2, b2] = len(number)
                             todo.append((a2, b2))
-                        got.append((number[a2, b2], out, w + v))
+                        got.append((number[a2, b2], out, x + y))
                 if got:
                     arcs[number[a, b], c] = tuple(got)
-        return Transducer(arcs)
-
-    def best(self, classes: str, weights: list[float]) -> float:
-        """Weight of the best path over a clause; weights are the tokens' own, counted where an arc's out class stays a hit."""
-        states = {0: 0.0}
-        for c, own in zip(classes, weights, strict=True):
-            after: dict[int, float] = {}
-            for state, sum_ in states.items():
-                for state2, out, w in self.arcs.get((state, c), ()):
-                    # a hit's arc weight is a factor in log form on its own weight
-                    value = sum_ + (own * math.exp(w) if own else w)
-                    if value > after.get(state2, -math.inf):
-                        after[state2] = value
+        return Transducer(arcs, frozenset(n for (a, b), n in number.items() if a in self.finals and b in other.finals))
+
+    def best(self, classes: str, weights: dict[str, float]) -> tuple[float, str]:
+        """Weight and labels of the best path over a clause; of equal ones that with the least labels."""
+        states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        for c in classes:
+            after: dict[int, tuple[float, str]] = {}
+            for state, (value, labels) in states.items():
+                for state2, _, more in self.arcs.get((state, c), ()):
+                    new = (value + sum(weights[x] for x in more), labels + more)
+                    old = after.get(state2)
+                    if old is None or new[0] > old[0] or new[0] == old[0] and new[1] < old[1]:
+                        after[state2] = new
             states = after
-        return max(states.values(), default=0.0)
+        return max((v for k, v in states.items() if k in self.finals), key=lambda v: (v[0], [-ord(x) for x in v[1]]), default=(0.0, ""))
 
 
-#: Classes of tokens: word, insult, threat, target, negation, report.
-CLASSES = "witgnr"
+#: Classes of tokens: other word, insult, threat verb, target, target in the form of an object before a verb, negation, report.
+TOKENS = "wivgonr"
+#: How many tokens apart a target and its hit, a target and its threat verb, a negation, a report may be.
+AIM, GRIP, DENIAL, REPORT = 3, 3, 3, 6
+REACH = max(AIM, GRIP, DENIAL, REPORT)
 
 
-def _window(opens: str, hits: str, reach: int, factor: float) -> Transducer:
-    """For reach tokens after one of opens, hits are weighted by factor."""
+def insult_transducer() -> Transducer:
+    """An insult is literal (I), piled on the one just before (J), or mentioned (an ordinary word)."""
+    arcs = {}
+    for state in (0, 1):
+        for c in TOKENS:
+            arcs[state, c] = ((0, c, ""),)
+        arcs[state, "i"] = ((1, "J" if state else "I", "J" if state else "I"), (1, "w", ""))
+    return Transducer(arcs, frozenset((0, 1)))
+
+
+def threat_transducer() -> Transducer:
+    """A threat verb is a threat (T) with a target in the GRIP tokens after it, or one in object form before it; else a word."""
+    arcs, number = {}, {}
+    at = lambda before, after: number.setdefault((before, after), len(number))
+    at(0, 0)
+    for before in range(GRIP + 1):
+        for after in range(GRIP + 1):  # a threat was read, and its target must come within so many tokens
+            for c in "wIJvgonr":
+                b = GRIP if c == "o" else max(0, before - 1)
+                if c not in "go" and after == 1:
+                    continue  # it did not come
+                a = 0 if c in "go" else max(0, after - 1)
+                here = [(at(b, a), {"v": "w", "o": "g"}.get(c, c), "")]
+                if c == "v" and before:
+                    here = [(at(b, a), "T", "T")]
+                elif c == "v" and not after:
+                    here.append((at(b, GRIP), "T", "T"))
+                arcs[at(before, after), c] = tuple(here)
+    return Transducer(arcs, frozenset(n for (_, after), n in number.items() if not after))
+
+
+def target_transducer() -> Transducer:
+    """A hit with a target in the AIM tokens before it, or in those after it, is aimed (A)."""
+    arcs, number = {}, {}
+    at = lambda before, after: number.setdefault((before, after), len(number))
+    at(0, 0)
+    for before in range(AIM + 1):
+        for after in range(AIM + 1):
+            for c in "wIJTgnr":
+                if c != "g" and after == 1:
+                    continue
+                b, a = AIM if c == "g" else max(0, before - 1), 0 if c == "g" else max(0, after - 1)
+                here = [(at(b, a), c, "")]
+                if c in "IJ" and (before or after):
+                    here = [(at(b, a), c, "A")]
+                elif c in "IJ":
+                    here.append((at(b, AIM), c, "A"))
+                arcs[at(before, after), c] = tuple(here)
+    return Transducer(arcs, frozenset(n for (_, after), n in number.items() if not after))
+
+
+def marking_transducer(opens: str, reach: int, label: str) -> Transducer:
+    """Hits among the reach tokens after one of opens get the label."""
     arcs = {}
-    for state in range(reach + 1):
-        for c in CLASSES:
-            left = reach if c in opens else max(0, state - 1)
-            arcs[state, c] = ((left, c, math.log(factor) if c in hits and state else 0.0),)
-    return Transducer(arcs)
+    for left in range(reach + 1):
+        for c in "wIJTgnr":
+            arcs[left, c] = ((reach if c in opens else max(0, left - 1), c, label if left and c in "IJT" else ""),)
+    return Transducer(arcs, frozenset(range(reach + 1)))
+
+
+def transducers() -> tuple[Transducer, ...]:
+    """Insult, threat, target, negation, reported speech."""
+    return insult_transducer(), threat_transducer(), target_transducer(), marking_transducer("n", DENIAL, "N"), marking_transducer("r", REPORT, "Q")
 
 
 @cache
 def grammar() -> Transducer:
-    """insult o threat o target o negation o reported speech."""
-    insult = Transducer({(0, c): ((0, c, 0.0),) for c in CLASSES})
-    threat = _window("t", "i", 4, 1.2)
-    target = _window("g", "it", 3, 1.25)
-    negation = _window("n", "it", 3, 0.5)
-    report = _window("r", "it", 5, 0.6)
-    return reduce(Transducer.then, (insult, threat, target, negation, report))
+    return reduce(Transducer.then, transducers())
 
 
 # -------------------------------------------------------------------- the model
@@ -116,67 +184,101 @@ def grammar() -> Transducer:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of insult words, and of beginnings of words."""
+    """Odds of insult words, and of beginnings of words; weights of the grammar's labels."""
 
     words: dict[str, float]
     stems: dict[str, float]
+    weights: dict[str, float] = field(default_factory=lambda: dict(zip(LABELS, PRIOR, strict=True)))
 
     @property
     def automaton(self):
         machine = ahocorasick.Automaton()
-        for kind, found in ((0, self.words), (1, self.stems), (2, dict.fromkeys(THREATS, 4.0))):
-            for text, weight in found.items():
-                if text not in machine or machine.get(text)[0] > kind or kind == 1:
-                    machine.add_word(text, (kind, len(text), weight))
+        for kind, found in (("i", self.words), ("s", self.stems), ("v", THREATS)):
+            for text in found:
+                if text not in machine or kind == "v":
+                    machine.add_word(text, (kind, len(text)))
         if len(machine):
             machine.make_automaton()
         return machine
 
 
-def hits_of(low: str, machine) -> dict[int, tuple[int, str, float]]:
-    """{start: (end, class, weight)} of matches at word borders."""
-    found: dict[int, tuple[int, str, float]] = {}
-    for end, (kind, size, weight) in machine.iter(low):
+def hits_of(low: str, machine) -> dict[int, tuple[int, str]]:
+    """{start: (end, class)} of insults and threat verbs at word borders; the longest at a place."""
+    found: dict[int, tuple[int, str]] = {}
+    for end, (kind, size) in machine.iter(low):
         start, end = end + 1 - size, end + 1
-        if start and low[start - 1].isalpha() or kind != 1 and end < len(low) and low[end].isalpha():
+        if start and low[start - 1].isalpha() or kind != "s" and end < len(low) and low[end].isalpha():
             continue
-        if start not in found or found[start][2] < weight:
-            found[start] = (end, "t" if kind == 2 else "i", weight)
+        if start not in found or found[start][0] < end:
+            found[start] = (end, "v" if kind == "v" else "i")
     return found
 
 
-def clause_weights(text: str, machine) -> list[float]:
-    """Best-path weights of the clauses that hold a hit."""
+def clauses(text: str, machine) -> list[str]:
+    """Token classes of the clauses that hold an insult or a threat verb.
+
+    Of a run of other words so many stay as the grammar looks back or ahead;
+    more would change no path.
+    """
     low = text.lower()
     found = hits_of(low, machine)
+    if not found:
+        return []
+    borders = [m.start() for m in _BORDER.finditer(low)]
     out, upto = [], -1
     for at in sorted(found):
         if at < upto:
             continue
-        # a clause ends at sentence punctuation; of an endless one 400 characters each way stand for it
-        begin = max((m.end() for m in _BORDER.finditer(low, max(0, at - 400), at)), default=max(0, at - 400))
-        end = _BORDER.search(low, found[at][0])
-        upto = min(end.start() if end else len(low), at + 400)
-        upto = max(upto, found[at][0])
-        classes, weights, skip = [], [], 0
+        k = bisect_left(borders, at)
+        begin, upto = borders[k - 1] + 1 if k else 0, borders[k] if k < len(borders) else len(low)
+        classes, plain = [], 0
         for m in _TOKEN.finditer(low, begin, upto):
-            if m.start() < skip:
-                continue
-            hit = found.get(m.start())
-            if hit:
-                skip = hit[0]
-            word = m[0]
-            classes.append(hit[1] if hit else "n" if word in NEGATIONS else "r" if word in REPORTS else "g" if word in TARGETS else "w")
-            weights.append(hit[2] if hit else 0.0)
-        out.append(grammar().best("".join(classes), weights))
+            word, hit = m[0], found.get(m.start())
+            c = hit[1] if hit else "n" if word in NEGATIONS else "r" if word in REPORTS else "o" if word in OBJECTS else "g" if word in TARGETS else "w"
+            plain = plain + 1 if c == "w" else 0
+            if plain <= REACH + 1:
+                classes.append(c)
+        out.append("".join(classes))
     return out
 
 
-def score_text(text: str | None, machine) -> float:
+def score_text(text: str | None, machine, weights: dict[str, float]) -> float:
     """Logistic of the base and the clauses' weights; 0 to 1."""
-    if not text or not len(machine):
-        return 1 / (1 + math.exp(-BASE))
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, BASE + sum(clause_weights(text, machine))))))
+    total = weights["0"]
+    if text and len(machine):
+        total += sum(grammar().best(c, weights)[0] for c in clauses(text, machine))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+
+def label_counts(text: str | None, machine, weights: dict[str, float]) -> tuple[int, ...]:
+    """How often the best paths use each label, the base once."""
+    labels = "".join(grammar().best(c, weights)[1] for c in clauses(text, machine)) if text and len(machine) else ""
+    return (1, *(labels.count(x) for x in LABELS[1:]))
+
+
+def fit(rows: list[tuple[tuple[int, ...], int, int]]) -> dict[str, float]:
+    """Weights of the labels from (counts, 0 or 1, documents): logistic regression held to the prior."""
+    x, y, n = (np.array([r[i] for r in rows], float) for i in range(3))
+    prior, firm = np.array(PRIOR), np.array(FIRMNESS)
+    w = prior.copy()
+
+    def loss(v):
+        z = x @ v
+        return (n * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (firm * (v - prior) ** 2).sum()
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (p - y)) + firm * (w - prior)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(firm), slope)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-12:
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    out = dict(zip(LABELS, w.tolist(), strict=True))
+    out["I"] = min(out["I"], -out["0"] - MARGIN)
+    out["T"] = max(out["T"], -out["0"] + MARGIN)
+    return out
 
 
 def _features(text: str) -> dict[str, int]:
@@ -224,10 +326,11 @@ def choose(counts: list[tuple[str, int, int]], n: tuple[int, int], least: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model:
-    """Count words and word beginnings over the labelled sample; the driver gets at most MOST_FEATURES of them.
+    """The insults, from words and beginnings of words of the labelled sample, then the weights, from its best paths.
 
     Support is the number of different contexts, so copies of one document
-    count once.
+    count once.  The driver gets the features that enough toxic documents of
+    the sample hold, which the sample's size bounds, and label counts.
     """
     picked = pick_labelled(labels, id_col, label_col, per_class, held_out)
 
@@ -255,25 +358,34 @@ def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array(["", " "]), pa.nulls(2, pa.int64()), pa.array(n, pa.int64())], names=["f", "around", "clean"])
 
     # picked holds at most 4 * (6000 + 3000) rows
-    sample = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "_label").mapInArrow(rows, "f string, around long, clean long")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.select(F.col(id_col).alias("id"), "_label")), "id").select("text", "_label")
+    sample = chosen.mapInArrow(rows, "f string, around long, clean long")
     sums = materialize(sample.groupBy("f", "around").agg(F.sum("clean").alias("clean")).groupBy("f").agg(F.sum("clean").alias("clean"), F.count("around").alias("toxic")), "toxic-features")
     total = {r["f"]: r["clean"] for r in sums.filter(F.col("f").isin("", " ")).collect()}
     n = (total.get("", 0), total.get(" ", 0))
     if not all(n):
         return Model({}, {})
     best = sums.filter((F.length(F.trim("f")) > 0) & (F.col("toxic") >= LEAST_SUPPORT) & (F.col("clean") * n[1] <= F.col("toxic") * n[0] * 0.05))
-    best = best.orderBy(F.desc("toxic"), "f").limit(MOST_FEATURES).collect()
-    return choose([(r["f"], r["clean"], r["toxic"]) for r in best], n)
+    model = choose([(r["f"], r["clean"], r["toxic"]) for r in best.collect()], n)
+
+    def paths(batches):
+        machine = model.automaton
+        for batch in batches:
+            counts = [label_counts(t, machine, model.weights) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.list_(pa.int64())), batch.column(1)], names=["counts", "y"])
+
+    seen = chosen.mapInArrow(paths, "counts array<long>, y int").groupBy("counts", "y").agg(F.count("*").alias("n")).collect()
+    return Model(model.words, model.stems, fit(sorted((tuple(r["counts"]), r["y"], r["n"]) for r in seen)))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, predicted and n_clauses (with a match) of every document."""
+    """id, score and predicted of every document."""
     docs = docs.select(id_col, text_col)
 
     def rows(batches):
         machine = model.automaton
         for batch in batches:
-            scores = [score_text(t, machine) for t in batch.column(1).to_pylist()]
+            scores = [score_text(t, machine, model.weights) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[id_col, "score", "predicted"])
 
     return docs.mapInArrow(rows, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
@@ -286,6 +398,6 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
     def rows(batches):
         machine = model.automaton
         for batch in batches:
-            yield batch.filter(pa.array([score_text(t, machine) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([score_text(t, machine, model.weights) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -286,31 +286,78 @@ def test_toxicity_of_held_out_documents(spark):
 
 
 def test_grammar_weighs_clauses():
-    model = toxicity.Model({"moron": 5.0}, {"lowei": 5.0})
-    m = model.automaton
-    plain, target, negated, told = (toxicity.clause_weights(t, m)[0] for t in ("Such a moron.", "You are a moron.", "That is not a moron.", "They said such a moron."))
-    assert negated < plain < target and told < plain
-    assert toxicity.clause_weights("Loweischaft. oxymoron moronic", m) == [5.0]
-    assert toxicity.clause_weights("a moron; a moron", m) == [5.0, 5.0]
-    assert toxicity.score_text("I will kill you", toxicity.Model({}, {}).automaton) > 0.5
-    assert toxicity.score_text(None, m) == toxicity.score_text("", m) < 0.5
-
-
-def test_transducers_compose():
-    whole = toxicity.grammar()
-    one = toxicity._window("n", "i", 2, 0.5).then(toxicity._window("g", "i", 2, 2.0))
-    assert one.best("ngi", [0, 0, 4.0]) == pytest.approx(4.0)
-    assert whole.best("wwi", [0, 0, 4.0]) == pytest.approx(4.0)
-    assert whole.best("nwwwwwi", [0] * 6 + [4.0]) == pytest.approx(4.0)
+    model = toxicity.Model({"moron": 5.0, "scum": 4.0}, {"lowei": 5.0})
+    m, w = model.automaton, model.weights
+    score = lambda t: toxicity.score_text(t, m, w)
+    plain, before, after, negated, told = map(score, ("Such a moron.", "You are a moron.", "A moron, that is you.", "That is not a moron.", "They wrote that such a moron."))
+    assert score("") < negated < plain < before == after and score("") < told < plain < 0.5
+    assert score("a moron here. and there a moron") > 0.5 > plain  # two clauses
+    assert toxicity.clauses("Loweischaft. oxymoron moronic", m) == ["i"]
+    assert toxicity.clauses("a moron; a moron\nfine words", m) == ["wi", "wi"]
+    assert score("I will kill you") > 0.5 and score("they kill time") < 0.5 and score("never will I kill you") < score("I will kill you")
+    assert score("dich werde ich umbringen") > 0.5 and score("il va te tuer") > 0.5
+    assert toxicity.score_text(None, m, w) == score("") == score("nothing here") < 0.05
+    # a target, a negation or a report far off in an endless clause, and hits at both its ends
+    far = "word " * 3000
+    assert score(f"you {far} moron") == plain and score(f"moron {far} you are a moron") == score("moron. you are a moron")
+    assert score(f"{far} not a moron {far}") == negated
+
+
+def test_transducers_equal_brute_force():
+    """The composed machine's best path is the best over all paths through the five transducers, one after the other."""
+    parts, rng = toxicity.transducers(), random.Random(13)
+
+    def runs(machine, symbols, state=0):
+        if not symbols:
+            if state in machine.finals:
+                yield "", ""
+            return
+        for after, out, labels in machine.arcs.get((state, symbols[0]), ()):
+            for rest, more in runs(machine, symbols[1:], after):
+                yield out + rest, labels + more
+
+    for turn in range(300):
+        classes = "".join(rng.choice("wivgonri") for _ in range(rng.randrange(1, 8)))
+        weights = dict(zip(toxicity.LABELS, toxicity.PRIOR if turn % 2 else [rng.uniform(-2, 2) for _ in toxicity.LABELS], strict=True))
+        paths = {(classes, "")}
+        for part in parts:
+            paths = {(out, labels + more) for symbols, labels in paths for out, more in runs(part, symbols)}
+        values = [sum(weights[x] for x in labels) for _, labels in paths]
+        got, labels = toxicity.grammar().best(classes, weights)
+        assert got == pytest.approx(max(values)) and sum(weights[x] for x in labels) == pytest.approx(got)
+    assert len({labels for c in ("ig", "nig", "rig", "vg", "ii", "w") for _, labels in [toxicity.grammar().best(c, dict(zip(toxicity.LABELS, toxicity.PRIOR, strict=True)))]}) == 6
+
+
+def test_weights_are_learned():
+    rows = [((1, 0, 0, 0, 0, 0, 0), 0, 900), ((1, 1, 0, 0, 0, 0, 0), 0, 30), ((1, 2, 0, 0, 0, 0, 0), 1, 100), ((1, 1, 0, 0, 1, 0, 0), 1, 20), ((1, 2, 0, 0, 0, 2, 0), 0, 40)]
+    w = toxicity.fit(rows)
+    odds = lambda counts: sum(w[x] * c for x, c in zip(toxicity.LABELS, counts, strict=True))
+    assert all((odds(c) > 0) == bool(y) for c, y, _ in rows) and w["A"] > 0 > w["N"]
+    assert odds((1, 0, 0, 1, 0, 0, 0)) >= toxicity.MARGIN - 1e-9
+    only = toxicity.fit([((1, 1, 0, 0, 0, 0, 0), 1, 500), ((1, 0, 0, 0, 0, 0, 0), 0, 500)])
+    assert only["0"] + only["I"] <= -toxicity.MARGIN + 1e-9  # a lone word is not enough, whatever the labels say
+
+
+def test_grammar_beats_the_word_list(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.read_table(spark, sf, "documents"), common.read_table(spark, sf, "labels")
+    model = toxicity.train(docs, labels, queries.remainder("doc_id", 5) == 0)
+    machine, wrong = model.automaton, [0, 0]
+    for r in docs.join(labels, "doc_id").filter((queries.remainder("doc_id", 5) == 0) & F.col("toxic").isNotNull()).collect():
+        found = any(c == "i" for _, c in toxicity.hits_of((r["text"] or "").lower(), machine).values())
+        wrong[0] += (toxicity.score_text(r["text"], machine, model.weights) >= 0.5) != r["toxic"]
+        wrong[1] += found != r["toxic"]
+    assert wrong[0] < wrong[1]
 
 
 def test_toxicity_odd_rows(spark, odd, empty):
-    docs = spark.createDataFrame([(i, f"you awful {chr(97 + i % 26) * (2 + i // 26)} blorg here" if i % 2 else f"fine {chr(97 + i % 26) * 2} words here") for i in range(40)] + [(None, None), (41, ""), (42, "blorg " * 5000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"you awful {chr(97 + i % 26) * (2 + i // 26)} blorg here" if i % 2 else f"fine {chr(97 + i % 26) * 2} words here") for i in range(40)] + [(None, None), (41, ""), (42, "blorg " * 5000)], "doc_id long, text string").withColumn("_label", F.lit("x")).withColumn("toxic", F.lit(9))
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (41, None), (3, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, F.lit(False))
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, model).collect()}
     assert got[3] == 1 and got[4] == 0 and got[41] == 0 and got[None] == 0 and got[42] == 1
-    assert toxicity.without_toxic(docs, model).count() == 22
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.count() == 22 and kept.columns == docs.columns
     assert toxicity.train(docs, labels.limit(0), F.lit(False)) == toxicity.Model({}, {})
     assert toxicity.score_documents(empty, model).isEmpty()
 
@@ -597,7 +644,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     docs = common.read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, common.read_table(spark, sf_dir, "labels"), queries.remainder("doc_id", 5) == 0)
     machine = model.automaton
-    left = [r for r in docs.collect() if toxicity.score_text(r["text"], machine) < 0.5]
+    left = [r for r in docs.collect() if toxicity.score_text(r["text"], machine, model.weights) < 0.5]
     kept = common.materialize(corpus_pipeline.drop_toxic(spark, docs, sf_dir), "t")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in left)
     groups = brute.components([(r["doc_id"], r["text"]) for r in left], 5, 80, 100)
