@@ -9,30 +9,39 @@ starts earlier (smaller id, or same document and earlier start).
 2. Picks are counted over all documents; those met once are dropped.  A bit
    table of the others (of bounded size) goes to all tasks and only spares
    work: what it lets through is compared in full.
-3. Segments meet by pick.  Equal ones are reduced to the earliest within each
-   task, before the shuffle; all windows of the others are removed.  A pick
-   that very many windows share is split into bands that also hash the bytes
-   common to the band's windows.
-4. Each shard of segments gets a suffix array by induced sorting and permuted
-   common prefixes; suffixes in a row that agree on ``length`` bytes are one
-   window, and all but the earliest are removed.
-
-A null text is empty and matches never cross documents; rows with equal id and
-text are one document, and of rows with equal ids the text's hash decides who
-is earlier; null ids come last; an empty table gives an empty result; other
-columns are kept by ``without_repeats`` and not read otherwise.
+3. Segments meet by pick.  Equal ones (by hash, then by their bytes) are
+   reduced to the earliest within each task, before the shuffle; all windows of
+   the others are removed.  A pick that very many windows share is split into
+   bands that also hash the bytes common to the band's windows.
+4. Each shard of segments gets a suffix array: suffixes are classified, the
+   leftmost-smaller substrings are sorted by induction, named, and sorted by the
+   same method on their names until names differ, and all suffixes are induced
+   from them in linear time.  With permuted common prefixes, suffixes in a row
+   that agree on ``length`` bytes are one window, and all but the earliest are
+   removed.
+5. A key whose segments exceed ``KEY_BYTES`` is not brought to one task: its
+   windows are grouped by a cryptographic digest, each minimum found with
+   map-side combining.
+
+A null text is empty and matches never cross documents; a document longer than
+a slice is read in pieces that overlap by a window; rows with equal id and text
+are one document, and of rows with equal ids the text's hash decides who is
+earlier; null ids come last; an empty table gives an empty result; other
+columns, whatever their names, are kept by ``without_repeats`` (``n_chars``
+follows the new text) and not read otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, _powers, byte_slices, materialize, mix64
+from .common import Hasher, byte_slices, materialize, mix64, same_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -40,8 +49,11 @@ HOT = 256
 MOST_HOT = 1 << 16
 BAND = 8
 SHARD_BYTES = 1 << 21
+KEY_BYTES = 32 << 20
+SHARD_ROWS = 150_000
 MOST_BITS = 1 << 30
 FLUSH_BYTES = 48 << 20
+PIECE = 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -60,7 +72,7 @@ def _s_types(t: np.ndarray) -> np.ndarray:
 
 def _appended(ends: np.ndarray, chars: np.ndarray, direction: int) -> np.ndarray:
     """Places of items appended to the buckets of their chars, in order; ends move on."""
-    order = np.argsort(chars, kind="stable")
+    order = np.argsort(chars.astype(np.uint16), kind="stable")  # by counting, as keys have 16 bits
     ranked = chars[order]
     rank = np.arange(chars.size) - np.searchsorted(ranked, ranked)
     places = np.empty(chars.size, np.int64)
@@ -115,54 +127,63 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sigma: int) -> n
     return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet, by rank doubling: where the recursion ends."""
-    n, step = t.size, 1
-    _, rank = np.unique(t, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] if step < n else 0
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], (np.diff(key[order]) != 0).astype(np.int64)]))
-        rank, step = new, 2 * step
-        if rank.max() == n or step > 2 * n:
-            return order
-
-
-def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array of t (values 0 to sigma - 1) whose last value, 0, is a sentinel."""
+def _induce_names(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The same for an alphabet of names, where most buckets hold few suffixes: one suffix a step."""
+    counts = np.bincount(t, minlength=sigma)
+    ends = np.cumsum(counts)
+    head, tail = (ends - counts).tolist(), ends.tolist()
+    chars, small = t.tolist(), s_type.tolist()
+    sa = [-1] * len(chars)
+    for j in reversed(lms.tolist()):
+        c = chars[j]
+        tail[c] -= 1
+        sa[tail[c]] = j
+    for j in sa:
+        if j > 0 and not small[j - 1]:
+            c = chars[j - 1]
+            sa[head[c]] = j - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(len(sa) - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and small[j]:
+            c = chars[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    sa[0] = len(chars) - 1
+    return np.array(sa, np.int64)
+
+
+def suffix_array(t: np.ndarray, sigma: int, levels: list[int] | None = None) -> np.ndarray:
+    """Suffix array of t (values 0 to sigma - 1) whose last value, 0, stands nowhere else.
+
+    levels, if given, gets the length of the string at each level of the recursion.
+    """
     n = t.size
-    if n < 3 or sigma > 1024:
-        return _doubled(t) if n > 1 else np.zeros(n, np.int64)
+    if levels is not None:
+        levels.append(n)
+    if n < 3:
+        return np.arange(n)[::-1].copy()
+    induce = _induce if sigma <= 512 else _induce_names
     s_type = _s_types(t)
     mark = np.zeros(n, bool)
     mark[1:] = s_type[1:] & ~s_type[:-1]
     lms = np.flatnonzero(mark)
-    first = _induce(t, s_type, lms, sigma)
+    first = induce(t, s_type, lms, sigma)
     ordered = first[mark[first]]
-    # names of leftmost-smaller substrings, compared by length and hash with their neighbours in order
-    ends = np.append(lms[1:], n - 1)
+    # names: neighbours in order that agree from one leftmost-smaller place to the next have one name
     until = np.zeros(n, np.int64)
-    until[lms] = ends
-    sums = np.zeros(n + 1, np.uint64)
-    base, back = _powers(n)
-    base, back = base[:n], back[:n]
-    np.cumsum(mix64(t.astype(np.uint64) + np.uint64(7)) * base, out=sums[1:])
-    hashed = (sums[until[ordered] + 1] - sums[ordered]) * back[ordered]
-    size = until[ordered] - ordered
-    differ = np.ones(ordered.size, np.int64)
-    differ[1:] = (hashed[1:] != hashed[:-1]) | (size[1:] != size[:-1])
+    until[lms] = np.append(lms[1:], n - 1)
+    size = until[ordered] - ordered + 1
+    same = size[1:] == size[:-1]
+    same[same] = same_bytes(t, ordered[:-1][same], ordered[1:][same], size[1:][same])
     names = np.zeros(n, np.int64)
-    names[ordered] = np.cumsum(differ) - 1
+    names[ordered] = np.cumsum(np.concatenate([[True], ~same])) - 1
     reduced = names[lms]
-    if reduced.size and reduced.max() + 1 < reduced.size:
-        order = lms[suffix_array(reduced, int(reduced.max()) + 1)]
-    else:
-        order = ordered
-    return _induce(t, s_type, order, sigma)
+    if not same.any():
+        return induce(t, s_type, ordered, sigma)
+    order = lms[suffix_array(reduced, int(reduced.max()) + 1, levels)]
+    return induce(t, s_type, order, sigma)
 
 
 def permuted_lcp(data: np.ndarray, left: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -226,6 +247,31 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tupl
 # ------------------------------------------------------------------- winnowing
 
 
+_GRAM_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram bytes (a power of two) from each place on, from those of half as many; it only picks places."""
+    out, factor, span = _GRAM_BYTE[data], np.uint64(0x9E3779B97F4A7C15), 1
+    while span < gram:
+        out = out[: out.size - span] * factor + out[span:]
+        with np.errstate(over="ignore"):
+            factor = factor * factor
+        span *= 2
+    return mix64(out)
+
+
+def pieces(column: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first row, bytes, offsets, begin): slices of whole rows, and of a longer row its pieces, from begin on."""
+    for low, _, data, offsets in byte_slices(column, PIECE):
+        if data.size <= 2 * PIECE:
+            yield low, data, offsets, 0
+            continue
+        for begin in range(0, data.size, PIECE):
+            part = data[begin : begin + PIECE + length - 1]
+            yield low, part, np.array([0, part.size]), begin
+
+
 def picks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, place of the gram, hash of the gram) of each segment, by place."""
     none = np.zeros(0, np.int64)
@@ -233,10 +279,7 @@ def picks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     sizes = np.diff(offsets)
     if not (sizes >= length).any():
         return none, none, none, none.astype(np.uint64)
-    hasher = Hasher(data)
-    m = n - gram + 1
-    power = hasher.sums[gram:] - hasher.sums[:m]
-    full = mix64(power * hasher.inverse[:m])
+    full = gram_hashes(data, gram)
     h = (full >> np.uint64(32)).astype(np.uint32)
     wide = length - gram + 1
     least, span = h, 1
@@ -282,7 +325,7 @@ def _count_picks(docs: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["g", "n"])
 
         for batch in batches:
-            for _, _, data, offsets in byte_slices(batch.column(0), 1 << 20):
+            for _, data, offsets, _ in pieces(batch.column(0), length):
                 pending.append(picks(data, offsets, length)[3])
                 size += pending[-1].size
                 if size > 4_000_000:
@@ -341,34 +384,40 @@ def _merged(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray
     return doc[first], tie[first], start[first], upto[last]
 
 
-def _earliest(arrays: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal segments: (the earliest of each, the others); a document's own place met again is neither."""
-    order = np.lexsort((arrays["s"], arrays["tie"], arrays["doc"], arrays["sid2"], arrays["sid1"], arrays["key"]))
+def _earliest(arrays: dict[str, np.ndarray], data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal segments: (the earliest of each, the others); a document's own place met again is neither.
+
+    A segment's bytes are in data from arrays["at"] on.  Two of one hash whose
+    bytes differ stay both; the suffix array tells them apart.
+    """
+    order = np.lexsort((arrays["s"], arrays["tie"], arrays["doc"], arrays["n"], arrays["sid"], arrays["key"]))
     same = np.zeros(order.size, bool)
     a, b = order[1:], order[:-1]
-    same[1:] = (arrays["key"][a] == arrays["key"][b]) & (arrays["sid1"][a] == arrays["sid1"][b]) & (arrays["sid2"][a] == arrays["sid2"][b])
+    alike = (arrays["key"][a] == arrays["key"][b]) & (arrays["sid"][a] == arrays["sid"][b]) & (arrays["n"][a] == arrays["n"][b])
+    alike[alike] = same_bytes(data, arrays["at"][a[alike]], arrays["at"][b[alike]], arrays["n"][a[alike]] + length - 1)
+    same[1:] = alike
     again = np.zeros(order.size, bool)
     again[1:] = same[1:] & (arrays["doc"][a] == arrays["doc"][b]) & (arrays["tie"][a] == arrays["tie"][b]) & (arrays["s"][a] == arrays["s"][b])
     return order[~same], order[same & ~again]
 
 
-_SEGMENTS = "gone boolean, key long, sid1 long, sid2 long, doc long, tie long, s long, n long, seg binary"
-_NAMES = ["key", "sid1", "sid2", "doc", "tie", "s", "n"]
+_SEGMENTS = "gone boolean, hot boolean, key long, sid long, doc long, tie long, s long, n long, seg binary"
+_NAMES = ["key", "sid", "doc", "tie", "s", "n"]
 
 
-def _out(arrays: dict[str, np.ndarray], rows: np.ndarray, data: np.ndarray, begin: np.ndarray, length: int) -> pa.RecordBatch:
-    """Rows of segments with their bytes; begin: where each one's bytes are in data."""
+def _out(arrays: dict[str, np.ndarray], rows: np.ndarray, data: np.ndarray, length: int) -> pa.RecordBatch:
+    """Rows of segments with their bytes."""
     size = arrays["n"][rows] + length - 1
     upto = np.cumsum(size)
-    place = np.arange(upto[-1] if upto.size else 0) + np.repeat(begin[rows] - (upto - size), size)
+    place = np.arange(upto[-1] if upto.size else 0) + np.repeat(arrays["at"][rows] - (upto - size), size)
     segs = pa.Array.from_buffers(pa.binary(), rows.size, [None, pa.py_buffer(np.concatenate([[0], upto]).astype(np.int32)), pa.py_buffer(data[place].tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(rows.size, bool)), *(pa.array(arrays[c][rows]) for c in _NAMES), segs], names=["gone", *_NAMES, "seg"])
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(rows.size, bool)), pa.array(arrays["hot"][rows]), *(pa.array(arrays[c][rows]) for c in _NAMES), segs], names=["gone", "hot", *_NAMES, "seg"])
 
 
 def _gone(doc, tie, start, end) -> pa.RecordBatch:
     doc, tie, start, end = _merged(doc, tie, start, end)
-    zero = pa.array(np.zeros(doc.size, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(doc.size, bool)), zero, zero, zero, pa.array(doc), pa.array(tie), pa.array(start), pa.array(end), pa.nulls(doc.size, pa.binary())], names=["gone", *_NAMES, "seg"])
+    zero, yes = pa.array(np.zeros(doc.size, np.int64)), pa.array(np.ones(doc.size, bool))
+    return pa.RecordBatch.from_arrays([yes, yes, zero, zero, pa.array(doc), pa.array(tie), pa.array(start), pa.array(end), pa.nulls(doc.size, pa.binary())], names=["gone", "hot", *_NAMES, "seg"])
 
 
 def _segments(docs: DataFrame, counts: DataFrame, length: int) -> DataFrame:
@@ -386,17 +435,17 @@ def _segments(docs: DataFrame, counts: DataFrame, length: int) -> DataFrame:
         held = 0
 
         def flush():
-            arrays = {c: np.concatenate([k[c] for k in kept]) for c in [*_NAMES, "at"]}
+            arrays = {c: np.concatenate([k[c] for k in kept]) for c in [*_NAMES, "hot", "at"]}
             data = np.concatenate(buffers)
-            first, others = _earliest(arrays)
+            first, others = _earliest(arrays, data, length)
             doc, tie, s = (arrays[c][others] for c in ("doc", "tie", "s"))
             yield _gone(doc, tie, s, s + arrays["n"][others] + length - 1)
             for low in range(0, first.size, 20_000):
-                yield _out(arrays, first[low : low + 20_000], data, arrays["at"], length)
+                yield _out(arrays, first[low : low + 20_000], data, length)
 
         for batch in batches:
             ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for low, _, data, offsets in byte_slices(batch.column(2), 1 << 20):
+            for low, data, offsets, skipped in pieces(batch.column(2), length):
                 start, number, place, g = picks(data, offsets, length)
                 if not start.size:
                     continue
@@ -409,7 +458,7 @@ def _segments(docs: DataFrame, counts: DataFrame, length: int) -> DataFrame:
                 many = np.zeros(g.size, bool)
                 if hot.size:
                     many = hot[np.minimum(np.searchsorted(hot, g), hot.size - 1)] == g
-                key = g.copy()
+                key, banded = g.copy(), np.zeros(g.size, bool)
                 if many.any():
                     # bands by distance from the window's start to the gram; all windows of a band hold its core
                     s, c, p, gg = start[many], number[many], place[many], g[many]
@@ -422,12 +471,11 @@ def _segments(docs: DataFrame, counts: DataFrame, length: int) -> DataFrame:
                     core = hasher(p - band * BAND, p - band * BAND - (BAND - 1) + length)
                     start, number = np.concatenate([start[~many], first]), np.concatenate([number[~many], after - first])
                     key = np.concatenate([g[~many], mix64(core ^ mix64(gg + band.astype(np.uint64)))])
-                end = start + number + length - 1
-                sid1 = hasher(start, end)
-                sid2 = mix64(sid1 * np.uint64(0xFF51AFD7ED558CCD) ^ hasher(start + (end - start) // 2, end) ^ mix64(hasher(start, start + (end - start) // 3)))
+                    banded = np.concatenate([np.zeros((~many).sum(), bool), np.ones(first.size, bool)])
                 owner = np.searchsorted(offsets, start, "right") - 1
-                arrays = {"key": key.view(np.int64), "sid1": sid1.view(np.int64), "sid2": sid2.view(np.int64), "doc": ids[low + owner], "tie": ties[low + owner], "s": start - offsets[owner], "n": number, "at": start}
-                first, others = _earliest(arrays)
+                sid = hasher(start, start + number + length - 1)
+                arrays = {"key": key.view(np.int64), "sid": sid.view(np.int64), "doc": ids[low + owner], "tie": ties[low + owner], "s": start - offsets[owner] + skipped, "n": number, "hot": banded, "at": start}
+                first, others = _earliest(arrays, data, length)
                 if others.size:
                     doc, tie, s = (arrays[c][others] for c in ("doc", "tie", "s"))
                     yield _gone(doc, tie, s, s + number[others] + length - 1)
@@ -447,28 +495,64 @@ def _segments(docs: DataFrame, counts: DataFrame, length: int) -> DataFrame:
     return docs.select("doc", "tie", "text").mapInArrow(rows, _SEGMENTS)
 
 
-def _compare(segments: DataFrame, length: int) -> DataFrame:
-    """(doc, tie, start, end) of what the segments of equal keys repeat."""
-    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = segments.drop("gone").repartition(n, "key").sortWithinPartitions("key")
+def _windows(segments: DataFrame, length: int) -> DataFrame:
+    """(doc, tie, start, end) of the windows of segments, of whatever key, that another one comes before."""
+
+    def rows(batches):
+        for batch in batches:
+            keep = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc", "tie", "s", "n")}
+            for low in range(0, batch.num_rows, 10_000):
+                part = {c: v[low : low + 10_000] for c, v in keep.items()}
+                step = np.arange(part["n"].sum()) - np.repeat(np.cumsum(part["n"]) - part["n"], part["n"])
+                segs = batch.column(batch.schema.get_field_index("seg")).slice(low, 10_000).to_pylist()
+                digests = [hashlib.blake2b(seg[i : i + length], digest_size=16).digest() for seg, n in zip(segs, part["n"].tolist(), strict=True) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *(pa.array(np.repeat(part[c], part["n"])) for c in ("doc", "tie")), pa.array(np.repeat(part["s"], part["n"]) + step)], names=["digest", "doc", "tie", "start"])
+
+    found = materialize(segments.mapInArrow(rows, "digest binary, doc long, tie long, start long"), "suffix-windows")
+    place = F.struct("doc", "tie", "start")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"))
+    return found.join(first, "digest").filter(place > F.col("first")).select("doc", "tie", "start", (F.col("start") + length).alias("end"))
 
-    def shard(arrays: dict[str, np.ndarray], segs: pa.Array):
-        first, others = _earliest(arrays)
+
+def _compare(segments: DataFrame, length: int, banded_only: bool) -> DataFrame:
+    """(doc, tie, start, end) of what the segments of equal keys repeat.
+
+    banded_only: whether only keys of bands can hold more than KEY_BYTES.
+    """
+    wide = segments.filter("hot") if banded_only else segments
+    wide = wide.groupBy("key").agg(F.sum(F.col("n") + (length - 1)).alias("bytes")).filter(F.col("bytes") > KEY_BYTES).select("key")
+    wide = materialize(wide, "suffix-wide-keys")
+    if wide.isEmpty():
+        return _compare_shards(segments, length)
+    known = _windows(segments.join(wide, "key", "left_semi"), length)
+    return known.unionByName(_compare_shards(segments.join(wide, "key", "left_anti"), length))
+
+
+def _compare_shards(segments: DataFrame, length: int) -> DataFrame:
+    """The same by suffix arrays, for keys that fit in memory."""
+    n = max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), segments.count() // SHARD_ROWS)
+    dealt = segments.select(*_NAMES, "seg").repartition(n, "key").sortWithinPartitions("key")
+
+    def shard(table: pa.Table):
+        segs = table["seg"].combine_chunks().cast(pa.large_binary())
+        offsets = np.frombuffer(segs.buffers()[1], np.int64)[segs.offset : segs.offset + len(segs) + 1]
+        data = np.frombuffer(segs.buffers()[2], np.uint8)
+        arrays = {c: table[c].to_numpy() for c in _NAMES} | {"at": offsets[:-1]}
+        first, others = _earliest(arrays, data, length)
         doc, tie, s = (arrays[c][others] for c in ("doc", "tie", "s"))
         parts = [(doc, tie, s, s + arrays["n"][others] + length - 1)]
         # a segment alone under its key has no partner
         keys, back, number = np.unique(arrays["key"][first], return_inverse=True, return_counts=True)
         first = first[number[back] > 1]
         if first.size:
-            chosen = segs.take(pa.array(first)).cast(pa.large_binary())
-            offsets = np.frombuffer(chosen.buffers()[1], np.int64)[chosen.offset : chosen.offset + first.size + 1]
-            data = np.frombuffer(chosen.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            place, group = repeated_windows(data, offsets, length)
+            size = arrays["n"][first] + length - 1
+            upto = np.concatenate([[0], np.cumsum(size)])
+            own = data[np.arange(upto[-1]) + np.repeat(arrays["at"][first] - upto[:-1], size)]
+            place, group = repeated_windows(own, upto, length)
             if place.size:
-                seg = np.searchsorted(offsets, place, "right") - 1
+                seg = np.searchsorted(upto, place, "right") - 1
                 row = first[seg]
-                doc, tie, s = arrays["doc"][row], arrays["tie"][row], arrays["s"][row] + place - offsets[seg]
+                doc, tie, s = arrays["doc"][row], arrays["tie"][row], arrays["s"][row] + place - upto[seg]
                 order = np.lexsort((s, tie, doc, group))
                 later = order[1:][group[order][1:] == group[order][:-1]]
                 parts.append((doc[later], tie[later], s[later], s[later] + length))
@@ -488,13 +572,13 @@ def _compare(segments: DataFrame, length: int) -> DataFrame:
             cut = int(np.searchsorted(keys == keys[-1], True))  # the last key may go on
             if cut:
                 done = table.slice(0, cut).combine_chunks()
-                yield shard({c: done[c].to_numpy() for c in _NAMES}, done["seg"].combine_chunks())
+                yield shard(done)
                 pending = table.slice(cut).to_batches()
                 held = sum(b.nbytes for b in pending)
         if pending:
             done = pa.Table.from_batches(pending).combine_chunks()
             if done.num_rows:
-                yield shard({c: done[c].to_numpy() for c in _NAMES}, done["seg"].combine_chunks())
+                yield shard(done)
 
     return dealt.mapInArrow(rows, "doc long, tie long, start long, end long")
 
@@ -506,24 +590,29 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = materialize(_count_picks(rows, length), "suffix-picks")
     found = materialize(_segments(rows, counts, length), "suffix-segments")
     known = found.filter("gone").select("doc", "tie", F.col("s").alias("start"), F.col("n").alias("end"))
-    every = known.unionByName(_compare(found.filter("not gone"), length))
-    spans = every.groupBy("doc", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))
-    start = F.struct(F.lit([]).cast("array<struct<start:bigint,end:bigint>>").alias("done"), F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
+    # a pick that is not banded is met at most HOT times, unless there were more hot ones than are banded
+    banded_only = counts.filter(F.col("n") > HOT).count() <= MOST_HOT
+    every = known.unionByName(_compare(found.filter("not gone"), length, banded_only))
+    lists = every.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("parts"))
 
-    def step(acc, x):
-        grown = F.struct(acc["done"].alias("done"), acc["start"].alias("start"), F.greatest(acc["end"], x["end"]).alias("end"))
-        closed = F.when(acc["start"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))))
-        return F.when((acc["start"] >= 0) & (x["start"] <= acc["end"]), grown).otherwise(F.struct(closed.alias("done"), x["start"].alias("start"), x["end"].alias("end")))
+    def merge(batches):
+        for batch in batches:
+            parts = batch.column(2)
+            flat = parts.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), parts.value_lengths().to_numpy())
+            row, _, start, end = _merged(owner, np.zeros(owner.size, np.int64), flat.field("start").to_numpy(), flat.field("end").to_numpy())
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans], names=["doc", "tie", "spans"])
 
-    end = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))
-    return spans.select("doc", "tie", F.aggregate("parts", start, step, end).alias("spans"))
+    return lists.mapInArrow(merge, "doc long, tie long, spans array<struct<start: long, end: long>>")
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """docs with _spans (null for none)."""
-    spans = materialize(repeated_intervals(docs, id_col, text_col, length), "suffix-spans").withColumnsRenamed({"doc": "_doc", "tie": "_tie", "spans": "_spans"})
-    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_tie"))
-    return docs.join(spans, key, "left")
+    """(row, spans): the rows of docs as structs, and their spans (null for none)."""
+    spans = materialize(repeated_intervals(docs, id_col, text_col, length), "suffix-spans")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    return rows.join(spans, (F.col("k") == F.col("doc")) & (F.col("h") == F.col("tie")), "left").select("row", "spans")
 
 
 def _kept(raw: bytes, spans) -> bytes:
@@ -537,7 +626,7 @@ def _kept(raw: bytes, spans) -> bytes:
 
 def repeats_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    joined = _joined(docs.select(id_col, text_col), id_col, text_col, length).select(id_col, text_col, "_spans")
+    joined = _joined(docs.select(id_col, text_col), id_col, text_col, length).select(F.col("row").getField(id_col).alias("id"), F.col("row").getField(text_col).alias("text"), "spans")
 
     def rows(batches):
         for batch in batches:
@@ -555,17 +644,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with the repeated bytes cut out of their texts; where a cut splits a character, its rest goes too."""
     joined = _joined(docs, id_col, text_col, length)
     columns = docs.columns
-    kind = docs.schema["n_chars"].dataType.simpleString() if "n_chars" in columns else None
+    at = columns.index(text_col)
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
-            new = [_kept(t.encode(), s).decode("utf-8", "ignore") if s else t for t, s in zip(texts, spans, strict=True)]
-            out = batch.select(columns)
-            yield out.set_column(out.schema.get_field_index(text_col), text_col, pa.array(new, pa.string()))
-
-    out = joined.select(*columns, "_spans").mapInArrow(cut, docs.schema)
-    if kind:
-        out = out.withColumn("n_chars", F.coalesce(F.char_length(F.col(text_col)).cast(kind), F.col("n_chars")))
+            values = batch.column(0).flatten()
+            texts, spans = values[at].to_pylist(), batch.column(1).to_pylist()
+            values[at] = pa.array([_kept(t.encode(), s).decode("utf-8", "ignore") if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(values, names=columns)
+
+    out = joined.mapInArrow(cut, docs.schema)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.coalesce(F.char_length(F.col(text_col)).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*columns)

@@ -529,13 +529,41 @@ def test_suffix_array_and_prefixes():
             assert c == k
 
 
-@pytest.mark.parametrize("hot", [256, 3])
-def test_repeats_equal_brute_force(spark, odd, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+def test_suffix_array_recurses_at_every_size():
+    rng = np.random.default_rng(18)
+    text = "".join(rng.choice(["the ", "of ", "and ", "ing ", "tion", "er", "a", " "], 40_000)).encode()
+    data = np.frombuffer(text + text[: len(text) // 2], np.uint8).astype(np.int64)
+    levels = []
+    got = suffix_dedup.suffix_array(np.append(data, 0), 257, levels)
+    assert len(levels) >= 4 and levels == sorted(levels, reverse=True) and all(b <= a // 2 for a, b in zip(levels, levels[1:], strict=False))
+    raw = bytes(data.astype(np.uint8)) + b"\0"
+    assert got.size == len(raw) and (np.sort(got) == np.arange(len(raw))).all()
+    assert all(raw[a : a + 400] <= raw[b : b + 400] for a, b in zip(got.tolist(), got[1:].tolist(), strict=False))
+    names = rng.integers(1, 3000, 20_000)  # a large alphabet from the start
+    names[10_000:15_000] = names[2_000:7_000]
+    t = np.append(names, 0)
+    got = suffix_dedup.suffix_array(t, 3000).tolist()
+    assert sorted(got) == list(range(t.size)) and all(t[a : a + 5001].tolist() <= t[b : b + 5001].tolist() for a, b in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize(("hot", "most_hot", "key_bytes", "piece"), [(256, 1 << 16, 1 << 25, 1 << 20), (3, 1 << 16, 1 << 25, 900), (3, 1 << 16, 300, 1 << 20), (3, 2, 500, 1500)])
+def test_repeats_equal_brute_force(spark, odd, monkeypatch, hot, most_hot, key_bytes, piece):
+    for name, value in (("HOT", hot), ("MOST_HOT", most_hot), ("KEY_BYTES", key_bytes), ("PIECE", piece)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeats_digest(odd).collect()}
     assert got == brute.repeats([(r["doc_id"], r["text"]) for r in odd.collect()], 100)
 
 
+def test_equal_segments_are_compared():
+    data = np.frombuffer(b"abcdefabcdeXabcdef", np.uint8)
+    arrays = {"key": np.ones(3, int), "sid": np.ones(3, int), "n": np.full(3, 2), "doc": np.array([1, 2, 3]), "tie": np.zeros(3, int), "s": np.zeros(3, int), "at": np.array([0, 6, 12])}
+    first, others = suffix_dedup._earliest(arrays, data, 5)
+    assert not others.size and sorted(first.tolist()) == [0, 1, 2]  # one hash, other bytes: kept for the suffix array
+    arrays["doc"] = np.array([1, 3, 2])
+    first, others = suffix_dedup._earliest(arrays, data, 5)
+    assert others.tolist() == [2] and sorted(first.tolist()) == [0, 1]
+
+
 def test_repeats_on_documents(spark, sf_dir):
     docs = common.read_table(spark, sf_dir, "documents").repartition(5)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeats_digest(docs).collect()}
@@ -548,8 +576,9 @@ def test_repeats_odd_rows(spark, empty):
     rows = spark.createDataFrame([(1, "a" * 120, "en", "s", 1), (1, "a" * 120, "en", "s", 1), (None, long, None, None, None), (5, long, "en", "s", 1), (6, None, "en", "s", None)], DOCS).withColumn("doc", F.lit("clash"))
     got = sorted(map(tuple, suffix_dedup.repeats_digest(rows).collect()), key=repr)
     assert [(r[0], r[2]) for r in got] == [(1, 119), (1, 119), (5, 149), (6, 0), (None, 150)]
+    rows = rows.withColumn("_spans", F.lit(1)).withColumn("_doc", F.lit(2)).withColumn("tie", F.lit(3)).withColumn("spans", F.lit(4)).withColumn("row", F.lit(5))
     cut = suffix_dedup.without_repeats(rows)
-    assert cut.columns == rows.columns
+    assert cut.columns == rows.columns and {(r["_spans"], r["_doc"], r["tie"], r["spans"], r["row"]) for r in cut.collect()} == {(1, 2, 3, 4, 5)}
     assert sorted((r["doc_id"] or -1, r["text"]) for r in cut.collect() if r["text"] is not None) == [(-1, ""), (1, "a"), (1, "a"), (5, "x")]
 
 
