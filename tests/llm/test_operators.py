@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures and on the smallest tables."""
 
+import math
 import random
 import zlib
 
@@ -248,27 +249,51 @@ def test_viterbi_equals_brute_force():
 # ------------------------------------------------------------------------- op 3
 
 
-@pytest.mark.parametrize("spread", [0.0, 1.0, 1e7])
-def test_top_k_equals_brute_force(spark, spread):
+@pytest.mark.parametrize(("spread", "block"), [(0.0, 4096), (1.0, 40), (1e7, 40), (2.0**40, 40), (1e300, 4096)])
+def test_top_k_equals_brute_force(spark, monkeypatch, spread, block):
+    monkeypatch.setattr(cover_tree, "BLOCK", block)
+    monkeypatch.setattr(cover_tree, "GROUP", 10)
+    monkeypatch.setattr(cover_tree, "SALT_ROWS", 100)
+    monkeypatch.setattr(cover_tree, "LEAF", 16)
     rng = np.random.default_rng(6)
     x = rng.normal(0, 1 + spread, (700, 8)).astype(float)
     x[100:300] = x[100]
     x[301] = 0
     rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
-    rows += [(700, None), (701, [1.0, None]), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (704, []), (None, [1.0] * 8), (705, [1.0, 2.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("other"))
-    got = [tuple(r) for r in cover_tree.top_k(table, F.col("id") % 20 == 0, k=7, pivots=5).orderBy("query_id", "rank").collect()]
-    y = {i: np.array([int(n) for n in np.floor(64 * np.array(v))], object) for i, v in rows if i is not None and i < 700}
-    y[705] = np.array([64, 128, 0, 0, 0, 0, 0, 0], object)
+    rows += [(700, None), (701, [1.0, None]), (702, [float("nan")] * 8), (703, [float("inf")] * 8), (704, []), (None, [1.0] * 8), (705, [1.0, 2.0]), (706, [2.0**41, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("other")).withColumn("node", F.lit(1))
+    got = [tuple(r) for r in cover_tree.top_k(table, F.col("id") % 20 == 0, k=7).orderBy("query_id", "rank").collect()]
+    y = {i: np.array([math.floor(64 * v) for v in [*r, *[0.0] * (8 - len(r))]], object) for i, r in rows if i is not None and (i < 700 or i > 704)}
+    end = (1 << 63) - 1
     want = []
     for q in sorted(i for i in y if i % 20 == 0):
-        best = sorted((-int(y[q] @ v), i) for i, v in y.items() if i != q)[:7]
+        best = sorted((-max(-end, min(end, int(y[q] @ v))), i) for i, v in y.items() if i != q)[:7]
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == want
     assert cover_tree.top_k(table.limit(0), F.col("id") % 20 == 0).isEmpty()
     assert cover_tree.top_k(table.filter("vec_id < 3"), F.col("id") % 20 == 0, k=20).count() == 2
 
 
+def test_levels_cover_their_vectors(spark):
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal(c, 1, (200, 4)) for c in range(0, 100, 10)] + [np.zeros((90, 4))])
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    leaves, levels = cover_tree.grow(rows, 30, 4, 1.0, "test")
+    assert len(levels) > 1
+    nodes = {r["node"]: r for level in levels for r in level.collect()}
+    parts = {}
+    for r in leaves.collect():
+        node = nodes[r["node"]]
+        assert not node["open"] and np.sqrt(np.square(np.array(r["v"]) - node["centre"]).sum()) <= node["radius"] + 1e-9
+        parts[r["node"], r["part"]] = parts.get((r["node"], r["part"]), 0) + 1
+    assert sum(parts.values()) == len(x) and all(n <= 30 or nodes[node]["radius"] == 0 for (node, _), n in parts.items())
+    # far clusters are not met
+    groups = spark.createDataFrame([(1, [90.0] * 4, 0.5, 30_000)], "g long, centre array<double>, radius double, worst long")
+    met = cover_tree._reached(groups, levels, cover_tree.Space(4, 100.0)).collect()
+    assert 0 < len(met) < len({r["node"] for r in leaves.collect()}) / 3
+    assert all(sum(90.0 * v for v in r["v"]) < 30_000 for r in leaves.collect() if r["node"] not in {m["node"] for m in met})
+
+
 # -------------------------------------------------------------------- op 4, op 5
 
 
