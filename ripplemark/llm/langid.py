@@ -9,7 +9,10 @@ Learned from at most about ``PER_LANGUAGE`` documents of each language: n-gram
 counts are summed on the executors, hashed into a table of fixed size.
 A document that is null or has no letter is ``und`` with score 0; ties go to
 the smaller code; without any training row everything is ``und``; rows with
-equal ids are labelled alike; other columns are not read.
+equal ids are labelled alike; other columns, whatever their names, are not
+read; an empty table gives an empty result.  Words are scored piece by piece, so
+that neither a very long text nor many languages make large temporaries; what
+is kept of a text is a row of scores for each word.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ BITS = 15
 SWITCH = 12.0
 #: First code points of the scripts told apart; 0 is Latin and what has no letters of its own script.
 SCRIPTS = ((0x0000, 0), (0x0370, 1), (0x0400, 2), (0x0530, 3), (0x0590, 4), (0x0600, 5), (0x0900, 6), (0x0E00, 7), (0x1E00, 0), (0x1F00, 1), (0x2000, 0), (0x3040, 8), (0x4E00, 9), (0xAC00, 10), (0xD800, 0))
+#: Bytes of text whose words are cut out at once, and scores of letters made at once.
+PIECE = 1 << 20
+CELLS = 1 << 23
 _TABLES: list[np.ndarray] = []
 
 
@@ -111,19 +117,60 @@ def word_scores(words: Words, model: Model) -> np.ndarray:
     k = len(model.languages)
     if not words.firsts.size:
         return np.zeros((0, k), np.float32)
-    total = model.scores[0][words.slots[0]]
-    for table, slots in zip(model.scores[1:], words.slots[1:], strict=True):
-        total += table[slots]
-    out = np.add.reduceat(total, words.firsts, axis=0)
+    out = np.empty((words.firsts.size, k), np.float32)
+    ends = np.append(words.firsts[1:], words.slots[0].size)
+    low = 0
+    while low < words.firsts.size:
+        begin = words.firsts[low]
+        high = max(low + 1, int(np.searchsorted(ends, begin + CELLS // k, "right")))
+        some = slice(begin, ends[high - 1])
+        total = model.scores[0][words.slots[0][some]]
+        for table, slots in zip(model.scores[1:], words.slots[1:], strict=True):
+            total += table[slots[some]]
+        out[low:high] = np.add.reduceat(total, words.firsts[low:high] - begin, axis=0)
+        low = high
     out[~model.allowed[words.scripts]] -= np.float32(1e4)
     return out
 
 
+@dataclass
+class Scored:
+    """Words of a slice without their letters: document, letters and scores of each."""
+
+    documents: np.ndarray
+    sizes: np.ndarray
+    scores: np.ndarray
+
+
+def scored_words(data: np.ndarray, offsets: np.ndarray, model: Model) -> Scored:
+    """Words and their scores, from pieces of the slice that end at ASCII characters other than letters."""
+    cuts = [0]
+    while data.size - cuts[-1] > 2 * PIECE:
+        at = cuts[-1] + PIECE
+        while at < data.size:
+            near = data[at : at + 4096]
+            blank = np.flatnonzero((near < 65) | (near > 90) & (near < 97) | (near > 122) & (near < 128))
+            if blank.size:
+                at += int(blank[0])
+                break
+            at += near.size
+        if at >= data.size:
+            break
+        cuts.append(at)
+    parts = []
+    for a, b in zip(cuts, [*cuts[1:], data.size], strict=True):
+        low, high = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b, "left"))
+        w = words_of(data[a:b], np.clip(offsets[low : high + 1] - a, 0, b - a))
+        scores = word_scores(w, model) if model.languages else np.zeros((w.firsts.size, 1), np.float32)
+        parts.append((w.documents + low, w.sizes, scores))
+    return Scored(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
 def viterbi(scores: np.ndarray, firsts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word; documents (words firsts[i] to firsts[i + 1]) advance together, one word a step."""
     sizes = np.diff(firsts)
     n, k = scores.shape
-    path = np.zeros(n, np.int8)
+    path = np.zeros(n, np.int32)
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
     if not order.size:
@@ -131,7 +178,7 @@ def viterbi(scores: np.ndarray, firsts: np.ndarray, switch: float = SWITCH) -> n
     base, length = firsts[:-1][order], sizes[order]
     alive = np.searchsorted(-length, -np.arange(length[0]), "left")  # documents with more than t words
     back = np.zeros((n, k), bool)  # switched to this language at this word
-    best = np.zeros(n, np.int8)  # from which language, if so
+    best = np.zeros(n, np.int32)  # from which language, if so
     now = scores[base].copy()
     for t in range(1, length[0]):
         a = alive[t]
@@ -199,11 +246,11 @@ def train(docs: DataFrame, lang_col: str, text_col: str, usable, id_col: str, pe
     return Model(names, tuple(scores), allowed)
 
 
-def _label(data: np.ndarray, offsets: np.ndarray, model: Model, switch: float) -> tuple[Words, np.ndarray, np.ndarray]:
+def _label(data: np.ndarray, offsets: np.ndarray, model: Model, switch: float) -> tuple[Scored, np.ndarray, np.ndarray]:
     """The slice's words, the language of each, and each document's letters in each language."""
-    w, n, k = words_of(data, offsets), offsets.size - 1, max(1, len(model.languages))
-    scores = word_scores(w, model) if model.languages else np.zeros((w.firsts.size, 1), np.float32)
-    path = viterbi(scores, np.searchsorted(w.documents, np.arange(n + 1)), switch)
+    n, k = offsets.size - 1, max(1, len(model.languages))
+    w = scored_words(data, offsets, model)
+    path = viterbi(w.scores, np.searchsorted(w.documents, np.arange(n + 1)), switch)
     return w, path, np.bincount(w.documents * k + path, weights=w.sizes, minlength=n * k).reshape(n, k)
 
 
@@ -220,7 +267,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 top = held.argmax(axis=1)
                 score = held[np.arange(high - low), top] / np.maximum(1, letters)
                 known = (letters > 0) & bool(model.languages)
-                turns = np.ones(w.firsts.size, bool)
+                turns = np.ones(w.documents.size, bool)
                 turns[1:] = (np.diff(path) != 0) | (np.diff(w.documents) != 0)
                 spans = np.bincount(w.documents[turns], minlength=high - low)
                 pred = names[np.where(known, top, len(names) - 1)]
@@ -238,14 +285,14 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         for batch in batches:
             for low, high, data, offsets in byte_slices(batch.column(1)):
                 w, path, _ = _label(data, offsets, model, switch)
-                if not w.firsts.size or not model.languages:
+                if not w.documents.size or not model.languages:
                     continue
-                turns = np.ones(w.firsts.size, bool)
+                turns = np.ones(w.documents.size, bool)
                 turns[1:] = (np.diff(path) != 0) | (np.diff(w.documents) != 0)
                 at = np.flatnonzero(turns)
                 owner = w.documents[at]
                 begins = np.searchsorted(w.documents, np.arange(high - low))
                 number = np.arange(at.size) - np.searchsorted(owner, owner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(owner)), pa.array(number), pa.array(names[path[at]].tolist(), pa.string()), pa.array(at - begins[owner]), pa.array(np.diff(np.append(at, w.firsts.size)))], names=[id_col, "span", "lang", "first_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(owner)), pa.array(number), pa.array(names[path[at]].tolist(), pa.string()), pa.array(at - begins[owner]), pa.array(np.diff(np.append(at, w.documents.size)))], names=[id_col, "span", "lang", "first_word", "n_words"])
 
     return docs.mapInArrow(rows, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, span long, lang string, first_word long, n_words long")

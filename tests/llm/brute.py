@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import unicodedata
 import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,3 +94,49 @@ def rules(text):
     bad = bad or chars < 2 * len(w) or chars > 20 * len(w) or 2 * upper > upper + lower
     bad = bad or 10 * sum(bool(re.search("[a-zA-Z]|[^\0-\x7f]", x)) for x in w) < 7 * len(w)
     return failed, not failed and not bad
+
+
+def language(text, model, switch=12.0):
+    """(language, share of its letters) by a plain Viterbi over words, whose scores are looked up n-gram by n-gram."""
+    from ripplemark.llm import langid
+
+    words, run = [], []
+    for c in [*(text or ""), None]:
+        if c is not None and unicodedata.category(c)[0] == "L" and ord(c) < 0x30000:
+            run.append(ord(c.lower()) if len(c.lower()) == 1 else ord(c))
+        elif run:
+            words.append(run)
+            run = []
+    if not words:
+        return "und", 0.0
+
+    def slot(order, parts):
+        h = (0x811C9DC5 + order) & 0xFFFFFFFF
+        for p in parts:
+            h = ((h ^ p) * 0x9E3779B1) & 0xFFFFFFFF
+            h ^= h >> 15
+        return ((h * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - langid.BITS)
+
+    def scores(w):
+        total = [0.0] * len(model.languages)
+        for i, c in enumerate(w):
+            before, after = w[i - 1] if i else 1, w[i + 1] if i + 1 < len(w) else 2
+            for order, parts in enumerate(((c,), (before, c), (before, c, after))):
+                total = [t + float(x) for t, x in zip(total, model.scores[order][slot(order, parts)], strict=True)]
+        script = [kind for first, kind in langid.SCRIPTS if first <= w[0]][-1]
+        return [t - (0 if fine else 1e4) for t, fine in zip(total, model.allowed[script], strict=True)]
+
+    best, back = scores(words[0]), []
+    for w in words[1:]:
+        top = max(range(len(best)), key=lambda k: (best[k], -k))
+        came = [k if best[k] >= best[top] - switch else top for k in range(len(best))]
+        best = [best[c] - (switch if c != k else 0) + x for k, (c, x) in enumerate(zip(came, scores(w), strict=True))]
+        back.append(came)
+    path = [max(range(len(best)), key=lambda k: (best[k], -k))]
+    for came in reversed(back):
+        path.append(came[path[-1]])
+    held = [0] * len(model.languages)
+    for w, k in zip(words, reversed(path), strict=True):
+        held[k] += len(w)
+    top = max(range(len(held)), key=lambda k: (held[k], -k))
+    return model.languages[top], held[top] / sum(held)

@@ -91,12 +91,45 @@ def test_sentencepiece_scan_without_blanks():
     codec, rng = sentencepiece_scan.codec_of(PIECES), random.Random(2)
     for turn in range(60):
         text = "".join(rng.choice(["the", "tion", "a", "é", "日", "x", "ing", "  ", "\n", "th", "Œ", "1"] if turn % 2 else ["a", "b", "th", "er"]) for _ in range(rng.randrange(1, 200)))
-        states = sentencepiece_scan.cut_states(text, codec, 20, 4)
-        cells = [sentencepiece_scan.matrix(text, 0, a, b, codec) for a, b in zip(states, states[1:], strict=False)]
-        inside = sentencepiece_scan.scan(cells, codec)
+        states = sentencepiece_scan.cut_states(text, codec, 20)
+        chunks = [sentencepiece_scan.Chunk(text, 0, a, b, codec, 1 + turn % 9) for a, b in zip(states, states[1:], strict=False)]
+        inside = sentencepiece_scan.scan([c.entries(codec) for c in chunks], codec)
         places = [0, *inside, len(text)]
-        ids = sum((codec.encode(text[p:q], first=p == 0) for p, q in zip(places, places[1:], strict=False)), [])
-        assert ids == codec.whole.encode(text)
+        assert np.concatenate([c.ids(p, q) for c, p, q in zip(chunks, places, places[1:], strict=False)]).tolist() == codec.whole.encode(text)
+        for c, ins, outs in zip(chunks, states, states[1:], strict=False):  # each cell is the encoding of its own part
+            for (p, q), e in c.entries(codec).items():
+                want = codec.encode(text[p:q], first=p == 0)
+                assert c.ids(p, q).tolist() == want and e.score == pytest.approx(float(codec.scores[want].sum())) and (e.first, e.last) == (want[0], want[-1])
+
+
+def test_sentencepiece_of_documents_in_small_chunks(spark, sf_dir):
+    docs = common.read_table(spark, sf_dir, "documents").withColumn("row", F.lit(1)).withColumn("chunk", F.lit(2)).withColumn("id", F.lit(3))
+    codec = sentencepiece_scan.codec_of(PIECES)
+    encoded = sentencepiece_scan.encode_documents(docs, PIECES, size=500)
+    got = {r["doc_id"]: r for r in encoded.collect()}
+    assert max(r["n_chunks"] for r in got.values()) > 20
+    for r in docs.collect():
+        ids = np.frombuffer(got[r["doc_id"]]["ids"], "<i4")
+        assert ids.tolist() == codec.whole.encode(r["text"] or "") and codec.decode(ids, 100) == codec.whole.decode(ids.tolist()) == (r["text"] or "")
+
+
+def test_sentencepiece_of_a_giant_text_without_blanks(spark, empty):
+    rng = random.Random(17)
+    text = "".join(rng.choice(["the", "tion", "a", "é", "日本", "x", "ing", "Œ", "1", "qu"]) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text[:70_000]), (2, None)], "doc_id long, text string")
+    codec = sentencepiece_scan.codec_of(PIECES)
+    got = [(r["doc_id"], r["n_chunks"], np.frombuffer(r["ids"], "<i4").tolist()) for r in sentencepiece_scan.encode_documents(docs, PIECES).collect()]
+    want = codec.whole.encode(text)
+    assert sorted(n for _, n, _ in got) == [1, 2, 1 + len(text) // 65_540, 1 + len(text) // 65_540]
+    assert all(ids == (want if key == 1 else codec.whole.encode(text[:70_000]) if key is None else []) for key, _, ids in got)
+    # only the ends of a chunk are encoded for each place
+    states, spent = sentencepiece_scan.cut_states(text, codec), []
+    tokens = codec.tokens
+    codec.tokens = lambda t, first: (spent.append(len(t)), tokens(t, first))[1]
+    sentencepiece_scan.Chunk(text, 0, states[1], states[2], codec)
+    del codec.tokens
+    assert sum(spent) < 1.5 * 65_536
+    assert sentencepiece_scan.encode_documents(empty, PIECES).isEmpty()
 
 
 def test_max_plus_product_is_associative():
@@ -231,6 +264,36 @@ def test_language_spans_and_odd_rows(spark, sf_dir):
     assert langid.identify(odd.limit(0), model).isEmpty()
 
 
+def test_hundreds_of_languages(spark, monkeypatch):
+    """A letter pair of its own for each language: all are told apart, and pieces change nothing."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, " ".join([letters[k // 26 % 26] + letters[k % 26] * 2 + str(k // 676)] * 12), f"l{k:03d}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, "lang", "text", F.lit(True), "doc_id")
+    clash = docs.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit("y"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(clash, model).collect()}
+    assert len(set(got.values())) > 200 and sum(got[k] == lang for k, _, lang in rows) > 250
+    text = (" ".join(t for _, t, _ in rows) + " éà ") * 3
+    for _, _, data, offsets in common.byte_slices(pa.array([text, None, "ab", text])):
+        whole = langid._label(data, offsets, model, 12.0)
+        monkeypatch.setattr(langid, "PIECE", 700)
+        monkeypatch.setattr(langid, "CELLS", 9000)
+        parts = langid._label(data, offsets, model, 12.0)
+    assert (whole[0].documents == parts[0].documents).all() and (whole[1] == parts[1]).all() and np.allclose(whole[0].scores, parts[0].scores, atol=1e-3)
+
+
+def test_language_of_documents_equals_plain_version(spark, sf_dir):
+    """Words, scores and the best path, one word at a time."""
+    docs = common.read_table(spark, sf_dir, "documents")
+    model = langid.train(docs, "lang", "text", queries.remainder("doc_id", 5) != 0, "doc_id")
+    got = {r["doc_id"]: r for r in queries.op2_language_id(spark, sf_dir).collect()}
+    for r in docs.limit(60).collect():
+        if len(r["text"] or "") > 20_000:
+            continue
+        want = brute.language(r["text"], model)
+        assert got[r["doc_id"]]["lang_pred"] == want[0] and got[r["doc_id"]]["score"] == pytest.approx(want[1])
+
+
 def test_viterbi_equals_brute_force():
     import itertools
 
