@@ -1,46 +1,57 @@
 """N-gram Jaccard join: rare-first prefix filtering, then one check a pair.
 
-Documents with the same set of shingles are one class.  A class's shingles are
-put in one order, rarest first; two sets of similarity t share one of the first
-n - ceil(t n) + 1 of either, so classes meet on those prefix shingles.  A pair
-that passes the length, positional and suffix filters is checked once, on the
-words of both texts.  Documents linked directly or through others are one
-component.
+Documents with the same words in the same order are one class, by a
+cryptographic digest.  A class's shingles are put in one order, rarest first;
+two sets of similarity t share one of the first n - ceil(t n) + 1 of either, so
+classes meet on those prefix shingles.  A pair that passes the length,
+positional and suffix filters is checked once, on the words of both texts.
+Documents linked directly or through others are one component.
 
 Order of rarity: shingles that a task meets often get their count over all
-documents, and the others count as rarest; any order is right, and this one
-keeps passages that many documents share out of prefixes.
+documents.  A shingle that turns out common in prefixes all the same gets its
+count over all classes, and the classes that hold it in their prefix get new
+ones.  Any order is right; this one keeps what many documents share out of
+prefixes.
 
 A prefix shingle of more than ``LOT`` classes is not paired in full at first:
 each class meets the one at whose set's begin the shingle stands earliest, which
 of a group of near copies is the one with the fewest shingles of its own.  When
 components of those links are known, a shingle whose classes lie in several of
-them is paired across components, in full.  So no link between different texts
-is lost, and groups of near copies do not grow as squares.
+them is paired across components, within bands of set sizes that can link.  So
+no link between different texts is lost, and groups of near copies do not grow
+as squares.
 
 A null text, or one without words, has an empty set and is alone; one of fewer
-than k words has its whole sequence as its one shingle; of rows with equal ids
-the greatest text stands for all; rows with a null id are each alone, with a
-null component; an empty table gives an empty result; other columns are not read.
+than k words has its whole sequence as its one shingle; rows with equal ids are
+members of their own, each with its text's links; rows with a null id are each
+alone, with a null component; an empty table gives an empty result; a text
+longer than a slice is cut into words piece by piece; other columns, whatever
+their names, are kept by ``keep_one`` and not read otherwise.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, byte_slices, connected_components, materialize, mix64, shingles, word_bounds
+from .common import _SPACES, byte_slices, connected_components, hash_ranges, materialize, mix64, shingles, word_bounds
 
 LOT = 24
 FREQUENT = 1 << 18
 LEAST_LOCAL = 6
+#: Classes from which on a prefix shingle counts as common, and how often prefixes are made anew for such.
+COMMON = 4 * LOT
+ROUNDS = 3
 SKETCH = 128
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+Counts = tuple[np.ndarray, np.ndarray]
 
 
 def shingle_set(text: str | None, k: int) -> set:
@@ -59,10 +70,28 @@ def linked(a: set, b: set, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+    """A cryptographic digest of each document's words, folded, joined by blanks."""
+    keep = ~_SPACES[data]
+    text = data.copy()
+    text[(data >= 65) & (data <= 90)] += 32
+    between = np.ones(starts.size, bool)
+    between[firsts[1:][np.diff(firsts) > 0] - 1] = False  # not after a document's last word
+    keep[ends[between]] = True
+    text[ends[between]] = 0x20
+    raw, sums = text[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)])
+    # white space before a document's first word or after its last one is not kept, so documents begin and end at words
+    has = np.flatnonzero(np.diff(firsts) > 0)
+    out = [hashlib.blake2b(b"", digest_size=16).digest()] * (firsts.size - 1)
+    for i, a, b in zip(has.tolist(), sums[starts[firsts[has]]].tolist(), sums[ends[firsts[has + 1] - 1]].tolist(), strict=True):
+        out[i] = hashlib.blake2b(raw[a:b], digest_size=16).digest()
+    return out
+
+
+def _sets(data: np.ndarray, k: int, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct shingles, in order of document and hash."""
-    starts, ends, firsts = word_bounds(data, offsets)
-    found, owner = shingles(Hasher(data, lower=True)(starts, ends), firsts, k)
+    starts, ends, firsts = words
+    found, owner = shingles(hash_ranges(data, starts, ends, True), firsts, k)
     order = np.lexsort((found, owner)) if found.size else np.zeros(0, int)
     found, owner = found[order], owner[order]
     new = np.ones(found.size, bool)
@@ -70,7 +99,13 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np
     return owner[new], found[new]
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def _sorted_counts(table: pa.Table) -> Counts:
+    hashes, counts = table["g"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def frequent_shingles(rows: DataFrame, k: int, most: int = FREQUENT) -> Counts:
     """(hashes, counts) of the at most `most` commonest of the shingles that some task meets often; only rarity's order depends on it."""
 
     def local(batches):
@@ -89,7 +124,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int = FREQUE
         size = 0
         for batch in batches:
             for _, _, data, offsets in byte_slices(batch.column(0), 1 << 21):
-                pending.append(_sets(data, offsets, k)[1])
+                pending.append(_sets(data, k, word_bounds(data, offsets))[1])
                 size += pending[-1].size
                 if size > 1_000_000:
                     merge()
@@ -98,23 +133,20 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int = FREQUE
         keep = counts >= LEAST_LOCAL
         yield pa.RecordBatch.from_arrays([pa.array(got[keep].view(np.int64)), pa.array(counts[keep])], names=["g", "n"])
 
-    sums = docs.select(text_col).mapInArrow(local, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    table = sums.orderBy(F.desc("n"), "g").limit(most).toArrow()
-    hashes, counts = table["g"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
+    sums = rows.select("text").mapInArrow(local, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return _sorted_counts(sums.orderBy(F.desc("n"), "g").limit(most).toArrow())
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, f1, f2, prefix, sketch): set size, fingerprint of the set, prefix shingles rarest first, shingles by bin."""
-    hashes, counts = frequent_shingles(docs, text_col, k)
-    common = docs.sparkSession.sparkContext.broadcast((hashes, counts))  # at most FREQUENT pairs: 4 MB
+def signatures(rows: DataFrame, common: Counts, k: int, num: int, den: int) -> DataFrame:
+    """(id, h, digest, n, prefix, sketch) of rows (id, h, text): digest of the words, set size, prefix shingles rarest first, shingles by bin."""
+    sent = rows.sparkSession.sparkContext.broadcast(common)  # at most FREQUENT pairs a round: 4 MB
 
-    def rows(batches):
-        hashes, counts = common.value
+    def make(batches):
+        hashes, counts = sent.value
         for batch in batches:
-            for low, high, data, offsets in byte_slices(batch.column(1), 1 << 21):
-                owner, found = _sets(data, offsets, k)
+            for low, high, data, offsets in byte_slices(batch.column(2), 1 << 21):
+                words = word_bounds(data, offsets)
+                owner, found = _sets(data, k, words)
                 docs_ = high - low
                 n = np.bincount(owner, minlength=docs_)
                 rank = np.zeros(found.size, np.int64)
@@ -128,18 +160,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, de
                 length[n == 0] = 0
                 keep = place < length[owner]
                 prefix = found[order][keep].view(np.int64)
-                sums = np.zeros((2, docs_), np.uint64)
-                np.add.at(sums[0], owner, mix64(found + np.uint64(1)))
-                np.add.at(sums[1], owner, mix64(found ^ np.uint64(0x5851F42D4C957F2D)))
                 bins = np.bincount(owner * SKETCH + (found >> np.uint64(57)).astype(np.int64), minlength=docs_ * SKETCH).reshape(docs_, SKETCH)
                 sketch = [r.tobytes() for r in np.minimum(bins, 65535).astype("<u2")]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, docs_), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(prefix)), pa.array(sketch, pa.binary())],
-                    names=["id", "n", "f1", "f2", "prefix", "sketch"],
-                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(prefix))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, docs_), batch.column(1).slice(low, docs_), pa.array(digests(data, *words), pa.binary()), pa.array(n), lists, pa.array(sketch, pa.binary())], names=["id", "h", "digest", "n", "prefix", "sketch"])
 
-    docs = docs.select(F.col(id_col).cast("long"), text_col)
-    return docs.mapInArrow(rows, "id long, n long, f1 long, f2 long, prefix array<long>, sketch binary")
+    return rows.select("id", "h", "text").mapInArrow(make, "id long, h long, digest binary, n long, prefix array<long>, sketch binary")
 
 
 def _may_link(a, b, num: int, den: int):
@@ -153,8 +179,11 @@ def _may_link(a, b, num: int, den: int):
     return (F.lit(den) * F.least(a["n"], b["n"]) >= F.lit(num) * F.greatest(a["n"], b["n"])) & (left >= least)
 
 
-def _check(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) of ids that link: suffix filter by bins first, then on the texts' words."""
+def _check(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b) of classes that link: suffix filter by bins first, then on the texts' words.
+
+    texts: (id, h, text); reps: (c, id, h, n, sketch) of the classes.
+    """
 
     def bound(batches):
         for batch in batches:
@@ -166,13 +195,14 @@ def _check(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, id_col: str,
             open_ = ((x == 65535) & (y == 65535)).any(axis=1)  # a bin full on both sides bounds nothing
             yield batch.filter(pa.array(open_ | (den * most >= num * (n + m - most)))).select(["a", "b"])
 
-    p = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
-    p = p.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b").select("a", "b", "sa", "sb", "na", "nb")
-    p = materialize(p.mapInArrow(bound, "a long, b long"), "jaccard-pairs")
-    members = p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
-    texts = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(members, "id", "left_semi"), "jaccard-texts")
-    with_a = p.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    p = pairs.join(reps.select(F.col("c").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), "a")
+    p = p.join(reps.select(F.col("c").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b").select("a", "b", "sa", "sb", "na", "nb")
+    p = materialize(p.mapInArrow(bound, "a binary, b binary"), "jaccard-pairs")
+    members = p.select(F.col("a").alias("c")).union(p.select(F.col("b").alias("c"))).distinct()
+    members = reps.select("c", F.col("id").alias("i"), F.col("h").alias("j")).join(members, "c", "left_semi")
+    own = materialize(texts.join(members, (F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).select("c", "text"), "jaccard-texts")
+    with_a = p.join(own.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+    both = with_a.join(own.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def verify(batches):
         last: dict = {}
@@ -190,84 +220,130 @@ def _check(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, id_col: str,
                 keep.append(linked(*sets, num, den))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(verify, "a long, b long")
+    return both.mapInArrow(verify, "a binary, b binary")
+
 
+def name_of(id_: Column, digest: Column) -> Column:
+    """A member's name: its id, in bytes that sort as ids do, and its digest."""
+    return F.concat(F.unhex(F.lpad(F.hex(id_.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), digest)
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures of all rows; (id, class) of all rows with a set; (node, component) of the classes that link).
 
-    A class is named by its least id.
+def id_of(name: Column) -> Column:
+    return (F.conv(F.hex(F.substring(name, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
+def members_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text) of the rows; h is a hash of the text."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+
+
+def _prefixes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prefix shingles of the classes: c, n, pos, g; (g, m) of those that several classes have)."""
+    rows = reps.select("c", "n", F.posexplode("prefix").alias("pos", "g"))
+    return rows, materialize(rows.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
+
+
+def _reordered(reps: DataFrame, texts: DataFrame, common: Counts, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """_prefixes, after new prefixes for classes whose prefix holds what only turned out common over all classes."""
+    rows, counts = _prefixes(reps)
+    for _ in range(ROUNDS):
+        known = materialize(counts.filter(F.col("m") >= COMMON), "jaccard-common")
+        table = known.orderBy(F.desc("m"), "g").limit(FREQUENT).select("g", F.col("m").alias("n")).toArrow()
+        hashes = table["g"].to_numpy().view(np.uint64)
+        new = np.isin(hashes, common[0], invert=True)
+        if not new.any():
+            break
+        found = np.concatenate([common[0], hashes[new]])
+        order = np.argsort(found)
+        common = found[order], np.concatenate([common[1], table["n"].to_numpy()[new]])[order]
+        held = rows.join(F.broadcast(reps.sparkSession.createDataFrame(pa.table({"g": hashes[new].view(np.int64)}))), "g").select("c").distinct()  # at most FREQUENT
+        held = materialize(reps.select("c", F.col("id").alias("i"), F.col("h").alias("j")).join(held, "c", "left_semi"), "jaccard-held")
+        again = texts.join(held, (F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).select("id", "h", "text")
+        fresh = signatures(again, common, k, num, den).select(F.col("id").alias("i"), F.col("h").alias("j"), F.col("prefix").alias("other"))
+        reps = reps.join(materialize(fresh, "jaccard-fresh"), (F.col("id") == F.col("i")) & (F.col("h") == F.col("j")), "left")
+        reps = materialize(reps.select("c", "id", "h", "n", F.coalesce("other", "prefix").alias("prefix"), "sketch"), "jaccard-reps")
+        rows, counts = _prefixes(reps)
+    return materialize(rows.join(counts, "g"), "jaccard-prefixes"), reps
+
+
+def _across(big: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs, other than pairs, of classes (g, c, n, pos, comp) that share a shingle, may link, and lie apart.
+
+    Sets that link differ in size by den / num at most, so each class meets
+    those of its own band of sizes and of the next.
     """
-    docs = one_text_an_id(docs, id_col, text_col)
-    sigs = materialize(signatures(docs, id_col, text_col, k, num, den), "jaccard-signatures")
+    wide = math.log(1.001 * den / num)
+    band = F.floor(F.log(F.col("n").cast("double")) / wide)
+    big = big.withColumn("band", band)
+    x = big.withColumn("next", F.explode(F.array(F.col("band"), F.col("band") + 1))).select("g", "next", *(F.col(c).alias(f"{c}_x") for c in ("c", "n", "pos", "comp")))
+    y = big.select(F.col("g").alias("g2"), "band", *(F.col(c).alias(f"{c}_y") for c in ("c", "n", "pos", "comp")))
+    cross = x.join(y, (F.col("g") == F.col("g2")) & (F.col("next") == F.col("band")))
+    cross = cross.filter((F.struct("n_x", "c_x") < F.struct("n_y", "c_y")) & (F.col("comp_x") != F.col("comp_y")))
+    at = lambda s: {c: F.col(f"{c}_{s}") for c in ("n", "pos")}
+    cross = cross.filter(_may_link(at("x"), at("y"), num, den)).select(F.least("c_x", "c_y").alias("a"), F.greatest("c_x", "c_y").alias("b")).distinct()
+    return cross.join(pairs, ["a", "b"], "left_anti")
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(id, h, digest, n of all rows; (digest, name) of all classes with their component's least member)."""
+    texts = members_of(docs, id_col, text_col)
+    common = frequent_shingles(texts, k)
+    sigs = materialize(signatures(texts, common, k, num, den), "jaccard-signatures")
     sets = sigs.filter("n > 0 and id is not null")
-    classes = materialize(sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("class")), "jaccard-classes")
-    owner = materialize(sets.select("id", "f1", "f2", "n").join(classes, ["f1", "f2", "n"]).select("id", "class"), "jaccard-owner")
-    reps = materialize(sets.join(classes.select(F.col("class").alias("id")), "id", "left_semi"), "jaccard-reps")
-    rows = reps.select("id", "n", F.posexplode("prefix").alias("pos", "g"))
-    counts = materialize(rows.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
-    rows = materialize(rows.join(counts, "g"), "jaccard-prefixes")
+    classes = materialize(sets.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("m")).select("digest", name_of(F.col("m.id"), F.col("digest")).alias("c"), F.col("m.id").alias("i"), F.col("m.h").alias("j")), "jaccard-classes")
+    reps = sets.join(classes, "digest").filter((F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).dropDuplicates(["digest"])
+    reps = materialize(reps.select("c", "id", "h", "n", "prefix", "sketch"), "jaccard-reps")
+    narrow = sigs.select("id", "h")
+    if narrow.distinct().count() < sigs.count():  # whole rows that repeat are one text
+        texts = materialize(texts.dropDuplicates(["id", "h"]), "jaccard-distinct")
+    rows, reps = _reordered(reps, texts, common, k, num, den)
     # of a rare shingle, all classes meet; of a common one, each meets the one with the fewest shingles of its own
-    small = rows.filter(F.col("m") <= LOT).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "n", "pos"))).alias("all"))
-    meets = small.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.lit(LOT)), lambda y: _may_link(x, y, num, den)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))).alias("p")).select("p.a", "p.b")
+    small = rows.filter(F.col("m") <= LOT).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("c", "n", "pos"))).alias("all"))
+    meets = small.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.lit(LOT)), lambda y: _may_link(x, y, num, den)), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))).alias("p")).select("p.a", "p.b")
     big = rows.filter(F.col("m") > LOT)
-    hubs = materialize(big.groupBy("g").agg(F.min(F.struct("pos", "id", "n")).alias("x")), "jaccard-hubs")
-    star = big.join(hubs, "g").filter(F.col("x.id") != F.col("id"))
-    star = star.filter(_may_link(F.col("x"), F.struct("n", "pos"), num, den)).select(F.least("x.id", "id").alias("a"), F.greatest("x.id", "id").alias("b"))
+    hubs = materialize(big.groupBy("g").agg(F.min(F.struct("pos", "c", "n")).alias("x")), "jaccard-hubs")
+    star = big.join(hubs, "g").filter(F.col("x.c") != F.col("c"))
+    star = star.filter(_may_link(F.col("x"), F.struct("n", "pos"), num, den)).select(F.least("x.c", "c").alias("a"), F.greatest("x.c", "c").alias("b"))
     pairs = materialize(meets.union(star).distinct(), "jaccard-candidates")
-    links = materialize(_check(pairs, docs, reps, id_col, text_col, k, num, den), "jaccard-links")
+    links = materialize(_check(pairs, texts, reps, k, num, den), "jaccard-links")
     components = connected_components(links, "jaccard-components")
     # what the hubs left out: classes of one common shingle that are not yet in one component
-    big = big.select("g", "id", "n", "pos").join(components, F.col("id") == F.col("node"), "left")
-    big = big.select("g", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
-    apart = big.groupBy("g").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("g")
+    big = big.select("g", "c", "n", "pos").join(components, F.col("c") == F.col("node"), "left")
+    big = big.select("g", "c", "n", "pos", F.coalesce("component", "c").alias("comp"))
+    apart = big.groupBy("g").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("g")
     big = materialize(big.join(materialize(apart, "jaccard-split"), "g"), "jaccard-apart")
     if not big.isEmpty():
-        x, y = (big.select("g", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "c"))) for s in "xy")
-        cross = x.join(y, "g").filter((F.col("id_x") < F.col("id_y")) & (F.col("c_x") != F.col("c_y")))
-        at = lambda s: {c: F.col(f"{c}_{s}") for c in ("n", "pos")}
-        cross = cross.filter(_may_link(at("x"), at("y"), num, den)).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-        cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "jaccard-cross")
+        cross = materialize(_across(big, pairs, num, den), "jaccard-cross")
         if not cross.isEmpty():
-            more = materialize(_check(cross, docs, reps, id_col, text_col, k, num, den), "jaccard-more")
+            more = materialize(_check(cross, texts, reps, k, num, den), "jaccard-more")
             if not more.isEmpty():
                 components = connected_components(links.union(more), "jaccard-components")
-    return sigs, owner, components
-
-
-def one_text_an_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) with the greatest text of each id that has several rows; rows with a null id as they are."""
-    docs = docs.select(id_col, text_col)
-    many = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).filter("c > 1").select(id_col)
-    many = materialize(many, "jaccard-repeated")
-    if many.isEmpty():
-        return docs
-    again = docs.join(many, id_col, "left_semi").groupBy(id_col).agg(F.max(text_col).alias(text_col))
-    return docs.join(many, id_col, "left_anti").unionByName(again)
+    named = classes.select("digest", "c").join(components, F.col("c") == F.col("node"), "left").select("digest", F.coalesce("component", "c").alias("name"))
+    return sigs.select("id", "h", "digest", "n"), materialize(named, "jaccard-named")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """id, n_shingles and component_id (the least id linked, directly or not) of every row."""
-    sigs, owner, components = jaccard_links(docs, id_col, text_col, k, num, den)
-    own = owner.join(components, F.col("class") == F.col("node"), "left").select("id", F.coalesce("component", "class").alias("component_id"))
-    out = sigs.select("id", "n").join(own, "id", "left")
-    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    known = out.filter("id is not null").withColumnRenamed("id", id_col)
-    every = docs.select(F.col(id_col).cast("long")).filter(F.col(id_col).isNotNull()).join(known, id_col)
-    return every.unionByName(out.filter("id is null").withColumnRenamed("id", id_col))
+    sigs, named = jaccard_links(docs, id_col, text_col, k, num, den)
+    out = sigs.join(named, "digest", "left")
+    own = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, id_of(F.col("name"))), F.col("id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without those linked to a document of smaller id; of rows with equal ids and words one stays, others without words all stay."""
-    sigs, owner, components = jaccard_links(docs, id_col, text_col, k, num, den)
-    own = owner.join(components, F.col("class") == F.col("node"), "left").select("id", F.coalesce("component", "class").alias("component"))
-    gone = own.filter(F.col("component") < F.col("id")).select(F.col("id").alias("_gone"))
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    twice = docs.groupBy(id_col).agg(F.count("*").alias("_c")).filter("_c > 1").select(F.col(id_col).alias("_id"))
-    twice = materialize(twice.filter("_id is not null"), "jaccard-repeated")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, F.col(id_col) == F.col("_id"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).desc_nulls_last())
-    again = again.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn")
-    return kept.join(twice, F.col(id_col) == F.col("_id"), "left_anti").unionByName(again)
+    """docs without those linked to a member before them (of smaller id, or digest); of rows with equal ids and words one stays, those without words or id all stay."""
+    sigs, named = jaccard_links(docs, id_col, text_col, k, num, den)
+    judged = sigs.filter("n > 0 and id is not null").join(named, "digest").select("id", "h", "digest", (F.col("name") == name_of(F.col("id"), F.col("digest"))).alias("first"))
+    judged = materialize(judged, "jaccard-judged")
+    gone = judged.filter("not first").select(F.col("id").alias("i"), F.col("h").alias("j")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(gone, (F.col("id") == F.col("i")) & (F.col("h") == F.col("j")), "left_anti")
+    # rows of one id and the same words
+    twice = judged.filter("first").groupBy("id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("id", "digest")
+    twice = materialize(judged.filter("first").join(twice, ["id", "digest"]).select(F.col("id").alias("i"), F.col("h").alias("j"), "digest").distinct(), "jaccard-repeated")
+    own = (F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))
+    if not twice.isEmpty():
+        again = kept.join(twice, own).groupBy("id", "digest").agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row"))
+        kept = kept.join(twice, own, "left_anti").select("row").unionByName(again.select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -673,29 +673,41 @@ def test_repeats_odd_rows(spark, empty):
 # ------------------------------------------------------------------------- op 9
 
 
-@pytest.mark.parametrize(("k", "num", "lot"), [(3, 90, 24), (5, 80, 24), (3, 90, 2), (3, 60, 2)])
-def test_jaccard_equals_brute_force(spark, odd, monkeypatch, k, num, lot):
+@pytest.mark.parametrize(("k", "num", "lot", "common"), [(3, 90, 24, 96), (5, 80, 24, 4), (3, 90, 2, 3), (3, 60, 2, 96)])
+def test_jaccard_equals_brute_force(spark, odd, monkeypatch, k, num, lot, common):
     monkeypatch.setattr(jaccard_join, "LOT", lot)
+    monkeypatch.setattr(jaccard_join, "COMMON", common)
     rows = odd.unionByName(spark.createDataFrame([(500 + i, "x y z", None, None, None) for i in range(9)], DOCS))
     got = {r["doc_id"]: tuple(r)[1:] for r in jaccard_join.jaccard_components(rows, k=k, num=num).collect()}
     assert got == brute.components([(r["doc_id"], r["text"]) for r in rows.collect()], k, num, 100)
 
 
 def test_jaccard_odd_rows(spark, empty):
-    assert jaccard_join.jaccard_components(empty).isEmpty()
-    rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a B c"), (3, None), (3, None), (4, "zz")], "doc_id long, text string").withColumn("g", F.lit(1))
+    assert jaccard_join.jaccard_components(empty).isEmpty() and jaccard_join.keep_one(empty).isEmpty()
+    rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "a B c"), (3, None), (3, None), (4, "zz"), (4, "other words here"), (-5, " OTHER words\nhere ")], "doc_id long, text string")
+    for name in ("g", "_gone", "_turn", "_c", "_id", "id", "h", "digest", "row", "name", "i"):
+        rows = rows.withColumn(name, F.lit(7))
     got = sorted((tuple(r) for r in jaccard_join.jaccard_components(rows).collect()), key=repr)
-    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3), (4, 1, 4), (None, 1, None)]
-    assert sorted((r["doc_id"] or 0) for r in jaccard_join.keep_one(rows).collect()) == [0, 1, 3, 4]
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3), (4, 1, 4), (4, 1, -5), (-5, 1, -5), (None, 1, None)], key=repr)
+    kept = jaccard_join.keep_one(rows)
+    assert kept.columns == rows.columns and {r["_gone"] for r in kept.collect()} == {7}
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())) == [(-5, " OTHER words\nhere "), (0, "a b c"), (1, "a b c"), (3, ""), (3, ""), (4, "zz")]
+
+
+def test_names_sort_as_ids(spark):
+    ids = [-(1 << 63), -5, -1, 0, 1, 1 << 40, (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, bytes([k] * 16)) for k, i in enumerate(reversed(ids))], "id long, digest binary")
+    got = docs.select("id", jaccard_join.name_of(F.col("id"), F.col("digest")).alias("name")).orderBy("name").select("id", jaccard_join.id_of(F.col("name")).alias("back")).collect()
+    assert [r["id"] for r in got] == ids == [r["back"] for r in got]
 
 
 def test_full_bins_go_to_the_check(spark):
-    docs = spark.createDataFrame([(1, "a b c d"), (2, "A b c d"), (3, "x y z")], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, 0, "a b c d"), (2, 0, "A b c d"), (3, 0, "x y z")], "id long, h long, text string")
     full, some = (np.full(jaccard_join.SKETCH, n, "<u2").tobytes() for n in (65535, 9))
-    sketches = spark.createDataFrame([(1, 20_000_000, full), (2, 20_000_000, full), (3, 20_000_000, some)], "id long, n long, sketch binary")
-    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
-    got = jaccard_join._check(pairs, docs, sketches, "doc_id", "text", 3, 90, 100).collect()
-    assert [tuple(r) for r in got] == [(1, 2)]
+    reps = spark.createDataFrame([(b"1", 1, 0, 20_000_000, full), (b"2", 2, 0, 20_000_000, full), (b"3", 3, 0, 20_000_000, some)], "c binary, id long, h long, n long, sketch binary")
+    pairs = spark.createDataFrame([(b"1", b"2"), (b"1", b"3")], "a binary, b binary")
+    got = jaccard_join._check(pairs, texts, reps, 3, 90, 100).collect()
+    assert [tuple(r) for r in got] == [(b"1", b"2")]
 
 
 def test_jaccard_on_documents(spark, sf_dir):
