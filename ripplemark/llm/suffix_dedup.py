@@ -50,7 +50,7 @@ MOST_HOT = 1 << 16
 BAND = 8
 SHARD_BYTES = 1 << 21
 KEY_BYTES = 32 << 20
-SHARD_ROWS = 150_000
+SHARD_ROWS = 50_000
 MOST_BITS = 1 << 30
 FLUSH_BYTES = 48 << 20
 PIECE = 1 << 20
