@@ -146,6 +146,8 @@ def slots(targets: DataFrame, block: int = BLOCK, shards: int | None = None) ->
     counts = materialize(shard_counts(numbers, shards), "mixture-counts")
     counts = running_total(counts, ["rank"], ["shard"], F.floor(F.col("shard") / max(1, math.isqrt(shards))), "n", "begin")
     t = counts.join(numbers.withColumnRenamed("rank", "r2"), F.col("rank") == F.col("r2"))
+    # few rows, of which each becomes many: dealt anew, as their bytes alone would leave them in one task
+    t = t.repartition(max(1, int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "rank", "shard")
     t = t.withColumn("slot", F.explode(F.sequence(F.col("begin"), F.col("begin") + F.col("n") - 1)))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     return t.select(
