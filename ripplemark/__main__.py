@@ -2,6 +2,7 @@
 
 --repo PATH | --hosted OWNER/NAME [--pull N | --commit SHA]; --diff FILE or
 text; -k HOPS; --output FILE (Markdown), --json (stdout), --serve PORT.
+--evaluate SYMBOL: how well call sites and tests of SYMBOL are found, as JSON.
 """
 
 from __future__ import annotations
@@ -47,12 +48,23 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--output")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--serve", type=int)
+    parser.add_argument("--evaluate", metavar="SYMBOL")
     args = parser.parse_args(argv)
     if args.serve:
         from .server import serve
 
         serve(session(), args.serve)
         return 0
+    if args.evaluate:
+        from .operators.evaluation import evaluation
+        from .sources.files import DEFAULT_DIFF, commits_from_git, files_from_dir
+
+        spark = session()
+        text = to_json(evaluation(files_from_dir(spark, args.repo), args.evaluate, args.diff or DEFAULT_DIFF, commits_from_git(spark, args.repo)))
+        if args.output:
+            write_text(text, args.output)
+        print(text)
+        return 0
     found = run(args)
     if args.output:
         write_text(found["markdown_report"], args.output)

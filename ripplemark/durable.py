@@ -12,10 +12,12 @@ _OWN: dict[int, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own where that is unset."""
+    """spark.checkpoint.dir of the session; in local mode, where that is unset, a folder of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _OWN.setdefault(id(spark.sparkContext), "file://" + tempfile.mkdtemp(prefix="ripplemark-"))
 
 

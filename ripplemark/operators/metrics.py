@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .traversal import ranked
+
 
 def retrieval_metrics(ranking: DataFrame, truth: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, precision, recall, f1 (in %), mrr and ndcg (in %) of ranking (by..., item, rank) for truth (by..., item).
@@ -33,10 +35,8 @@ def retrieval_metrics(ranking: DataFrame, truth: DataFrame, k: int = 10, by: lis
 
 def substring_ranking(lines: DataFrame, symbol: str) -> DataFrame:
     """(item, rank) of the lines (item, text, place) that contain symbol, in order: the plainest baseline."""
-    from pyspark.sql import Window
-
-    found = lines.filter(F.col("text").contains(symbol))
-    return found.select("item", F.row_number().over(Window.orderBy("place")).alias("rank"))
+    found = lines.filter(F.col("text").contains(symbol)).select("item", "place", F.lit(0).alias("same"))
+    return ranked(found, "same", "place").select("item", "rank")
 
 
 def most_called(nodes: DataFrame, edges: DataFrame) -> DataFrame:

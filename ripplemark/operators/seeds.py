@@ -40,13 +40,19 @@ def diff_table(spark: SparkSession, text: str) -> DataFrame:
 def matched_files(paths: DataFrame, changes: DataFrame) -> DataFrame:
     """(path, file): a graph path and a diff path of which one ends with the other.
 
-    Every ending of either side is matched as a key, so this is two equi-joins.
+    Of either side, the endings that are as long as some path of the other side
+    are matched as keys, so this is two equi-joins.
     """
-    endings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), i, F.length(c))))
     own = paths.select(F.col("file").alias("path")).filter("path != ''").distinct()
     named = changes.select("file").filter("file != ''").distinct()
-    longer = own.select("path", endings("path").alias("file")).join(named, "file")
-    shorter = named.select("file", endings("file").alias("path")).join(own, "path")
+
+    def endings(of: DataFrame, column: str, other: DataFrame, name: str, key: str) -> DataFrame:
+        sizes = F.broadcast(other.agg(F.collect_set(F.length(name)).alias("sizes")))  # one row, of as many numbers as paths have lengths
+        fits = F.filter("sizes", lambda n: n <= F.length(column))
+        return of.crossJoin(sizes).select(column, F.explode(F.transform(fits, lambda n: F.right(F.col(column), n))).alias(key))
+
+    longer = endings(own, "path", named, "file", "file").join(named, "file")
+    shorter = endings(named, "file", own, "path", "path").join(own, "path")
     return longer.select("path", "file").union(shorter.select("path", "file")).distinct()
 
 

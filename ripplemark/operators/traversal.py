@@ -45,12 +45,12 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi").join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi").select(*edges.columns)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
-    """(node_id) of all that seeds reach in either direction."""
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node_id) of all that seeds reach in either direction; rounds go on until one finds nothing new."""
     both = written(edges.select(F.col("src").alias("at"), F.col("dst").alias("node_id")).union(edges.select("dst", "src")).distinct(), "undirected")
     seen = written(seeds.select("node_id").distinct(), "reached")
     edge = seen
-    for _ in range(most):
+    while True:
         edge = written(both.join(edge.select(F.col("node_id").alias("at")), "at", "left_semi").select("node_id").distinct().join(seen, "node_id", "left_anti"), "reached")
         if edge.isEmpty():
             break
@@ -175,17 +175,18 @@ def personalized_pagerank(node_ids: DataFrame, arrows: DataFrame, seeds: DataFra
 # -------------------------------------------------------------------------- paths
 
 
-def cheapest_paths(arrows: DataFrame, seeds: DataFrame, most: int = 200) -> DataFrame:
+def cheapest_paths(arrows: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node_id, cost, hops, path) of least cost from each seed, then fewest hops, then the smaller path.
 
     Only pairs that got better go on to the next round; there is no limit on
-    hops, as a limit must not turn a dear short path into the cheapest one.
+    hops, as a limit must not turn a dear short path into the cheapest one.  Rounds
+    go on until no pair gets better, which costs above 0 bring about.
     """
     steps = written(arrows.select(F.col("src").alias("node_id"), F.col("dst").alias("to"), F.col("cost").alias("step")), "path-steps")
     order = F.struct("cost", "hops", "path")
     known = seeds.select(F.col("node_id").alias("seed"), "node_id", F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.array("node_id").alias("path")).alias("best"), F.lit(True).alias("fresh")).distinct()
     known = written(known, "paths")
-    for _ in range(most):
+    while True:
         tried = known.filter("fresh").select("seed", "node_id", "best.*").join(steps, "node_id").filter(~F.array_contains("path", F.col("to")))
         tried = tried.select("seed", F.col("to").alias("node_id"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("to")).alias("path"))
         tried = tried.select("seed", "node_id", order.alias("best"), F.lit(None).cast(known.schema["best"].dataType).alias("old"))
@@ -298,10 +299,14 @@ def evidence_paths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_len
 # -------------------------------------------------------------------------- errors
 
 
+#: Fixed value: what reads as an annotated parameter.
+PARAMETER = r"([A-Za-z0-9_]+)\s*:\s*[A-Za-z0-9_\[\],\s]+(?:=\s*[^,)]+)?"
+
+
 def added_parameters(diff_lines: DataFrame) -> DataFrame:
     """(param) that added lines (line) annotate and, from there on, never follow with an equals sign."""
     added = diff_lines.filter(F.col("line").startswith("+") & ~F.col("line").startswith("+++"))
-    names = added.select("line", F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z0-9_]+)\s*:\s*[A-Za-z0-9_\[\],\s]+(?:=\s*[^,)]+)?"), F.lit(1))).alias("param"))
+    names = added.select("line", F.explode(F.regexp_extract_all("line", F.lit(PARAMETER), F.lit(1))).alias("param"))
     return names.filter(~F.expr("substring(line, instr(line, param))").contains("=")).select("param").distinct()
 
 

@@ -2,7 +2,8 @@
 
 Customers are files, orders are functions in them, an order's parts are call
 sites, parts are the functions called (with their type as base class and brand
-as interface), suppliers are what a call might also mean.  Commits are orders,
+as interface), suppliers are what a call might also mean, and every hundredth
+part overrides the one a hundred before it.  Commits are orders,
 changed files are their parts.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..durable import written
 from ..operators.linking import Graph
-from ..schema import CANDIDATE, CONTAIN, IMPLEMENT, IMPORT, INHERIT, INVOKE
+from ..schema import CANDIDATE, CONTAIN, IMPLEMENT, IMPORT, INHERIT, INVOKE, OVERRIDE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         made(t("nation"), tag("region", "n_regionkey"), tag("nation", "n_nationkey"), CONTAIN, one),
         made(t("part"), tag("part", "p_partkey"), tag("type", "p_type"), INHERIT, one),
         made(t("part"), tag("part", "p_partkey"), tag("brand", "p_brand"), IMPLEMENT, one),
+        made(t("part").filter("p_partkey > 100 and p_partkey % 100 = 3").withColumn("base", F.col("p_partkey") - 100), tag("part", "p_partkey"), tag("part", "base"), OVERRIDE, one),
         made(sites.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct(), tag("cust", "o_custkey"), tag("part", "l_partkey"), IMPORT, one),
     ]
     rows = parts[0]

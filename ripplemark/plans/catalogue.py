@@ -13,6 +13,7 @@ from ..functions.scoring import edge_weight, safe_cost
 from ..functions.text import code_tokens, jaccard
 from ..operators import fusion, history, linking, metrics, seeds, traversal
 from ..operators.test_selection import direct_tests, relevant_tests
+from ..operators.vectors import nearest_by_cosine
 from ..streaming import live
 from . import bridge
 from .bridge import table, tag
@@ -46,6 +47,7 @@ edges AS (
   UNION ALL SELECT 'region:' || n_regionkey, 'nation:' || n_nationkey, 'E_contain', 1.0 FROM nation
   UNION ALL SELECT 'part:' || p_partkey, 'type:' || p_type, 'E_inherit', 1.0 FROM part
   UNION ALL SELECT 'part:' || p_partkey, 'brand:' || p_brand, 'E_implement', 1.0 FROM part
+  UNION ALL SELECT 'part:' || p_partkey, 'part:' || (p_partkey - 100), 'E_override', 1.0 FROM part WHERE p_partkey > 100 AND p_partkey % 100 = 3
   UNION ALL SELECT DISTINCT 'cust:' || o_custkey, 'part:' || l_partkey, 'E_import', 1.0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ),
 nodes AS (
@@ -92,12 +94,14 @@ FROM orders c LEFT JOIN orders p ON p.o_custkey = c.o_custkey AND p.o_orderprior
 GROUP BY c.o_orderkey, c.o_custkey"""
 )
 def contain_first_parent(spark, sf_dir):
-    """Open orders are nested in the customer's first finished one; others lie in the customer."""
+    """Customers as files, orders as their definitions: open ones are nested in the first finished one."""
     o = table(spark, sf_dir, "orders")
-    inner = o.select("o_custkey", F.col("o_orderkey").alias("child"), F.when(F.col("o_orderstatus") == "O", "F").otherwise("none").alias("scope"))
-    outer = o.select("o_custkey", F.col("o_orderkey").alias("parent"), F.col("o_orderstatus").alias("scope"))
-    first = linking.first_row(inner.join(outer, ["o_custkey", "scope"]).filter("parent != child"), ["child"], F.col("parent")).select("child", "parent")
-    return inner.join(first, "child", "left").select("child", F.coalesce("parent", -F.col("o_custkey")).alias("container"))
+    files = o.select(F.col("o_custkey").alias("seq"), tag("cust", "o_custkey").alias("path"), F.lit("").alias("content")).distinct()
+    scope = F.when(F.col("o_orderstatus") == "O", "F").otherwise("none")
+    items = o.select(F.col("o_custkey").alias("seq"), F.col("o_orderkey").alias("item"), F.lit("def").alias("kind"), tag("order", "o_orderkey").alias("node_id"), scope.alias("parent_scope"), F.col("o_orderstatus").alias("name"), F.lit(None).cast("string").alias("enclosing_id"))
+    made = linking.contain_edges(files, items)
+    number = F.regexp_extract("src", r"^(?:order|cust):(\d+)", 1).cast("long")
+    return made.select(F.substring_index("dst", ":", -1).cast("long").alias("child"), F.when(F.col("src").startswith("order:"), number).otherwise(-number).alias("container"))
 
 
 @query("SELECT lookup, count(*) AS defs, min(p_partkey) AS first_def FROM (SELECT p_partkey, p_name AS lookup FROM part UNION SELECT p_partkey, split_part(p_name, ' ', -1) FROM part) GROUP BY ALL")
@@ -108,47 +112,57 @@ def symbol_inverted_index(spark, sf_dir):
 
 
 @query(
-    """WITH refs AS (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem),
-cand AS (SELECT l_returnflag, l_partkey, d.p_partkey AS target,
-  CASE WHEN d.p_partkey = l_partkey AND l_returnflag = 'R' THEN 1 WHEN d.p_brand = s.p_brand AND l_returnflag <> 'A' THEN 2 WHEN d.p_type = s.p_type THEN 3 ELSE 4 END AS tier,
-  count(*) OVER (PARTITION BY l_returnflag, l_partkey) AS n
-  FROM refs JOIN part s ON s.p_partkey = l_partkey JOIN part d ON d.p_name = s.p_name),
-best AS (SELECT *, min(tier) OVER (PARTITION BY l_returnflag, l_partkey) AS m FROM cand)
-SELECT l_returnflag, l_partkey, target, CASE tier WHEN 1 THEN 'import_exact' WHEN 2 THEN 'local_exact' WHEN 3 THEN 'sibling_module' ELSE CASE WHEN n = 1 THEN 'repo_unique' ELSE 'repo_ambiguous' END END AS method FROM best WHERE tier = m"""
+    """WITH refs AS (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem), names AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name),
+near AS (SELECT l_returnflag, l_partkey, d.p_partkey AS target, CASE l_returnflag WHEN 'N' THEN 'local_exact' WHEN 'A' THEN 'sibling_module' ELSE 'import_exact' END AS method
+  FROM refs JOIN part s ON s.p_partkey = l_partkey JOIN part d ON d.p_name = s.p_name AND d.p_brand = s.p_brand AND (l_returnflag = 'A' OR d.p_type = s.p_type) WHERE l_returnflag <> 'R' OR l_partkey % 2 = 0)
+SELECT * FROM near UNION ALL
+SELECT l_returnflag, l_partkey, d.p_partkey, CASE n WHEN 1 THEN 'repo_unique' ELSE 'repo_ambiguous' END
+  FROM refs JOIN part s ON s.p_partkey = l_partkey JOIN part d ON d.p_name = s.p_name JOIN names ON names.p_name = s.p_name WHERE l_returnflag = 'R' AND l_partkey % 2 = 1"""
 )
 def tiered_resolution(spark, sf_dir):
-    """Sold parts to the parts of their name: returned ones to themselves, others to those of their brand, else of their type, else any."""
+    """Sold parts as call sites by name, in their part's own file, beside it, or elsewhere with an import of it or without."""
     p = table(spark, sf_dir, "part")
-    refs = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey").distinct()
-    here = p.select(F.col("p_partkey").alias("l_partkey"), "p_name", F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
-    cand = refs.join(here, "l_partkey").join(p.select("p_name", F.col("p_partkey").alias("target"), "p_brand", "p_type"), "p_name")
-    flag = F.col("l_returnflag")
-    tier = F.when((F.col("target") == F.col("l_partkey")) & (flag == "R"), 1).when((F.col("p_brand") == F.col("brand")) & (flag != "A"), 2).when(F.col("p_type") == F.col("kind"), 3).otherwise(4)
-    keys = ["l_returnflag", "l_partkey"]
-    cand = cand.withColumn("tier", tier).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    best = linking.keep_least(cand, keys, F.col("tier"))
-    method = F.when(F.col("tier") == 1, "import_exact").when(F.col("tier") == 2, "local_exact").when(F.col("tier") == 3, "sibling_module").when(F.col("n") == 1, "repo_unique").otherwise("repo_ambiguous")
-    return best.select(*keys, "target", method.alias("method"))
+    home = F.concat_ws("/", F.col("p_brand"), F.col("p_type"))
+    defs = p.select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_name").alias("name"), home.alias("file"))
+    sold = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey"))
+    away = F.concat(F.lit("elsewhere/"), "l_partkey")
+    file = F.when(F.col("l_returnflag") == "N", home).when(F.col("l_returnflag") == "A", F.concat("p_brand", F.lit("/other"))).otherwise(away)
+    refs = sold.select(F.concat_ws(":", "l_returnflag", "l_partkey").alias("ref_id"), F.col("p_name").alias("name"), file.alias("file"), F.lit("").alias("scope"), F.lit("").alias("receiver"))
+    imports = sold.filter("l_returnflag = 'R' and l_partkey % 2 = 0").select(away.alias("file"), F.col("p_name").alias("alias"), module_of(home, False).alias("module"), F.lit("").alias("symbol"), F.lit(0).alias("item"))
+    modules = linking.module_files(defs.select(F.col("file").alias("path")).distinct().withColumn("seq", F.lit(0)), packages=False)
+    got = linking.resolve_calls(refs, defs, imports, modules)
+    return got.select(F.substring_index("ref_id", ":", 1).alias("l_returnflag"), F.substring_index("ref_id", ":", -1).cast("long").alias("l_partkey"), F.col("target").cast("long").alias("target"), "method")
 
 
 @query("SELECT p_name AS name, count(*) AS defs, CASE WHEN count(*) = 1 THEN 'repo_unique' ELSE 'repo_ambiguous' END AS method, CASE WHEN count(*) = 1 THEN 0.5 ELSE 0.35 END::DOUBLE AS confidence FROM part GROUP BY ALL")
 def repo_unique_vs_ambiguous(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("defs"))
-    lone = F.col("defs") == 1
-    return rows.select("name", "defs", F.when(lone, "repo_unique").otherwise("repo_ambiguous").alias("method"), F.when(lone, F.lit(0.5)).otherwise(0.35).alias("confidence"))
+    """A call of each part's name from outside, by name alone."""
+    defs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_name").alias("name"), F.concat_ws("/", F.col("p_brand"), F.col("p_type")).alias("file"))
+    refs = defs.select(F.col("name").alias("ref_id"), "name").distinct().select("ref_id", "name", F.lit("outside/x").alias("file"), F.lit("").alias("scope"), F.lit("").alias("receiver"))
+    none = spark.createDataFrame([], "file string, alias string, module string, symbol string, item int")
+    got = linking.resolve_calls(refs, defs, none, spark.createDataFrame([], "module string, target string"))
+    return got.groupBy(F.col("ref_id").alias("name"), "method", "confidence").agg(F.count("*").alias("defs"))
 
 
 @query(
-    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
-m AS (SELECT url, min(page_id) AS target FROM pages GROUP BY url)
-SELECT page_id AS importer, href, target FROM l LEFT JOIN m ON url = href GROUP BY ALL"""
+    """WITH f AS (SELECT c_custkey AS k, c_nationkey AS n, 'n' || c_nationkey || '/c' || c_custkey || '.py' AS file FROM customer)
+SELECT a.file AS importer, CASE a.k % 4 WHEN 0 THEN 'n' || b.n || '.c' || b.k ELSE 'c' || b.k END AS module, b.file AS target FROM f a JOIN f b ON b.k = a.k + 1 WHERE a.k % 4 < 2
+UNION ALL SELECT a.file, 'shared', 'n' || a.n || '/shared.py' FROM f a WHERE a.k % 4 = 2
+UNION ALL SELECT a.file, 'n' || ((a.n + 1) % 25) || '.shared', 'n' || ((a.n + 1) % 25) || '/shared.py' FROM f a WHERE a.k % 4 = 3"""
 )
 def module_import_edges(spark, sf_dir):
-    """Links of pages to the pages that they name."""
-    p = table(spark, sf_dir, "pages")
-    links = p.select(F.col("page_id").alias("importer"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
-    targets = p.groupBy(F.col("url").alias("href")).agg(F.min("page_id").alias("target"))
-    return links.join(targets, "href", "left").select("importer", "href", "target")
+    """Customers' files import the next one by its whole path or its name, a file of their folder, one of another, or nothing that is there."""
+    c = table(spark, sf_dir, "customer")
+    path = lambda n, k: F.concat(F.lit("n"), n, F.lit("/c"), k, F.lit(".py"))
+    own = c.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), path(F.col("c_nationkey"), F.col("c_custkey")).alias("file"))
+    shared = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey", F.lit("/shared.py")).alias("path"))
+    files = own.select(F.col("file").alias("path")).union(shared).withColumn("seq", F.lit(0))
+    after = own.select((F.col("k") - 1).alias("k"), F.col("n").alias("m"))
+    rows = own.join(after, "k", "left")
+    case = F.col("k") % 4
+    module = F.when(case == 0, F.concat(F.lit("n"), F.coalesce("m", F.lit(99)), F.lit(".c"), F.col("k") + 1)).when(case == 1, F.concat(F.lit("c"), F.col("k") + 1)).when(case == 2, "shared").otherwise(F.concat(F.lit("n"), (F.col("n") + 1) % 25, F.lit(".shared")))
+    imports = rows.select("file", module.alias("module")).union(own.select("file", F.lit("nowhere.at.all")))
+    return linking.resolve_imports(imports, files).select(F.col("file").alias("importer"), "module", "target")
 
 
 @query("SELECT p_partkey, 'E_inherit' AS edge_type, 'type:' || p_type AS dst FROM part UNION ALL SELECT p_partkey, 'E_implement', 'brand:' || p_brand FROM part")
@@ -215,9 +229,8 @@ def seed_range_join(spark, sf_dir):
     """Call sites whose lines a change of its order touches."""
     item = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg((F.min("l_linenumber") * 4).alias("line"), F.min("l_quantity").cast("int").alias("q"))
     nodes = item.select(F.concat_ws(":", "l_orderkey", "l_partkey").alias("node_id"), F.concat(F.lit("order/"), "l_orderkey").alias("file"), "line", (F.col("line") + F.col("q") % 5).alias("end_line"), F.lit("call").alias("category"))
-    changes = table(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("file"), (1 + F.col("o_custkey") % 30).alias("at"))
-    near = (F.abs(F.col("line") - F.col("at")) <= 2) | (F.abs(F.col("end_line") - F.col("at")) <= 2) | ((F.col("line") <= F.col("at")) & (F.col("at") <= F.col("end_line")))
-    return nodes.join(changes, "file").filter(near).select("node_id").distinct()
+    changes = table(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("file"), (1 + F.col("o_custkey") % 30).cast("int").alias("line"))
+    return seeds.seed_nodes(nodes, changes)  # call sites are no one's fallback
 
 
 @query(
@@ -352,7 +365,8 @@ def edge_weight_cost(spark, sf_dir):
 
 PROJECTED = f"""w AS (SELECT src, dst, edge_type, {WEIGHT} AS weight FROM {{edges}}),
 arrows AS (
-  SELECT dst AS src, src AS dst, weight, edge_type FROM w WHERE edge_type IN ('E_invoke', 'E_invoke_candidate', 'E_inherit', 'E_implement', 'E_import')
+  SELECT dst AS src, src AS dst, weight, edge_type FROM w WHERE edge_type IN ('E_invoke', 'E_invoke_candidate', 'E_inherit', 'E_implement', 'E_import', 'E_override')
+  UNION ALL SELECT src, dst, weight * 0.80, edge_type FROM w WHERE edge_type = 'E_override'
   UNION ALL SELECT src, dst, weight * 0.30, edge_type FROM w WHERE edge_type IN ('E_invoke', 'E_invoke_candidate')
   UNION ALL SELECT src, dst, weight * 0.60, edge_type FROM w WHERE edge_type = 'E_contain'
   UNION ALL SELECT dst, src, weight * 0.60, edge_type FROM w WHERE edge_type = 'E_contain')"""
@@ -504,8 +518,8 @@ def evidence_paths(spark, sf_dir):
 
 
 @query(
-    f"""WITH {GRAPH}, c AS (SELECT src, dst FROM edges WHERE edge_type = 'E_invoke' AND dst IN (SELECT node_id FROM seeds))
-SELECT CASE WHEN contains(lower(n.file), 'test') THEN 'HIGH' ELSE 'CRITICAL' END AS severity, CASE WHEN contains(lower(n.file), 'test') THEN 'AssertionError / TestFailure' ELSE 'TypeError: CallSignatureMismatch' END AS error_type,
+    f"""WITH {GRAPH}, c AS (SELECT src, dst, edge_type = 'E_override' AS over_ FROM edges WHERE edge_type IN ('E_invoke', 'E_override') AND dst IN (SELECT node_id FROM seeds))
+SELECT CASE WHEN over_ OR contains(lower(n.file), 'test') THEN 'HIGH' ELSE 'CRITICAL' END AS severity, CASE WHEN over_ THEN 'LiskovSubstitutionViolation / SignatureMismatch' WHEN contains(lower(n.file), 'test') THEN 'AssertionError / TestFailure' ELSE 'TypeError: CallSignatureMismatch' END AS error_type,
 n.file, n.node_id, c.dst AS seed FROM c JOIN nodes n ON n.node_id = c.src"""
 )
 def predicted_errors(spark, sf_dir):
@@ -619,8 +633,38 @@ def hybrid_fusion(spark, sf_dir):
     return got.groupBy(F.substring_index("node_id", ":", 1).alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("hybrid_score"), 1).alias("hybrid_sum"), F.round(F.sum("evolution_score"), 1).alias("evolution_sum"), F.round(F.sum("semantic_score"), 1).alias("semantic_sum"))
 
 
-@query()
+_HYBRID = ORACLES["hybrid_fusion"].rsplit("\nSELECT", 1)[0]
+
+
+def _fused(spark, sf_dir, top_k: int) -> DataFrame:
+    """The fusion over the flagship's neighbourhood, parts as files; ties by id, as SQL can have it."""
+    n, e, s, ranking = _ranking(spark, sf_dir)
+    n = n.withColumn("file", F.col("node_id")).withColumn("node_seq", F.col("node_id"))
+    evolution = written(history.evolution_scores(history.usable_commits(bridge.commits(spark, sf_dir)), s.select(F.col("node_id").alias("file"))), "evolution")
+    return fusion.fuse(n, s, ranking, evolution, fusion.lexical_scores(n, _DIFF), top_k=top_k)
+
+
+@query(f"{_HYBRID}\nSELECT row_number() OVER (ORDER BY hybrid DESC)::INTEGER AS rank, round(hybrid, 4) AS hybrid_score FROM h WHERE hybrid >= 0.05 OR g > 0 ORDER BY rank LIMIT 25")
 def hybrid_fusion_topk(spark, sf_dir):
+    """Ranks and scores of the 25 best; which of equal scores come first is not compared."""
+    return _fused(spark, sf_dir, 25).select("rank", F.round("hybrid_score", 4).alias("hybrid_score"))
+
+
+@query(
+    f"""{_HYBRID}, x AS (SELECT h.*, r.hop_distance AS hops, r.primary_relationship AS rel, r.severity AS sev FROM h LEFT JOIN ranked r USING (node_id) WHERE hybrid >= 0.05 OR g > 0),
+y AS (SELECT CASE WHEN hybrid >= 0.60 OR sev = 'CRITICAL' THEN 'CRITICAL' WHEN hybrid >= 0.35 OR sev = 'HIGH' THEN 'HIGH' WHEN hybrid >= 0.15 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  CASE WHEN rel IS NOT NULL AND hops = 1 AND g >= 0.40 THEN 'direct_structural' WHEN rel IS NOT NULL AND g >= 0.15 THEN 'indirect_structural' WHEN e >= 0.15 THEN 'historical_cochange' WHEN s >= 0.10 THEN 'lexical_semantic_candidate' ELSE 'uncertain_relationship' END AS impact_category,
+  concat_ws(',', CASE WHEN g > 0.05 THEN 'structural_graph' END, CASE WHEN e > 0.05 THEN 'git_evolution' END, CASE WHEN s > 0.10 THEN 'token_lexical' END) AS sources FROM x)
+SELECT severity, impact_category, CASE impact_category WHEN 'direct_structural' THEN 'confirmed_high' WHEN 'indirect_structural' THEN 'confirmed_medium' WHEN 'uncertain_relationship' THEN 'low_confidence' ELSE 'heuristic_candidate' END AS confidence_level, sources, count(*) AS n FROM y GROUP BY ALL"""
+)
+def hybrid_fusion_classes(spark, sf_dir):
+    """Every node's severity, category, confidence and sources, counted."""
+    got = _fused(spark, sf_dir, 1 << 30).withColumn("sources", F.array_join("evidence_sources", ","))
+    return got.groupBy("severity", "impact_category", "confidence_level", "sources").agg(F.count("*").alias("n"))
+
+
+@query()
+def hybrid_fusion_whole(spark, sf_dir):
     """The 25 best of the whole graph, with parts as files, category, confidence and sources."""
     n, e, s, ranking = _whole_ranking(spark, sf_dir)
     n = n.withColumn("file", F.col("node_id"))
@@ -669,24 +713,55 @@ def tia_structural(spark, sf_dir):
     return got.select("test_node_id", "classification", F.round("impact_score", 4).alias("impact_score"))
 
 
-@query()
+@query(
+    f"""WITH {RANKED}, places AS (SELECT c_custkey, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey IN (SELECT o_custkey FROM orders)),
+pr AS (SELECT DISTINCT l_partkey AS p, r FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN places ON c_custkey = o_custkey WHERE l_partkey <= 3),
+met AS (SELECT c_custkey AS k, max(1.0::DOUBLE / c) AS j FROM places JOIN pr USING (r) JOIN (SELECT p, count(*) AS c FROM pr GROUP BY p) USING (p) WHERE c_custkey % 3 = 0 GROUP BY 1),
+o AS (SELECT node_id, o_custkey AS k FROM ego JOIN orders ON node_id = 'order:' || o_orderkey WHERE o_custkey % 3 = 0),
+d AS (SELECT DISTINCT 'order:' || l_orderkey AS node_id FROM sites WHERE l_partkey <= 3),
+imp AS (SELECT DISTINCT o_custkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey <= 3 AND o_custkey % 3 = 0),
+t AS (SELECT o.node_id, CASE WHEN d.node_id IS NOT NULL THEN 1 WHEN hops <= 3 AND score >= 0.20 THEN 2 WHEN j IS NOT NULL THEN 3 WHEN imp.k IS NOT NULL THEN 4 END AS c, score, j, rel
+  FROM o LEFT JOIN d USING (node_id) LEFT JOIN sc USING (node_id) LEFT JOIN met ON met.k = o.k LEFT JOIN imp ON imp.k = o.k
+  UNION ALL SELECT 'cust:' || k, 4, NULL, NULL, NULL FROM imp UNION ALL SELECT 'file:tests/cust:' || k, 3, NULL, j, NULL FROM met WHERE k NOT IN (SELECT k FROM o))
+SELECT node_id AS test_node_id, ['directly_related', 'indirectly_related', 'historically_associated', 'candidate_review'][c] AS classification,
+  CASE c WHEN 1 THEN 'E_invoke' WHEN 2 THEN rel WHEN 3 THEN 'git_co_change' ELSE 'E_import' END AS relationship_type,
+  round(CASE c WHEN 1 THEN greatest(0.85, coalesce(score, 0.95)) WHEN 2 THEN score WHEN 3 THEN least(0.8, j * 0.9) ELSE 0.45 END, 4) AS impact_score, c <> 4 AS requires_execution FROM t WHERE c IS NOT NULL"""
+)
 def tia_history_and_review(spark, sf_dir):
-    """Tests by history: customers that buy what the changed parts' buyers buy."""
+    """All classes of tests: a region's sales as a commit of the parts sold there and its customers' files, imports of the changed parts for review."""
     n, e, s, ranking = _test_graph(spark, sf_dir)
-    co = n.filter("file like 'tests/%'").select(F.lit("p").alias("source_file"), F.col("file").alias("target_file")).distinct().withColumns({"jaccard_score": F.lit(0.3), "confidence": F.lit(0.5), "support": F.lit(2).cast("long")})
-    return relevant_tests(n, e, s, ranking, co).groupBy("classification", "relationship_type", "requires_execution").agg(F.count("*").alias("n"))
+    t = lambda name: table(spark, sf_dir, name)
+    places = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("hash"))
+    sold = t("orders").select("o_orderkey", "o_custkey").join(places, F.col("o_custkey") == F.col("c_custkey"))
+    lines = t("lineitem").join(sold, F.col("l_orderkey") == F.col("o_orderkey")).select("hash", tag("part", "l_partkey").alias("file"))
+    homes = sold.select("hash", F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("tests/"), tag("cust", "o_custkey"))).otherwise(tag("cust", "o_custkey")).alias("file"))
+    commits = history.usable_commits(lines.union(homes), most_files=1 << 30)  # five commits
+    n = n.withColumn("file", F.when(F.col("node_id").startswith("part:"), F.col("node_id")).otherwise(F.col("file")))
+    imports = bridge.graph(spark, sf_dir).edges.filter("edge_type = 'E_import'").join(s.select(F.col("node_id").alias("dst")), "dst", "left_semi").select(*e.columns)
+    co = history.co_changed_files(commits, s.select(F.col("node_id").alias("file")))
+    got = relevant_tests(n, e.unionByName(imports), s, ranking, co)
+    return got.select("test_node_id", "classification", "relationship_type", F.round("impact_score", 4).alias("impact_score"), "requires_execution")
 
 
 # ---------------------------------------------------------------- reports and metrics
 
 
-@query()
+@query(
+    f"""WITH {RANKED}, shown AS (SELECT n.*, CASE category WHEN 'function' THEN coalesce(o_orderpriority, p_type, '') ELSE '' END AS snip FROM ego JOIN nodes n USING (node_id) LEFT JOIN orders ON node_id = 'order:' || o_orderkey LEFT JOIN part ON node_id = 'part:' || p_partkey),
+held AS (SELECT src, dst FROM near WHERE edge_type = 'E_contain'), calls_ AS (SELECT src, dst, confidence FROM near WHERE edge_type = 'E_invoke'),
+callers AS (SELECT c.dst AS node_id, string_agg(chr(10) || '      - ' || t, '' ORDER BY t) AS x FROM (SELECT c.dst, s.name || ' (' || s.file || ':1' || coalesce(' in ' || b.name, '') || ')' || ' [conf: ' || printf('%.2f', c.confidence) || ']' AS t
+  FROM calls_ c JOIN shown s ON s.node_id = c.src LEFT JOIN held h ON h.dst = c.src LEFT JOIN shown b ON b.node_id = h.src) c GROUP BY 1),
+callees AS (SELECT node_id, string_agg(chr(10) || '      - ' || t, '' ORDER BY t) AS x FROM (SELECT h.src AS node_id, p.name || ' (' || p.file || ':1)' AS t FROM held h JOIN calls_ c ON c.src = h.dst JOIN shown p ON p.node_id = c.dst) GROUP BY 1),
+b AS (SELECT file, node_id, '  ' || upper(category) || ': ' || name || CASE WHEN node_id IN (SELECT node_id FROM seeds) THEN ' [changed]' ELSE '' END || ' (line 1)' || CASE WHEN snip <> '' THEN chr(10) || '    Code: ' || snip ELSE '' END
+  || coalesce(chr(10) || '    Called or overridden by:' || a.x, '') || coalesce(chr(10) || '    Calls:' || e.x, '') AS t FROM shown LEFT JOIN callers a USING (node_id) LEFT JOIN callees e USING (node_id) WHERE type = 'def')
+SELECT file, 'FILE: ' || file || chr(10) || string_agg(t, chr(10) ORDER BY node_id) AS text FROM b GROUP BY file"""
+)
 def context_serialization(spark, sf_dir):
-    """The flagship neighbourhood's definitions as text, a row a file."""
+    """The flagship neighbourhood's definitions as text, a row a file; edges of one place are in order of their text."""
     from ..operators.report import context_by_file, context_lines
 
-    n, e, s = _ranking_graph(spark, sf_dir)
-    return context_by_file(context_lines(n, e, s))
+    n, e, s, _ = _ranking(spark, sf_dir)
+    return context_by_file(context_lines(n, e.withColumn("edge_seq", F.lit(0).cast("long")), s))
 
 
 @query(
@@ -725,13 +800,8 @@ SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY qu
 )
 def vector_topk(spark, sf_dir):
     """The five nearest by cosine of every fiftieth vector against all, in place of a simulated vector baseline."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("n", dot("e", "e"))
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("n").alias("qn"))
-    s = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("qe", "e") / F.sqrt(F.col("qn") * F.col("n")), 4).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return s.withColumn("r", F.row_number().over(best)).filter("r <= 5").drop("r")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return nearest_by_cosine(v, v.filter("id % 50 = 0"), 5)
 
 
 # ------------------------------------------------------------- names, files, parsing

@@ -61,26 +61,47 @@ SKIPPED_DIRS = ("__pycache__", "node_modules", "target", "vendor")
 
 #: Symbols that are never linked, by language (a symbol of any language is skipped in all).
 BUILTINS = {
-    "python": """print len range str int float bool list dict set tuple enumerate zip map filter min max sum abs
-        open isinstance issubclass getattr setattr hasattr delattr super type id hash repr iter next any all
-        if else elif for while return def class import from as try except finally raise with yield async await
-        os sys re math json time datetime logging""",
-    "javascript": """console log warn error info require import export default return if else for while const let var
-        function class async await new this super try catch finally throw document window Promise setTimeout
-        setInterval clearTimeout Array Object String Number Boolean JSON Math Date""",
-    "java": """System out println print main String Integer Double Boolean List Map Set ArrayList HashMap HashSet
-        Arrays Collections Math public private protected static final void class interface new return if else
-        for while try catch throw""",
-    "cpp": """printf scanf cout cin endl std string vector map set malloc free sizeof new delete nullptr NULL void int
-        char class struct template namespace using include return if else""",
-    "golang": """fmt Println Printf Print Sprintf make new len cap append copy panic recover close func type struct
-        interface package import return if else for range go select chan""",
-    "rust": """println print format vec panic Some None Ok Err String Vec Option Result fn struct enum impl trait pub
-        mut let use mod return match if else for while""",
-    "csharp": """Console WriteLine Write string int var public private protected static void class interface namespace
-        using return new if else""",
+    "python": {
+        "print", "len", "range", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "enumerate", "zip",
+        "map", "filter", "min", "max", "sum", "abs", "open", "isinstance", "issubclass", "getattr", "setattr",
+        "hasattr", "delattr", "super", "type", "id", "hash", "repr", "iter", "next", "any", "all", "if", "else",
+        "elif", "for", "while", "return", "def", "class", "import", "from", "as", "try", "except", "finally",
+        "raise", "with", "yield", "async", "await", "os", "sys", "re", "math", "json", "time", "datetime",
+        "logging",
+    },
+    "javascript": {
+        "console", "log", "warn", "error", "info", "require", "import", "export", "default", "return", "if", "else",
+        "for", "while", "const", "let", "var", "function", "class", "async", "await", "new", "this", "super", "try",
+        "catch", "finally", "throw", "document", "window", "Promise", "setTimeout", "setInterval", "clearTimeout",
+        "Array", "Object", "String", "Number", "Boolean", "JSON", "Math", "Date",
+    },
+    "java": {
+        "System", "out", "println", "print", "main", "String", "Integer", "Double", "Boolean", "List", "Map", "Set",
+        "ArrayList", "HashMap", "HashSet", "Arrays", "Collections", "Math", "public", "private", "protected",
+        "static", "final", "void", "class", "interface", "new", "return", "if", "else", "for", "while", "try",
+        "catch", "throw",
+    },
+    "cpp": {
+        "printf", "scanf", "cout", "cin", "endl", "std", "string", "vector", "map", "set", "malloc", "free",
+        "sizeof", "new", "delete", "nullptr", "NULL", "void", "int", "char", "class", "struct", "template",
+        "namespace", "using", "include", "return", "if", "else",
+    },
+    "golang": {
+        "fmt", "Println", "Printf", "Print", "Sprintf", "make", "new", "len", "cap", "append", "copy", "panic",
+        "recover", "close", "func", "type", "struct", "interface", "package", "import", "return", "if", "else",
+        "for", "range", "go", "select", "chan",
+    },
+    "rust": {
+        "println", "print", "format", "vec", "panic", "Some", "None", "Ok", "Err", "String", "Vec", "Option",
+        "Result", "fn", "struct", "enum", "impl", "trait", "pub", "mut", "let", "use", "mod", "return", "match",
+        "if", "else", "for", "while",
+    },
+    "csharp": {
+        "Console", "WriteLine", "Write", "string", "int", "var", "public", "private", "protected", "static", "void",
+        "class", "interface", "namespace", "using", "return", "new", "if", "else",
+    },
 }
-ALL_BUILTINS = frozenset(w for text in BUILTINS.values() for w in text.split())
+ALL_BUILTINS = frozenset().union(*BUILTINS.values())
 
 #: Fixed values of the commands.
 DEFAULT_K = 2

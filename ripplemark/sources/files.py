@@ -7,16 +7,16 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.traversal import ranked
 from ..schema import COMMITS, EXTENSIONS, FILES, SKIPPED_DIRS
 
-#: The diff that is analysed where none is given.
+#: Fixed value: the diff that is analysed where none is given.
 DEFAULT_DIFF = """--- a/auth/service.py
 +++ b/auth/service.py
-@@ -1,5 +1,6 @@
- from auth.token import decode_token
-
-+def validate_token(token: str, tenant_id: str):
-     payload = decode_token(token)
+@@ -3,2 +3,2 @@
+-def validate_token(token: str) -> bool:
++def validate_token(token: str, require_admin: bool = False, tenant_id: str = "default") -> bool:
+     claims = decode_token(token)
 """
 
 
@@ -25,8 +25,9 @@ def files_from_dict(spark: SparkSession, contents: dict[str, str]) -> DataFrame:
 
 
 def _decoded(content):
-    """Bytes as UTF-8 text, without what is no UTF-8."""
-    return F.udf(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else "", "string")(content)
+    """Bytes as UTF-8 text; where they are not valid, without what is not (nor any replacement character)."""
+    text = F.coalesce(content.cast("string"), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
 
 
 def files_from_dir(spark: SparkSession, root: str, extensions: list[str] | None = None, skipped: tuple[str, ...] = SKIPPED_DIRS) -> DataFrame:
@@ -43,7 +44,9 @@ def files_from_dir(spark: SparkSession, root: str, extensions: list[str] | None
     parts = F.split("full", "/")
     hidden = F.exists(parts, lambda p: (p.startswith(".") & ~p.isin(".", "..")) | p.isin(*skipped))
     rows = rows.filter(~hidden).select("path", _decoded(F.col("content")).alias("content"))
-    return rows.withColumn("seq", (F.row_number().over(Window.orderBy("path")) - 1).cast("int")).select("seq", "path", "content")
+    # paths alone are sorted and numbered; contents join their number
+    places = ranked(rows.select(F.col("path").alias("p"), F.lit(0).alias("same")), "same", "p")
+    return rows.join(places, F.col("path") == F.col("p")).select((F.col("rank") - 1).alias("seq"), "path", "content")
 
 
 def commits_from_list(spark: SparkSession, commits: list[tuple[str, list[str]]], exclude: set[str] = frozenset()) -> DataFrame:

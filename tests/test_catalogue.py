@@ -36,7 +36,7 @@ def rows(found, columns):
     return sorted((tuple(plain(r[i]) for i in at) for r in found[1]), key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in ("tia_structural", "hybrid_fusion_topk", "link_fixture")])
+@pytest.mark.parametrize("name", list(catalogue.QUERIES))
 def test_query(spark, sf_dir, duck, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
     got = (df.columns, [tuple(r) for r in df.collect()])
