@@ -309,7 +309,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     components = connected_components(links, "jaccard-components")
     # what the hubs left out: classes of one common shingle that are not yet in one component
     big = big.select("g", "c", "n", "pos").join(components, F.col("c") == F.col("node"), "left")
-    big = big.select("g", "c", "n", "pos", F.coalesce("component", "c").alias("comp"))
+    big = materialize(big.select("g", "c", "n", "pos", F.coalesce("component", "c").alias("comp")), "jaccard-placed")  # read twice
     apart = big.groupBy("g").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("g")
     big = materialize(big.join(materialize(apart, "jaccard-split"), "g"), "jaccard-apart")
     if not big.isEmpty():
