@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import unicodedata
 import zlib
@@ -140,3 +141,54 @@ def language(text, model, switch=12.0):
         held[k] += len(w)
     top = max(range(len(held)), key=lambda k: (held[k], -k))
     return model.languages[top], held[top] / sum(held)
+
+
+def kept_texts(rows, length):
+    """rows: (id, text); {id: the text without what repeats}; what a cut leaves of a character goes too."""
+    seen, out = set(), {}
+    for key, text in sorted(rows):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            w = raw[i : i + length]
+            if w in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(w)
+        out[key] = bytes(b for b, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore") if any(gone) else text
+    return out
+
+
+def toxic_score(text, model):
+    """The grammar's score hit by hit; weights of aimed hits are not negative, and no two threat verbs share a target."""
+    from ripplemark.llm import toxicity as T
+
+    w, total = model.weights, model.weights["0"]
+    for clause in re.split(r"[.!?;\n]", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        insult = [x not in T.THREATS and (x in model.words or any(x.startswith(s) for s in model.stems)) for x in words]
+        target = [x in T.TARGETS or x in T.OBJECTS for x in words]
+        for i, x in enumerate(words):
+            if not insult[i] and x not in T.THREATS:
+                continue
+            around = lambda n: range(max(0, i - n), i)  # noqa: B023,E731
+            value = w["N"] * any(words[j] in T.NEGATIONS and not insult[j] for j in around(T.DENIAL)) + w["Q"] * any(words[j] in T.REPORTS and not insult[j] for j in around(T.REPORT))
+            if insult[i]:
+                near = any(target[j] and not insult[j] for j in [*around(T.AIM), *range(i + 1, min(len(words), i + 1 + T.AIM))])
+                total += max(0.0, value + w["J" if i and insult[i - 1] else "I"] + w["A"] * near)
+            elif any(words[j] in T.OBJECTS and not insult[j] for j in around(T.GRIP)):
+                total += value + w["T"]
+            elif any(target[j] and not insult[j] for j in range(i + 1, min(len(words), i + 1 + T.GRIP))):
+                total += max(0.0, value + w["T"])
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+
+def quality_features(text):
+    text = text or ""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    again, repeated = repeated_lines_and_words(text)
+    n, chars = len(w), sum(map(len, w))
+    count = lambda chars_: sum(c in chars_ for c in text)
+    upper, lower, digits = (sum(a <= c <= b for c in text) for a, b in ("AZ", "az", "09"))
+    ratio = lambda a, b, e=0.01: math.log((a + e) / (b + 1))
+    worded = sum(bool(re.search("[a-zA-Z]|[^\0-\x7f]", x)) for x in w)
+    return [math.log1p(n), math.log((chars + 5) / (n + 1)), ratio(count("#*$%&|<>"), n), ratio(count("!?"), n), ratio(count(".,;:'\"()-"), n, 0.1), ratio(again, len(lines)), ratio(repeated, n), (len(set(w)) + 1) / (n + 1), (upper + 1) / (upper + lower + 2), ratio(digits, chars), (worded + 1) / (n + 1), math.log((len(lines) + 1) / (n + 1))]

@@ -416,6 +416,19 @@ def test_transducers_equal_brute_force():
     assert len({labels for c in ("ig", "nig", "rig", "vg", "ii", "w") for _, labels in [toxicity.grammar().best(c, dict(zip(toxicity.LABELS, toxicity.PRIOR, strict=True)))]}) == 6
 
 
+def test_toxicity_equals_plain_version(spark, sf_dir):
+    docs = common.read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, common.read_table(spark, sf_dir, "labels"), queries.remainder("doc_id", 5) == 0)
+    machine, rng = model.automaton, random.Random(19)
+    assert model.weights["A"] >= 0
+    texts = [r["text"] for r in docs.collect()]
+    pool = [*list(model.words)[:4], "you", "dich", "not", "said", "a", "b", "the", ".", "x1"]
+    texts += [" ".join(rng.choice(pool) for _ in range(rng.randrange(25))) for _ in range(400)]
+    texts += ["I will kill you", "kill the time", "dich nicht töten", "he said he would never hurt you. you"]
+    for t in texts:
+        assert toxicity.score_text(t, machine, model.weights) == pytest.approx(brute.toxic_score(t, model), abs=1e-9), t
+
+
 def test_weights_are_learned():
     rows = [((1, 0, 0, 0, 0, 0, 0), 0, 900), ((1, 1, 0, 0, 0, 0, 0), 0, 30), ((1, 2, 0, 0, 0, 0, 0), 1, 100), ((1, 1, 0, 0, 1, 0, 0), 1, 20), ((1, 2, 0, 0, 0, 2, 0), 0, 40)]
     w = toxicity.fit(rows)
@@ -474,6 +487,13 @@ def test_qda_density_equals_the_formula():
     assert quality_qda.fit(x, np.zeros(200)) is None
 
 
+def test_quality_features_equal_plain_version(odd):
+    texts = [r["text"] for r in odd.collect()] + ["THE End! a-b (c) 12 # $\n\nx x x x\nx x x x\n", "é 1 2 3"]
+    for _, _, data, offsets in common.byte_slices(pa.array(texts)):
+        got = quality_qda.features(data, offsets)
+        assert got == pytest.approx(np.array([brute.quality_features(t) for t in texts]), abs=1e-9)
+
+
 def test_quality_odd_rows(spark, odd, empty):
     none = quality_qda.classify(odd, None).collect()
     assert len(none) == odd.count() and {r["score"] for r in none} == {0.5}
@@ -772,8 +792,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
 
     docs = common.read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, common.read_table(spark, sf_dir, "labels"), queries.remainder("doc_id", 5) == 0)
-    machine = model.automaton
-    left = [r for r in docs.collect() if toxicity.score_text(r["text"], machine, model.weights) < 0.5]
+    left = [r for r in docs.collect() if brute.toxic_score(r["text"], model) < 0.5]
     kept = common.materialize(corpus_pipeline.drop_toxic(spark, docs, sf_dir), "t")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in left)
     groups = brute.components([(r["doc_id"], r["text"]) for r in left], 5, 80, 100)
@@ -781,10 +800,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     kept = common.materialize(corpus_pipeline.keep_one_of_each_group(spark, kept, sf_dir), "t")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in left)
     cut = common.materialize(corpus_pipeline.cut_repeats(spark, kept, sf_dir), "t")
-    want = brute.repeats([(r["doc_id"], r["text"]) for r in left], 100)
-    for r in cut.collect():
-        n, gone, _, _ = want[r["doc_id"]]
-        assert n - gone - 6 * want[r["doc_id"]][2] <= len(r["text"].encode()) <= n - gone
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == brute.kept_texts([(r["doc_id"], r["text"]) for r in left], 100)
     mixed = common.materialize(corpus_pipeline.mix_sources(spark, cut, sf_dir), "t")
     assert mixed.columns == docs.columns
     out = corpus_pipeline.encode(spark, mixed, sf_dir).collect()
