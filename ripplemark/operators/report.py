@@ -55,12 +55,16 @@ def serialize_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, diff
     if nodes.isEmpty():
         return "No nodes of the graph are affected."
     out = ["=== CONTEXT OF THE CHANGE ===", "", "--- DIFF ---", diff_text.strip() or "(none)", "", "--- CHANGED SYMBOLS ---"]
-    for s in nodes.join(seeds.select("node_id").distinct(), "node_id", "left_semi").orderBy("node_seq").limit(1000).collect():
+    size = sum(map(len, out))
+    for s in nodes.join(seeds.select("node_id").distinct(), "node_id", "left_semi").orderBy("node_seq").toLocalIterator():
+        if size > most_chars:  # what follows is cut off anyway
+            break
         span = f"L{s['line']}-L{s['end_line']}" if s["end_line"] and s["end_line"] != s["line"] else f"line {s['line']}"
         sig = f" `{s['signature']}`" if s["signature"] else ""
         out.append(f"- [{s['category'].upper()}] {s['name']}{sig} ({s['file']}, {span})")
         if s["snippet"]:
             out.append(f"  Code: `{s['snippet']}`")
+        size += len(out[-1])
     if tests:
         out += ["", "--- TESTS TO RUN ---"]
         for t in tests:

@@ -6,6 +6,7 @@ import subprocess
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..operators.traversal import ranked
 from ..schema import COMMITS, EXTENSIONS, FILES, SKIPPED_DIRS
@@ -94,6 +95,46 @@ def commits_from_log(spark: SparkSession, text: str, exclude: set[str] = frozens
     return rows.select("ord", "hash", F.regexp_replace("line", r"\\", "/").alias("file"))
 
 
+def log_rows(text: str):
+    """(ord, hash, file) of a log's text, line by line."""
+    at, name = -1, None
+    for line in text.splitlines():
+        line = line.strip()
+        if line.startswith("COMMIT_HASH:"):
+            at, name = at + 1, line[12:].strip()
+        elif line and name is not None:
+            yield at, name, line.replace("\\", "/")
+
+
+class GitLogReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.options = options
+
+    def read(self, partition):
+        ask = self.options.get
+        text, more = git_log(ask("path"), int(ask("most", "500")), ask("beforedate") or None, ask("beforecommit") or None)
+        return ((at, name, file) for at, name, file in log_rows(text) if name not in more)
+
+
+class GitLogSource(DataSource):
+    """spark.read.format("ripplemark_git"): the history of the folder ``path``, which the reading task must see.
+
+    Options: most (commits), beforeDate, beforeCommit.
+    """
+
+    @classmethod
+    def name(cls):
+        return "ripplemark_git"
+
+    def schema(self):
+        return COMMITS
+
+    def reader(self, schema):
+        return GitLogReader({k.lower(): v for k, v in self.options.items()})
+
+
 def commits_from_git(spark: SparkSession, root: str, most: int = 500, before_date: str | None = None, before_commit: str | None = None, exclude: set[str] = frozenset()) -> DataFrame:
-    text, more = git_log(root, most, before_date, before_commit)
-    return commits_from_log(spark, text, set(exclude) | more)
+    """(ord, hash, file) of a folder's history."""
+    spark.dataSource.register(GitLogSource)
+    rows = spark.read.format("ripplemark_git").options(path=root, most=str(most), beforeDate=before_date or "", beforeCommit=before_commit or "").load()
+    return rows.filter(~F.col("hash").isin(*exclude)) if exclude else rows

@@ -14,7 +14,7 @@ import urllib.request
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import EXTENSIONS, FILES
 
@@ -67,9 +67,10 @@ class HostedRepository:
         listed = self.paths(branch, most)
         if not listed:
             return spark.createDataFrame([], FILES)
-        rows = spark.createDataFrame(list(enumerate(listed)), "seq int, path string").repartition(min(slices, len(listed)))
-        fetch = F.udf(lambda p, own=self, b=branch: own.content(p, b), "string")
-        return rows.withColumn("content", fetch("path")).filter("content is not null")
+        numbered = list(enumerate(listed))
+        n = min(slices, len(numbered))
+        spark.dataSource.register(tree_source(self, branch, [numbered[k::n] for k in range(n)]))
+        return spark.read.format(TREE_SOURCE).load()
 
     def diff(self, pull: int | None = None, commit: str | None = None) -> str:
         """The diff of a pull request, else of a commit, else of the latest commit; empty if none can be had."""
@@ -82,3 +83,33 @@ class HostedRepository:
             return str(self.get(f"/commits/{commit}", accept))
         except Exception:
             return ""
+
+
+TREE_SOURCE = "ripplemark_tree"
+
+
+def tree_source(repository: HostedRepository, branch: str | None, slices: list[list[tuple[int, str]]]) -> type[DataSource]:
+    """A data source of the files of some paths of a repository, with a partition a slice; those that can't be had are left out."""
+
+    class TreeReader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(part) for part in slices]
+
+        def read(self, partition):
+            for seq, path in partition.value:
+                content = repository.content(path, branch)
+                if content is not None:
+                    yield seq, path, content
+
+    class TreeSource(DataSource):
+        @classmethod
+        def name(cls):
+            return TREE_SOURCE
+
+        def schema(self):
+            return FILES
+
+        def reader(self, schema):
+            return TreeReader()
+
+    return TreeSource

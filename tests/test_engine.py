@@ -100,6 +100,7 @@ def test_hosted_source(spark):
     repo = HostedRepository("o/r", transport=transport)
     assert repo.default_branch() == "trunk" and repo.paths() == ["a.py", "d/c.go"] and repo.paths(most=1) == ["a.py"]
     assert repo.diff() == "diff!" and repo.diff(pull=7) == "" and repo.content("x") == "/contents/x"
+    assert sorted(map(tuple, repo.load_files(spark, slices=2).collect())) == [(0, "a.py", "/contents/a.py"), (1, "d/c.go", "/contents/d/c.go")]
     with pytest.raises(ValueError):
         HostedRepository("not a slug")
 
