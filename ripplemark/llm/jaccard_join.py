@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACES, byte_slices, connected_components, hash_ranges, materialize, mix64, shingles, word_bounds
+from .common import _SPACES, byte_slices, connected_components, hash_ranges, materialize, shingles, word_bounds
 
 LOT = 24
 FREQUENT = 1 << 18
