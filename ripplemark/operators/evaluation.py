@@ -55,10 +55,15 @@ def _callers(graph: Graph, seeds: DataFrame, k: int, flags: tuple[str, ...]) ->
     return _in_order(roles.withColumn("kind", kind).filter("kind is not null"), "kind", "node_seq")
 
 
-def ablation(files: DataFrame, symbol: str, diff_text: str, commits: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """(setup, tp, fp, fn, precision, recall, f1, mrr, ndcg) of finding the call sites of symbol."""
+def _built(files: DataFrame, multigraph: bool = True) -> Graph:
+    made = build_graph(files, multigraph)
+    return Graph(written(made.nodes, "nodes"), written(made.edges, "edges"))
+
+
+def ablation(files: DataFrame, symbol: str, diff_text: str, commits: DataFrame | None = None, k: int = 10, full: Graph | None = None) -> DataFrame:
+    """(setup, tp, fp, fn, precision, recall, f1, mrr, ndcg) of finding the call sites of symbol. full: the graph, if it is there."""
     spark = files.sparkSession
-    full, flat = (Graph(written(g.nodes, "nodes"), written(g.edges, "edges")) for g in (build_graph(files), build_graph(files, multigraph=False)))
+    full, flat = full or _built(files), _built(files, multigraph=False)
     seeds = written(seed_by_symbol(full.nodes, full.edges, symbol), "seeds")
     truth = written(call_sites_of(full.edges, seeds), "truth")
     near, wide = (written(rank_impact(full.nodes, full.edges, seeds, hops), "ranking") for hops in (2, 3))
@@ -104,9 +109,8 @@ def test_benchmark(graph: Graph, symbol: str, file_part: str, name_part: str, co
 
 def evaluation(files: DataFrame, symbol: str, diff_text: str, commits: DataFrame | None = None, file_part: str = "test", name_part: str | None = None) -> dict:
     """Both tables as plain values."""
-    built = build_graph(files)
-    graph = Graph(written(built.nodes, "nodes"), written(built.edges, "edges"))
-    rows = {r["setup"]: r.asDict() for r in ablation(files, symbol, diff_text, commits).collect()}  # five rows
+    graph = _built(files)
+    rows = {r["setup"]: r.asDict() for r in ablation(files, symbol, diff_text, commits, full=graph).collect()}  # five rows
     tests = test_benchmark(graph, symbol, file_part, name_part or symbol.split("_")[0], commits).first()
     return {
         "evaluation_symbol": symbol,

@@ -9,11 +9,12 @@ changed files are their parts.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import written
-from ..operators.linking import Graph
 from ..schema import CANDIDATE, CONTAIN, IMPLEMENT, IMPORT, INHERIT, INVOKE, OVERRIDE
 
 
@@ -85,15 +86,27 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.xxhash64("node_id").alias("node_seq"), "*", F.lit(1).alias("line"), F.lit(1).alias("end_line"), F.lit("").alias("docstring"), F.lit("").alias("signature"))
 
 
-_GRAPHS: dict[tuple[str, str], Graph] = {}
+class TableGraph:
+    """The graph as written tables, each made when first asked for: loops read them many times."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return written(nodes(self.spark, self.sf_dir), "bridge-nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return written(edges(self.spark, self.sf_dir), "bridge-edges")
+
+
+_GRAPHS: dict[tuple[str, str], TableGraph] = {}
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph as written tables, made once a session and folder: loops read it many times."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _GRAPHS:
-        _GRAPHS[key] = Graph(written(nodes(spark, sf_dir), "bridge-nodes"), written(edges(spark, sf_dir), "bridge-edges"))
-    return _GRAPHS[key]
+def graph(spark: SparkSession, sf_dir: str) -> TableGraph:
+    """One graph a session and folder."""
+    return _GRAPHS.setdefault((spark.sparkContext.applicationId, sf_dir), TableGraph(spark, sf_dir))
 
 
 def part_seeds(spark: SparkSession, sf_dir: str, upto: int = 3) -> DataFrame:

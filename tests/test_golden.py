@@ -2,7 +2,7 @@
 
 import pytest
 
-from ripplemark.operators.evaluation import ablation, lexical_candidates, call_sites_of, evaluation, seed_by_symbol, test_benchmark
+from ripplemark.operators.evaluation import call_sites_of, evaluation, lexical_candidates, seed_by_symbol
 from ripplemark.operators.linking import Graph, build_graph, graph_counts, relative_targets, resolve_imports
 from ripplemark.operators.metrics import retrieval_metrics
 from ripplemark.operators.seeds import changed_lines, diff_table, numbered_lines, seed_nodes
@@ -10,8 +10,6 @@ from ripplemark.operators.test_selection import relevant_tests
 from ripplemark.operators.traversal import ego_nodes, impact_roles, induced_edges, rank_impact
 from ripplemark.sources.files import DEFAULT_DIFF, files_from_dict
 
-test_benchmark.__test__ = False
-
 TREE = {
     "auth/service.py": """from auth.token import decode_token
 
@@ -171,14 +169,14 @@ def test_tests_to_run(spark, graph):
 
 def test_evaluation(spark, graph):
     files = files_from_dict(spark, TREE)
-    got = {r["setup"]: tuple(r)[1:] for r in ablation(files, "validate_token", DEFAULT_DIFF).collect()}
+    tables = evaluation(files, "validate_token", DEFAULT_DIFF, file_part="test_auth", name_part="validate")
+    got = {name: tuple(row.values()) for name, row in tables["table_3_ablation"].items()}
     ranked = (3, 7, 0, 30.0, 100.0, 46.15, 0.5, 73.28)
     assert got == {"m_base": (3, 0, 0, 100.0, 100.0, 100.0, 1.0, 100.0), "m_no_weight": (3, 7, 0, 30.0, 100.0, 46.15, 1.0, 100.0), "m_weight": ranked, "m_hybrid": ranked, "m_complete": ranked}
-    assert tuple(test_benchmark(graph, "validate_token", "test_auth", "validate").first()) == (1, 3, 1, 25.0, 50.0, 33.33, 1.0, 61.31)
+    assert tuple(tables["table_4_test_impact"].values()) == (1, 3, 1, 25.0, 50.0, 33.33, 1.0, 61.31) and tables["evaluation_symbol"] == "validate_token"
     seeds = seed(spark, graph, False)
     assert tuple(retrieval_metrics(lexical_candidates(files, graph.nodes, "validate_token"), call_sites_of(graph.edges, seeds)).first())[:6] == (3, 3, 0, 50.0, 100.0, 66.67)
     assert [r["node_id"].split(":")[-1] for r in seed_by_symbol(graph.nodes, graph.edges, "nowhere").collect()] == ["validate_token"]
-    assert set(evaluation(files, "validate_token", DEFAULT_DIFF)) == {"evaluation_symbol", "table_3_ablation", "table_4_test_impact"}
 
 
 def test_relative_imports(spark):
