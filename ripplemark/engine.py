@@ -13,7 +13,7 @@ from .operators import fusion, history, report
 from .operators.linking import Graph, build_graph, graph_counts
 from .operators.seeds import changed_lines, diff_table, numbered_lines, seed_nodes, seeds_or_first
 from .operators.test_selection import relevant_tests
-from .operators.traversal import ego_nodes, evidence_paths, impact_roles, induced_edges, node_status, predicted_errors, rank_impact
+from .operators.traversal import ego_nodes, evidence_paths, impact_roles, induced_edges, node_status, predicted_errors, rank_impact, seed_pagerank
 from .schema import DEFAULT_K
 from .sources.files import DEFAULT_DIFF, commits_from_git, files_from_dict, files_from_dir, working_diff
 from .sources.sinks import rows_of
@@ -49,8 +49,9 @@ class ImpactEngine:
         ego_edges = written(induced_edges(edges, ego), "ego-edges")
         roles = written(impact_roles(ego, ego_edges, seeds), "roles")
         lines = numbered_lines(diff_table(self.spark, diff_text))
-        ranking = written(rank_impact(nodes, edges, seeds, k), "ranking")
-        wide = ranking if k == 3 else written(rank_impact(nodes, edges, seeds, 3), "ranking-wide")
+        ppr = seed_pagerank(nodes, edges, seeds)
+        ranking = written(rank_impact(nodes, edges, seeds, k, ppr=ppr), "ranking")
+        wide = ranking if k == 3 else written(rank_impact(nodes, edges, seeds, 3, ppr=ppr), "ranking-wide")
         seed_files = nodes.join(seeds, "node_id", "left_semi").select("file").distinct()
         co = history.co_changed_files(history.usable_commits(commits), seed_files) if commits is not None else None
         evolution = history.evolution_scores(history.usable_commits(commits), seed_files) if commits is not None else self.spark.createDataFrame([], "file string, evolution double")

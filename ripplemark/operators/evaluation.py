@@ -13,7 +13,7 @@ from . import fusion, history
 from .linking import Graph, build_graph
 from .metrics import most_called, retrieval_metrics
 from .test_selection import relevant_tests
-from .traversal import ego_nodes, impact_roles, induced_edges, rank_impact, ranked
+from .traversal import ego_nodes, impact_roles, induced_edges, rank_impact, ranked, seed_pagerank
 
 #: The set-ups, in order: one edge a pair and one step; all edges and two steps; ranked; fused; fused with tests.
 SETUPS = ("m_base", "m_no_weight", "m_weight", "m_hybrid", "m_complete")
@@ -66,7 +66,8 @@ def ablation(files: DataFrame, symbol: str, diff_text: str, commits: DataFrame |
     full, flat = full or _built(files), _built(files, multigraph=False)
     seeds = written(seed_by_symbol(full.nodes, full.edges, symbol), "seeds")
     truth = written(call_sites_of(full.edges, seeds), "truth")
-    near, wide = (written(rank_impact(full.nodes, full.edges, seeds, hops), "ranking") for hops in (2, 3))
+    ppr = seed_pagerank(full.nodes, full.edges, seeds)
+    near, wide = (written(rank_impact(full.nodes, full.edges, seeds, hops, ppr=ppr), "ranking") for hops in (2, 3))
     seed_files = full.nodes.join(seeds, "node_id", "left_semi").select("file").distinct()
     evolution = history.evolution_scores(history.usable_commits(commits), seed_files) if commits is not None else spark.createDataFrame([], "file string, evolution double")
     fused = written(fusion.fuse(full.nodes, seeds, wide, evolution, fusion.lexical_scores(full.nodes, diff_text)).select(F.col("node_id").alias("item"), "rank"), "fused")

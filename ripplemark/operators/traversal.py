@@ -218,11 +218,21 @@ def best_energies(paths: DataFrame, k_hops: int, decay: float = DECAY) -> DataFr
 # ------------------------------------------------------------------------- ranking
 
 
-def rank_impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k_hops: int = 3, decay: float = DECAY, restart: float = 0.15, iterations: int = 50, tolerance: float | None = 1e-5) -> DataFrame:
-    """Every node that a change of seeds reaches, by how much; ties by the nodes' order."""
+def seed_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node_id, ppr) as rank_impact takes it by default, for several rankings of the same seeds."""
+    arrows = written(impact_projection(edges, nodes.select("node_id", "node_seq")), "impact")
+    return written(personalized_pagerank(nodes.select("node_id"), arrows, seeds), "ppr-of-seeds")
+
+
+def rank_impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k_hops: int = 3, decay: float = DECAY, restart: float = 0.15, iterations: int = 50, tolerance: float | None = 1e-5, ppr: DataFrame | None = None) -> DataFrame:
+    """Every node that a change of seeds reaches, by how much; ties by the nodes' order.
+
+    ppr: what seed_pagerank gave for the same seeds, where it is there already; it does not depend on hops.
+    """
     seeds = seeds.select("node_id").distinct().join(nodes.select("node_id"), "node_id", "left_semi")
     arrows = written(impact_projection(edges, nodes.select("node_id", "node_seq")), "impact")
-    ppr = personalized_pagerank(nodes.select("node_id"), arrows, seeds, 1 - restart, iterations, tolerance)
+    if ppr is None:
+        ppr = personalized_pagerank(nodes.select("node_id"), arrows, seeds, 1 - restart, iterations, tolerance)
     others = ppr.join(seeds, "node_id", "left_anti")
     top = others.agg(F.max("ppr").alias("top")).select(F.when(F.col("top") > 0, F.col("top")).otherwise(1.0).alias("top"))
     energies = best_energies(path_edges(cheapest_paths(arrows, seeds), arrows), k_hops, decay)

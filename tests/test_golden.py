@@ -102,6 +102,13 @@ def seed(spark, graph, whole_diff):
     return seed_by_symbol(graph.nodes, graph.edges, "validate_token")
 
 
+@pytest.fixture(scope="module")
+def rankings(spark, graph):
+    from ripplemark.durable import written
+
+    return {whole: written(rank_impact(graph.nodes, graph.edges, seed(spark, graph, whole), 2), "ranking") for whole in (False, True)}
+
+
 def test_nodes_and_edges(graph):
     assert graph_counts(graph) == {"nodes": 32, "edges": 44, "E_contain": 27, "E_import": 9, "E_invoke": 8}
     kinds = {r["category"]: r["count"] for r in graph.nodes.groupBy("category").count().collect()}
@@ -127,8 +134,8 @@ def test_neighbourhoods(spark, graph):
 
 
 @pytest.mark.parametrize("whole", [False, True])
-def test_ranking(spark, graph, whole):
-    got = rank_impact(graph.nodes, graph.edges, seed(spark, graph, whole), 2).orderBy("rank").collect()
+def test_ranking(rankings, whole):
+    got = rankings[whole].orderBy("rank").collect()
     assert len(got) == 21
     shown = [(r["name"].split(".")[-1], r["line"], round(r["impact_score"], 4), r["hop_distance"], r["primary_relationship"], r["severity"]) for r in got]
     one = [
@@ -161,9 +168,8 @@ def test_ranking(spark, graph, whole):
         assert [r[2] for r in shown[14:20]] == pytest.approx([0.0989] * 6, abs=1.01e-4) and {r[5] for r in shown[14:20]} == {"LOW"}
 
 
-def test_tests_to_run(spark, graph):
-    seeds = seed(spark, graph, False)
-    got = relevant_tests(graph.nodes, graph.edges, seeds, rank_impact(graph.nodes, graph.edges, seeds, 2)).collect()
+def test_tests_to_run(spark, graph, rankings):
+    got = relevant_tests(graph.nodes, graph.edges, seed(spark, graph, False), rankings[False]).collect()
     assert [(r["test_name"], r["classification"], round(r["impact_score"], 2)) for r in got] == [("test_validate_token_success", "directly_related", 0.85), ("test_auth.py", "candidate_review", 0.45), ("test_login_user", "candidate_review", 0.45), ("test_core_processor", "candidate_review", 0.45)]
 
 
