@@ -17,6 +17,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 22
 _FOLDERS: dict[int, str] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +61,25 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(_delete, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written inside go when it ends, but for those written with keep."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ripplemark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     delete_at_exit(spark, path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

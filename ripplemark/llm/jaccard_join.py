@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACES, byte_slices, connected_components, hash_ranges, materialize, shingles, word_bounds
+from .common import _SPACES, byte_slices, connected_components, hash_ranges, materialize, scratch, shingles, word_bounds
 
 LOT = 24
 FREQUENT = 1 << 18
@@ -286,9 +286,14 @@ def _across(big: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(id, h, digest, n of all rows; (digest, name) of all classes with their component's least member)."""
+    with scratch(docs.sparkSession):
+        return _links(docs, id_col, text_col, k, num, den)
+
+
+def _links(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     texts = members_of(docs, id_col, text_col)
     common = frequent_shingles(texts, k)
-    sigs = materialize(signatures(texts, common, k, num, den), "jaccard-signatures")
+    sigs = materialize(signatures(texts, common, k, num, den), "jaccard-signatures", keep=True)
     sets = sigs.filter("n > 0 and id is not null")
     classes = materialize(sets.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("m")).select("digest", name_of(F.col("m.id"), F.col("digest")).alias("c"), F.col("m.id").alias("i"), F.col("m.h").alias("j")), "jaccard-classes")
     reps = sets.join(classes, "digest").filter((F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).dropDuplicates(["digest"])
@@ -319,7 +324,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if not more.isEmpty():
                 components = connected_components(links.union(more), "jaccard-components")
     named = classes.select("digest", "c").join(components, F.col("c") == F.col("node"), "left").select("digest", F.coalesce("component", "c").alias("name"))
-    return sigs.select("id", "h", "digest", "n"), materialize(named, "jaccard-named")
+    return sigs.select("id", "h", "digest", "n"), materialize(named, "jaccard-named", keep=True)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
