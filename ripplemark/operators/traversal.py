@@ -111,12 +111,14 @@ def _arrow(a: str, b: str, factor: float, kind: Column, confidence: Column) -> C
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b"), weight.alias("w"), kind.alias("edge_type"), confidence.alias("confidence"))
 
 
-def impact_projection(edges: DataFrame, node_order: DataFrame | None = None) -> DataFrame:
+def impact_projection(edges: DataFrame, node_order: DataFrame | None = None, simple: bool = False) -> DataFrame:
     """(src, dst, weight, cost, edge_type, confidence): how a change spreads.
 
     Callers are reached from callees and so on; of several arrows on a pair the
     last one stands, in the order of the source's place, the pair's first edge
     and the edge.  node_order: (node_id, node_seq); edges' own order without it.
+    simple: that no two edges join the same two nodes, whichever way, is known,
+    so every arrow stands and none are brought together.
     """
     kind = F.col("edge_type")
     sure = F.coalesce("confidence", F.lit(1.0))
@@ -129,6 +131,8 @@ def impact_projection(edges: DataFrame, node_order: DataFrame | None = None) ->
         .otherwise(F.array(_arrow("src", "dst", 0.50, kind, one)))
     )
     rows = edges.select("edge_seq", "src", "dst", "edge_type", "confidence").withColumn("weight", edge_weight(kind, F.col("confidence")))
+    if simple:  # an edge from a node to itself has arrows of one pair, of which the last stands
+        return _as_arrows(rows.select(F.explode(F.when(F.col("src") == F.col("dst"), F.slice(arrows, -1, 1)).otherwise(arrows)).alias("x")))
     rows = rows.withColumn("pair_seq", F.min("edge_seq").over(Window.partitionBy("src", "dst")))
     if node_order is not None:
         rows = rows.join(node_order.select(F.col("node_id").alias("src"), "node_seq"), "src")
@@ -136,7 +140,11 @@ def impact_projection(edges: DataFrame, node_order: DataFrame | None = None) ->
         rows = rows.withColumn("node_seq", F.lit(0).cast("long"))
     rows = rows.select("node_seq", "pair_seq", "edge_seq", F.posexplode(arrows).alias("k", "x"))
     last = rows.groupBy(F.col("x.a").alias("src"), F.col("x.b").alias("dst")).agg(F.max_by("x", F.struct("node_seq", "pair_seq", "edge_seq", "k")).alias("x"))
-    return last.select("src", "dst", F.col("x.w").alias("weight"), safe_cost(F.col("x.w")).alias("cost"), F.col("x.edge_type").alias("edge_type"), F.col("x.confidence").alias("confidence"))
+    return _as_arrows(last)
+
+
+def _as_arrows(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("x.a").alias("src"), F.col("x.b").alias("dst"), F.col("x.w").alias("weight"), safe_cost(F.col("x.w")).alias("cost"), F.col("x.edge_type").alias("edge_type"), F.col("x.confidence").alias("confidence"))
 
 
 # ----------------------------------------------------------------------- PageRank

@@ -9,7 +9,7 @@ changed files are their parts.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,24 +28,33 @@ def tag(kind: str, *columns: str):
 
 
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(l_orderkey, l_partkey, confidence): an order's distinct parts, surer the smaller the greatest discount."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg((1 - F.max("l_discount")).alias("confidence"))
+    """(l_orderkey, l_partkey, confidence): an order's distinct parts, surer the smaller the greatest discount.
 
+    Dealt by order, so that joins with orders need no second shuffle.
+    """
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount").repartition("l_orderkey").groupBy("l_orderkey", "l_partkey").agg((1 - F.max("l_discount")).alias("confidence"))
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(edge_seq, src, dst, key, edge_type, confidence); the sequence is a hash of the ends."""
+
+def edge_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The edges in two: those of sold parts, of which grouping leaves one for any two nodes, and those of the tables' own rows."""
     t = lambda name: table(spark, sf_dir, name)
     line = tag("line", "l_orderkey", "l_partkey")
     one = F.lit(1.0)
 
+    def edge(src, dst, kind: str, confidence):
+        return F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"), confidence.alias("confidence"))
+
     def made(df: DataFrame, src, dst, kind: str, confidence) -> DataFrame:
-        return df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("edge_type"), confidence.alias("confidence"))
+        return df.select(edge(src, dst, kind, confidence).alias("e")).select("e.*")
 
     sites = call_sites(spark, sf_dir)
-    parts = [
-        made(sites, line, tag("part", "l_partkey"), INVOKE, F.col("confidence")),
+    both = F.array(edge(line, tag("part", "l_partkey"), INVOKE, F.col("confidence")), edge(tag("order", "l_orderkey"), line, CONTAIN, one))
+    sold = [
+        sites.select(F.explode(both).alias("e")).select("e.*"),
         made(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct(), line, tag("supp", "l_suppkey"), CANDIDATE, F.lit(0.35)),
-        made(sites, tag("order", "l_orderkey"), line, CONTAIN, one),
+        made(sites.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct(), tag("cust", "o_custkey"), tag("part", "l_partkey"), IMPORT, one),
+    ]
+    own = [
         made(t("orders"), tag("cust", "o_custkey"), tag("order", "o_orderkey"), CONTAIN, one),
         made(t("customer"), tag("nation", "c_nationkey"), tag("cust", "c_custkey"), CONTAIN, one),
         made(t("supplier"), tag("nation", "s_nationkey"), tag("supp", "s_suppkey"), CONTAIN, one),
@@ -53,12 +62,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         made(t("part"), tag("part", "p_partkey"), tag("type", "p_type"), INHERIT, one),
         made(t("part"), tag("part", "p_partkey"), tag("brand", "p_brand"), IMPLEMENT, one),
         made(t("part").filter("p_partkey > 100 and p_partkey % 100 = 3").withColumn("base", F.col("p_partkey") - 100), tag("part", "p_partkey"), tag("part", "base"), OVERRIDE, one),
-        made(sites.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct(), tag("cust", "o_custkey"), tag("part", "l_partkey"), IMPORT, one),
     ]
-    rows = parts[0]
-    for other in parts[1:]:
-        rows = rows.unionByName(other)
-    return rows.select(F.xxhash64("src", "dst", "edge_type").alias("edge_seq"), "src", "dst", F.concat_ws(":", "edge_type", "dst").alias("key"), "edge_type", "confidence")
+    named = lambda rows: rows.select(F.xxhash64("src", "dst", "edge_type").alias("edge_seq"), "src", "dst", F.concat_ws(":", "edge_type", "dst").alias("key"), "edge_type", "confidence")
+    return named(reduce(DataFrame.unionByName, sold)), named(reduce(DataFrame.unionByName, own))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(edge_seq, src, dst, key, edge_type, confidence); the sequence is a hash of the ends."""
+    sold, own = edge_parts(spark, sf_dir)
+    return sold.unionByName(own)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

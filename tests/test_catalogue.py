@@ -75,6 +75,18 @@ def test_whole_ranking_takes_all_edges_and_settles(spark, sf_dir):
     assert {"E_invoke", "E_contain", "E_import", "E_invoke_candidate"} <= kinds
 
 
+def test_projection_of_sold_parts_needs_no_graph_on_disk(spark, sf_dir, monkeypatch):
+    sold, own = bridge.edge_parts(spark, sf_dir)
+    loop = spark.createDataFrame([(1, "a", "a", "k", "E_contain", 1.0), (2, "b", "b", "k", "E_invoke", 0.5)], sold.schema)
+    for rows in (sold, loop):
+        plain_, simple = traversal.impact_projection(rows), traversal.impact_projection(rows, simple=True)
+        assert plain_.columns == simple.columns and sorted(map(tuple, plain_.collect())) == sorted(map(tuple, simple.collect()))
+    both, whole = traversal.impact_projection(sold).unionByName(traversal.impact_projection(own)), traversal.impact_projection(sold.unionByName(own))
+    assert both.exceptAll(whole).isEmpty() and whole.exceptAll(both).isEmpty()
+    monkeypatch.setattr(bridge, "graph", lambda *a: pytest.fail("the graph was written"))
+    assert catalogue.QUERIES["impact_projection"](spark, sf_dir).count() == 7
+
+
 def test_library_stands_without_the_training_data_folders():
     for path in (ROOT / "ripplemark").rglob("*.py"):
         if "llm" in path.relative_to(ROOT).parts:
