@@ -117,3 +117,28 @@ def test_seeds(spark, graph):
     assert of("nowhere.py", 1) == []
     none = graph.nodes.limit(0).select("node_id")
     assert seeds_or_first(graph.nodes, none).first()["node_id"] == "auth/service.py:L3:def:check"
+
+
+def test_calls_are_resolved_before_definitions_are_joined(spark, monkeypatch):
+    """40 calls of each kind and 60 definitions of one name: no written table has a row for each call and definition."""
+    defs = spark.createDataFrame([(f"d{i}", "go", f"pkg{i % 3}/m{i}.py") for i in range(60)], "node_id string, name string, file string")
+    made = [(f"far{i}", "go", f"else/{i}.py") for i in range(40)] + [(f"near{i}", "go", f"pkg0/other{i}.py") for i in range(40)] + [(f"use{i}", "go", f"use/{i}.py") for i in range(40)] + [("two", "go", "use/0.py"), ("two", "go", "use/41.py")]
+    refs = spark.createDataFrame([(*r, "", "") for r in made], "ref_id string, name string, file string, scope string, receiver string")
+    imports = [(f"use/{i}.py", "go", "pkg1.m1" if i % 2 else "no.such", "", 0) for i in range(42)]
+    imports += [("else/0.py", "go", "1", "", 0), ("else/1.py", "go", "long.way.pkg2.m2", "", 0)]  # one name ends with the other, not at a dot
+    imports = spark.createDataFrame(imports, "file string, alias string, module string, symbol string, item int")
+    sizes = []
+    keep = linking.written
+    monkeypatch.setattr(linking, "written", lambda df, name: sizes.append((name, (out := keep(df, name)).count())) or out)
+    got = linking.resolve_calls(refs, defs, imports, spark.createDataFrame([], "module string, target string")).collect()
+    assert sizes and max(n for _, n in sizes) <= 2 * len(made), sizes
+    by = {}
+    for r in got:
+        by.setdefault(r["ref_id"], []).append((r["target"], r["method"]))
+    every = {f"d{i}" for i in range(60)}
+    assert all(len(x) == len(set(x)) for x in by.values())
+    assert {t for t, _ in by["far7"]} == every and {m for _, m in by["far7"]} == {"repo_ambiguous"}
+    assert sorted(by["near3"]) == sorted((f"d{i}", "sibling_module") for i in range(0, 60, 3))
+    assert by["use1"] == [("d1", "import_exact")] and by["two"] == [("d1", "import_exact")] and by["far1"] == [("d2", "import_exact")]
+    assert {t for t, _ in by["use2"]} == every and {m for _, m in by["use2"]} == {"import_fallback"}
+    assert {t for t, m in by["far0"]} == {f"d{i}" for i in range(60) if i % 10 == 1} and {m for _, m in by["far0"]} == {"import_exact"}
