@@ -224,3 +224,19 @@ def test_metrics(spark):
     ideal = 1 + 1 / math.log2(3) + 0.5
     assert (r["tp"], r["fp"], r["fn"], r["precision"], r["recall"], r["mrr"]) == (2, 1, 1, 66.67, 66.67, 0.5)
     assert r["ndcg"] == pytest.approx(100 * (1 / math.log2(3) + 0.5) / ideal, abs=0.01)
+
+
+def test_paths_of_few_hops_are_the_cheapest_of_all(spark, monkeypatch):
+    """Costs settle over any number of hops, in tables without paths; ties go to the smaller path."""
+    rows = [(f"n{i}", f"n{(i * k + k) % 37}", ((i * 7 + k * 3) % 5) / 4) for i in range(37) for k in (1, 2, 5, 11)]
+    rows = [r for r in rows if r[0] != r[1]] + [("n1", "n1", 0.0)]
+    arrows = spark.createDataFrame(sorted({(a, b): c for a, b, c in rows}.items()), "p struct<src string, dst string>, cost double").select("p.*", "cost")
+    seeds = spark.createDataFrame([("n0",), ("n3",)], "node_id string")
+    every = sorted(tuple(r) for r in traversal.cheapest_paths(arrows, seeds).collect())
+    wide = []
+    keep = traversal.written
+    monkeypatch.setattr(traversal, "written", lambda df, name: wide.append((name, str(df.schema))) or keep(df, name))
+    for most in (0, 2, 3):
+        got = sorted(tuple(r) for r in traversal.cheapest_paths(arrows, seeds, most).collect())
+        assert got == [r for r in every if r[3] <= most]
+    assert any(r[3] > 3 for r in every) and not any("path'" in s for name, s in wide if name == "paths")
