@@ -13,6 +13,7 @@ digest stands for them.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -72,6 +73,27 @@ def scratch(spark: SparkSession):
             _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
 
 
+def give_back() -> None:
+    """Freed memory of this process back to the system: a worker that waits for its next task else holds the most that it ever used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """What runs inside sends Python at most so many rows at once: a batch of whole texts is held several times, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, outlives executors."""
     spark = df.sparkSession

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACES, byte_slices, connected_components, hash_ranges, materialize, scratch, shingles, word_bounds
+from .common import _SPACES, batches_of, byte_slices, connected_components, give_back, hash_ranges, materialize, scratch, shingles, word_bounds
 
 LOT = 24
 FREQUENT = 1 << 18
@@ -49,6 +49,9 @@ LEAST_LOCAL = 6
 COMMON = 4 * LOT
 ROUNDS = 3
 SKETCH = 128
+#: Rows that go to Python at once, and bytes of text that are cut into shingles at once: both bound what a task holds.
+BATCH = 500
+SLICE = 1 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 Counts = tuple[np.ndarray, np.ndarray]
@@ -123,7 +126,7 @@ def frequent_shingles(rows: DataFrame, k: int, most: int = FREQUENT) -> Counts:
 
         size = 0
         for batch in batches:
-            for _, _, data, offsets in byte_slices(batch.column(0), 1 << 21):
+            for _, _, data, offsets in byte_slices(batch.column(0), SLICE):
                 pending.append(_sets(data, k, word_bounds(data, offsets))[1])
                 size += pending[-1].size
                 if size > 1_000_000:
@@ -132,6 +135,7 @@ def frequent_shingles(rows: DataFrame, k: int, most: int = FREQUENT) -> Counts:
         merge()
         keep = counts >= LEAST_LOCAL
         yield pa.RecordBatch.from_arrays([pa.array(got[keep].view(np.int64)), pa.array(counts[keep])], names=["g", "n"])
+        give_back()
 
     sums = rows.select("text").mapInArrow(local, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     return _sorted_counts(sums.orderBy(F.desc("n"), "g").limit(most).toArrow())
@@ -144,7 +148,7 @@ def signatures(rows: DataFrame, common: Counts, k: int, num: int, den: int) -> D
     def make(batches):
         hashes, counts = sent.value
         for batch in batches:
-            for low, high, data, offsets in byte_slices(batch.column(2), 1 << 21):
+            for low, high, data, offsets in byte_slices(batch.column(2), SLICE):
                 words = word_bounds(data, offsets)
                 owner, found = _sets(data, k, words)
                 docs_ = high - low
@@ -164,6 +168,7 @@ def signatures(rows: DataFrame, common: Counts, k: int, num: int, den: int) -> D
                 sketch = [r.tobytes() for r in np.minimum(bins, 65535).astype("<u2")]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(prefix))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, docs_), batch.column(1).slice(low, docs_), pa.array(digests(data, *words), pa.binary()), pa.array(n), lists, pa.array(sketch, pa.binary())], names=["id", "h", "digest", "n", "prefix", "sketch"])
+        give_back()
 
     return rows.select("id", "h", "text").mapInArrow(make, "id long, h long, digest binary, n long, prefix array<long>, sketch binary")
 
@@ -219,6 +224,8 @@ def _check(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, num: int
                     sets.append(last[key])
                 keep.append(linked(*sets, num, den))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        last.clear()
+        give_back()
 
     return both.mapInArrow(verify, "a binary, b binary")
 
@@ -286,7 +293,7 @@ def _across(big: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(id, h, digest, n of all rows; (digest, name) of all classes with their component's least member)."""
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), batches_of(docs.sparkSession, BATCH):
         return _links(docs, id_col, text_col, k, num, den)
 
 

@@ -807,3 +807,16 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     codec = sentencepiece_scan.codec_of(PIECES)
     assert sorted((r["doc_id"], zlib.crc32(r["ids"])) for r in out) == sorted((r["doc_id"], brute.crc(codec.whole.encode(r["text"]))) for r in mixed.collect())
     assert [name for name, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_jaccard_join_sends_python_small_batches(spark, monkeypatch):
+    """Its Python stages get at most BATCH whole texts at once; the session's own setting is back afterwards."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    keep = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, *a, **b: seen.append(int(spark.conf.get(key))) or keep(df, *a, **b))
+    before = spark.conf.get(key)
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, words + " x"), (3, "other text")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    assert seen and max(seen) <= 500 and spark.conf.get(key) == before
