@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACES, batches_of, byte_slices, connected_components, give_back, hash_ranges, materialize, scratch, shingles, word_bounds
+from .common import _SPACES, Sieve, batches_of, byte_slices, connected_components, give_back, hash_ranges, materialize, scratch, shingles, word_bounds
 
 LOT = 24
 FREQUENT = 1 << 18
@@ -184,6 +184,11 @@ def _may_link(a, b, num: int, den: int):
     return (F.lit(den) * F.least(a["n"], b["n"]) >= F.lit(num) * F.greatest(a["n"], b["n"])) & (left >= least)
 
 
+def _some_of(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Those of texts (id, h, text) that may be among members (i, j, ...): only they are moved to meet them."""
+    return Sieve(members.select("i", "j")).met(texts, "id", "h")
+
+
 def _check(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) of classes that link: suffix filter by bins first, then on the texts' words.
 
@@ -204,10 +209,13 @@ def _check(pairs: DataFrame, texts: DataFrame, reps: DataFrame, k: int, num: int
     p = p.join(reps.select(F.col("c").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb")), "b").select("a", "b", "sa", "sb", "na", "nb")
     p = materialize(p.mapInArrow(bound, "a binary, b binary"), "jaccard-pairs")
     members = p.select(F.col("a").alias("c")).union(p.select(F.col("b").alias("c"))).distinct()
-    members = reps.select("c", F.col("id").alias("i"), F.col("h").alias("j")).join(members, "c", "left_semi")
-    own = materialize(texts.join(members, (F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).select("c", "text"), "jaccard-texts")
-    with_a = p.join(own.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(own.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    members = materialize(reps.select("c", F.col("id").alias("i"), F.col("h").alias("j")).join(members, "c", "left_semi"), "jaccard-members")
+    for x in ("a", "b"):
+        p = p.join(members.select(F.col("c").alias(x), F.col("i").alias(f"i{x}"), F.col("j").alias(f"j{x}")), x)
+    some = _some_of(texts, members)  # one shuffle of these serves both joins
+    ta, tb = some.alias("ta"), some.alias("tb")
+    with_a = p.join(ta, (F.col("ia") == F.col("ta.id")) & (F.col("ja") == F.col("ta.h"))).select("a", "b", "ib", "jb", F.col("ta.text").alias("first"))
+    both = with_a.join(tb, (F.col("ib") == F.col("tb.id")) & (F.col("jb") == F.col("tb.h"))).select("a", "b", "first", F.col("tb.text").alias("second"))
 
     def verify(batches):
         last: dict = {}
@@ -244,15 +252,15 @@ def members_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
 
 
-def _prefixes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(prefix shingles of the classes: c, n, pos, g; (g, m) of those that several classes have)."""
-    rows = reps.select("c", "n", F.posexplode("prefix").alias("pos", "g"))
-    return rows, materialize(rows.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1"), "jaccard-shared")
+def _shared(rows: DataFrame) -> DataFrame:
+    """(g, m) of the shingles of rows that several classes have."""
+    return rows.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
 
 
 def _reordered(reps: DataFrame, texts: DataFrame, common: Counts, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """_prefixes, after new prefixes for classes whose prefix holds what only turned out common over all classes."""
-    rows, counts = _prefixes(reps)
+    """(prefix shingles that several classes have: g, c, n, pos, m; reps), after new prefixes for classes whose prefix holds what only turned out common over all classes."""
+    prefixes = lambda of: of.select("c", "n", F.posexplode("prefix").alias("pos", "g"))
+    counts = materialize(_shared(prefixes(reps)), "jaccard-shared")
     for _ in range(ROUNDS):
         known = materialize(counts.filter(F.col("m") >= COMMON), "jaccard-common")
         table = known.orderBy(F.desc("m"), "g").limit(FREQUENT).select("g", F.col("m").alias("n")).toArrow()
@@ -263,14 +271,22 @@ def _reordered(reps: DataFrame, texts: DataFrame, common: Counts, k: int, num: i
         found = np.concatenate([common[0], hashes[new]])
         order = np.argsort(found)
         common = found[order], np.concatenate([common[1], table["n"].to_numpy()[new]])[order]
-        held = rows.join(F.broadcast(reps.sparkSession.createDataFrame(pa.table({"g": hashes[new].view(np.int64)}))), "g").select("c").distinct()  # at most FREQUENT
+        held = prefixes(reps).join(F.broadcast(reps.sparkSession.createDataFrame(pa.table({"g": hashes[new].view(np.int64)}))), "g").select("c").distinct()  # at most FREQUENT
         held = materialize(reps.select("c", F.col("id").alias("i"), F.col("h").alias("j")).join(held, "c", "left_semi"), "jaccard-held")
-        again = texts.join(held, (F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).select("id", "h", "text")
+        again = _some_of(texts, held).join(held, (F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).select("id", "h", "text")
         fresh = signatures(again, common, k, num, den).select(F.col("id").alias("i"), F.col("h").alias("j"), F.col("prefix").alias("other"))
-        reps = reps.join(materialize(fresh, "jaccard-fresh"), (F.col("id") == F.col("i")) & (F.col("h") == F.col("j")), "left")
-        reps = materialize(reps.select("c", "id", "h", "n", F.coalesce("other", "prefix").alias("prefix"), "sketch"), "jaccard-reps")
-        rows, counts = _prefixes(reps)
-    return materialize(rows.join(counts, "g"), "jaccard-prefixes"), reps
+        fresh = materialize(fresh, "jaccard-fresh")
+        sieve = Sieve(held.select("c"))
+        some = sieve.met(reps, "c").join(fresh, (F.col("id") == F.col("i")) & (F.col("h") == F.col("j")), "left")
+        some = materialize(some.select("c", "id", "h", "n", "prefix", "other", "sketch"), "jaccard-changed")
+        after = some.select("c", "id", "h", "n", F.coalesce("other", "prefix").alias("prefix"), "sketch")
+        # counts change for shingles in the prefixes that went or came; the others stand
+        turned = some.filter("other is not null").select(F.explode(F.concat("prefix", "other")).alias("g")).distinct()
+        reps = sieve.unmet(reps, "c").unionByName(after)
+        turned = Sieve(turned)
+        counts = materialize(turned.unmet(counts, "g").unionByName(_shared(turned.met(prefixes(reps), "g"))), "jaccard-shared")
+    shared = Sieve(counts.select("g")).met(prefixes(reps), "g")
+    return materialize(shared.join(counts, "g"), "jaccard-prefixes", out=True), reps
 
 
 def _across(big: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -297,18 +313,30 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return _links(docs, id_col, text_col, k, num, den)
 
 
-def _links(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    texts = members_of(docs, id_col, text_col)
+def _classes(texts: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, ...]:
+    """texts (id, h, text), each once; (id, h, digest, n) of all; (digest, c, i, j) of the classes; their prefix shingles as of _reordered; (c, id, h, n, sketch)."""
     common = frequent_shingles(texts, k)
-    sigs = materialize(signatures(texts, common, k, num, den), "jaccard-signatures", keep=True)
+    sigs = materialize(signatures(texts, common, k, num, den), "jaccard-signatures")
     sets = sigs.filter("n > 0 and id is not null")
-    classes = materialize(sets.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("m")).select("digest", name_of(F.col("m.id"), F.col("digest")).alias("c"), F.col("m.id").alias("i"), F.col("m.h").alias("j")), "jaccard-classes")
-    reps = sets.join(classes, "digest").filter((F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).dropDuplicates(["digest"])
-    reps = materialize(reps.select("c", "id", "h", "n", "prefix", "sketch"), "jaccard-reps")
+    classes = sets.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("m"), F.count("*").alias("copies"))
+    classes = materialize(classes.select("digest", name_of(F.col("m.id"), F.col("digest")).alias("c"), F.col("m.id").alias("i"), F.col("m.h").alias("j"), "copies"), "jaccard-classes", out=True)
+    # a document without copies is its own class's member; only the others meet their classes
+    columns = ["c", "id", "h", "n", "prefix", "sketch"]
+    copied = Sieve(classes.filter("copies > 1").select("digest"))
+    firsts = copied.met(sets, "digest").join(classes, "digest").filter((F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).dropDuplicates(["digest"])
+    alone = copied.unmet(sets, "digest").withColumn("c", name_of(F.col("id"), F.col("digest")))
+    reps = alone.select(columns).unionByName(materialize(firsts.select(columns), "jaccard-reps"))
+    sigs = materialize(sigs.select("id", "h", "digest", "n"), "jaccard-rows", keep=True)
     narrow = sigs.select("id", "h")
     if narrow.distinct().count() < sigs.count():  # whole rows that repeat are one text
-        texts = materialize(texts.dropDuplicates(["id", "h"]), "jaccard-distinct")
+        texts = materialize(texts.dropDuplicates(["id", "h"]), "jaccard-distinct", out=True)
     rows, reps = _reordered(reps, texts, common, k, num, den)
+    return texts, sigs, classes, rows, materialize(reps.select("c", "id", "h", "n", "sketch"), "jaccard-sketches", out=True)
+
+
+def _links(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    with scratch(docs.sparkSession):  # whole prefixes go when those that classes share are known
+        texts, sigs, classes, rows, reps = _classes(members_of(docs, id_col, text_col), k, num, den)
     # of a rare shingle, all classes meet; of a common one, each meets the one with the fewest shingles of its own
     small = rows.filter(F.col("m") <= LOT).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("c", "n", "pos"))).alias("all"))
     meets = small.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, F.lit(LOT)), lambda y: _may_link(x, y, num, den)), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))).alias("p")).select("p.a", "p.b")
@@ -331,7 +359,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
             if not more.isEmpty():
                 components = connected_components(links.union(more), "jaccard-components")
     named = classes.select("digest", "c").join(components, F.col("c") == F.col("node"), "left").select("digest", F.coalesce("component", "c").alias("name"))
-    return sigs.select("id", "h", "digest", "n"), materialize(named, "jaccard-named", keep=True)
+    return sigs, materialize(named, "jaccard-named", keep=True)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -347,10 +375,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     sigs, named = jaccard_links(docs, id_col, text_col, k, num, den)
     judged = sigs.filter("n > 0 and id is not null").join(named, "digest").select("id", "h", "digest", (F.col("name") == name_of(F.col("id"), F.col("digest"))).alias("first"))
     judged = materialize(judged, "jaccard-judged")
-    gone = judged.filter("not first").select(F.col("id").alias("i"), F.col("h").alias("j")).distinct()
+    gone = materialize(judged.filter("not first").select(F.col("id").alias("i"), F.col("h").alias("j")).distinct(), "jaccard-gone")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(gone, (F.col("id") == F.col("i")) & (F.col("h") == F.col("j")), "left_anti")
+    sieve = Sieve(gone)
+    kept = sieve.unmet(rows, "id", "h").unionByName(sieve.met(rows, "id", "h").join(gone, (F.col("id") == F.col("i")) & (F.col("h") == F.col("j")), "left_anti"))
     # rows of one id and the same words
     twice = judged.filter("first").groupBy("id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("id", "digest")
     twice = materialize(judged.filter("first").join(twice, ["id", "digest"]).select(F.col("id").alias("i"), F.col("h").alias("j"), "digest").distinct(), "jaccard-repeated")

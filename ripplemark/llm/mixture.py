@@ -212,9 +212,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     marks = taken.groupBy("id", "h").agg(F.collect_list(F.struct("first", "words", "pass")).alias("_taken"), words_of(0).alias("_words"), words_of(1).alias("_again"))
     marks = marks.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "_taken", "_words", "_again")
     # columns of docs go in one struct, so no name of theirs meets one of ours
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("text"))
-    out = out.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
     out = out.join(marks, F.col("i").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_h")))
+    out = out.withColumn("text", F.col("row").getField(text_col))  # after the join, through which a text goes once
     out = out.withColumn("size", F.regexp_count("text", F.lit(WORD)))
     out = out.withColumn("turn", F.explode(F.when(F.col("_again") > 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     whole = F.when(F.col("turn") == 1, F.col("_words")).otherwise(F.col("_again")) >= F.col("size")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, byte_slices, materialize, mix64, same_bytes, scratch
+from .common import Hasher, Sieve, byte_slices, materialize, mix64, same_bytes, scratch
 
 LENGTH = 100
 GRAM = 32
@@ -613,7 +613,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFra
     with scratch(docs.sparkSession):
         spans = materialize(repeated_intervals(docs, id_col, text_col, length), "suffix-spans", keep=True)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    return rows.join(spans, (F.col("k") == F.col("doc")) & (F.col("h") == F.col("tie")), "left").select("row", "spans")
+    sieve = Sieve(spans.select("doc", "tie"))
+    met = sieve.met(rows, "k", "h").join(spans, (F.col("k") == F.col("doc")) & (F.col("h") == F.col("tie")), "left").select("row", "spans")
+    return met.unionByName(sieve.unmet(rows, "k", "h").select("row", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
 
 
 def _kept(raw: bytes, spans) -> bytes:

@@ -820,3 +820,72 @@ def test_jaccard_join_sends_python_small_batches(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
     assert seen and max(seen) <= 500 and spark.conf.get(key) == before
+
+
+# ------------------------------------------------------------------ what is moved
+
+
+def moved(spark, run) -> int:
+    """Bytes that go through shuffles while run does."""
+    context = spark.sparkContext
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def written() -> int:
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        executors = context._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    spark.conf.set(key, "-1")
+    try:
+        start = written()
+        run()
+        return written() - start
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(2000)), None, "ab"[i % 2], None) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " more", None, "a", None) for i in range(3)] + [(300 + i, rows[i][1], None, "a", None) for i in range(3)]
+    return common.materialize(spark.createDataFrame(rows, DOCS), "t"), sum(len(r[1]) for r in rows)
+
+
+def test_sieve(spark):
+    keys = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id") * 7).alias("k"), F.col("id").cast("string").alias("s"))
+    sieve = common.Sieve(keys)
+    rows = spark.range(100_000).select(F.when(F.col("id") > 0, F.col("id") * 7).alias("a"), F.col("id").cast("string").alias("b"), F.lit("x").alias("k"))
+    met, unmet = sieve.met(rows, "a", "b"), sieve.unmet(rows, "a", "b")
+    assert met.columns == rows.columns and met.count() + unmet.count() == 100_000
+    assert met.filter("a is null or a < 35000").count() == 5000 and 5000 <= met.count() < 10_000
+    assert common.Sieve(keys.filter("false")).met(rows, "a", "b").isEmpty()
+    assert common.Sieve(keys).unmet(keys, "k", "s").isEmpty()
+
+
+def test_jaccard_join_moves_only_texts_that_may_link(spark, long_texts):
+    docs, size = long_texts
+    kept = []
+    assert moved(spark, lambda: kept.extend(r["doc_id"] for r in jaccard_join.keep_one(docs).select("doc_id", "text").collect())) < size / 2
+    assert sorted(kept) == list(range(120))
+
+
+def test_jaccard_join_keeps_no_prefixes(spark, long_texts, monkeypatch):
+    keep, kept = jaccard_join.materialize, []
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name, **b: kept.extend(df.columns * b.get("keep", False)) or keep(df, name, **b))
+    jaccard_join.jaccard_components(long_texts[0]).collect()
+    assert "digest" in kept and not {"prefix", "sketch", "text"} & set(kept)
+
+
+def test_repeats_move_only_texts_that_have_some(spark, long_texts):
+    docs, size = long_texts
+    got = {}
+    assert moved(spark, lambda: got.update(tuple(r) for r in suffix_dedup.without_repeats(docs).select("doc_id", "text").collect())) < 0.9 * size  # with picks and segments
+    assert got == brute.kept_texts([(r["doc_id"], r["text"]) for r in docs.collect()], 100)
+
+
+def test_mix_moves_a_text_once(spark, long_texts):
+    docs, size = long_texts
+    rows = []
+    assert moved(spark, lambda: rows.extend(mixture.mixed_documents(docs).collect())) < 1.5 * size
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
