@@ -325,7 +325,7 @@ def _classes(texts: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, .
     copied = Sieve(classes.filter("copies > 1").select("digest"))
     firsts = copied.met(sets, "digest").join(classes, "digest").filter((F.col("id") == F.col("i")) & (F.col("h") == F.col("j"))).dropDuplicates(["digest"])
     alone = copied.unmet(sets, "digest").withColumn("c", name_of(F.col("id"), F.col("digest")))
-    reps = alone.select(columns).unionByName(materialize(firsts.select(columns), "jaccard-reps"))
+    reps = materialize(alone.select(columns).unionByName(firsts.select(columns)), "jaccard-reps")  # read several times a round
     sigs = materialize(sigs.select("id", "h", "digest", "n"), "jaccard-rows", keep=True)
     narrow = sigs.select("id", "h")
     if narrow.distinct().count() < sigs.count():  # whole rows that repeat are one text

@@ -889,3 +889,18 @@ def test_mix_moves_a_text_once(spark, long_texts):
     rows = []
     assert moved(spark, lambda: rows.extend(mixture.mixed_documents(docs).collect())) < 1.5 * size
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_classes_are_told_from_copies_once(spark, long_texts, monkeypatch):
+    """Rounds of new prefixes read the classes as written, not the documents' filter again."""
+    met = []
+    keep = common.Sieve._kept
+
+    def kept(self, rows, columns, hit):
+        met.append((columns, hit, "_bits" in rows._jdf.queryExecution().optimizedPlan().toString()))
+        return keep(self, rows, columns, hit)
+
+    monkeypatch.setattr(common.Sieve, "_kept", kept)
+    jaccard_join.jaccard_components(long_texts[0]).collect()
+    assert [x for x in met if x[0] == ("digest",)] == [(("digest",), True, False), (("digest",), False, False)]
+    assert [x for x in met if x[0] == ("g",)][0] == (("g",), True, False)
