@@ -240,3 +240,32 @@ def test_paths_of_few_hops_are_the_cheapest_of_all(spark, monkeypatch):
         got = sorted(tuple(r) for r in traversal.cheapest_paths(arrows, seeds, most).collect())
         assert got == [r for r in every if r[3] <= most]
     assert any(r[3] > 3 for r in every) and not any("path'" in s for name, s in wide if name == "paths")
+
+
+def test_ranking_in_one_stage_is_that_of_the_loops(spark):
+    kinds = ["E_invoke", "E_contain", "E_inherit", "E_override", "E_invoke_candidate", "other"]
+    pairs = [(i, (i * 7 + j * j + 3) % 40) for i in range(40) for j in range(3) if i != (i * 7 + j * j + 3) % 40]
+    one = {frozenset(p): p for p in pairs}.values()  # one edge for any two nodes
+    edges = [(k, f"m{a:02}", f"m{b:02}", kinds[k % 6], [0.9, 0.5, None][k % 3]) for k, (a, b) in enumerate(one)]
+    edges += [(900, "absent", "m01", "E_invoke", 1.0), (901, "m02", "gone", "E_contain", 1.0), (902, "m03", "m03", "E_invoke", 0.9)]
+    e = spark.createDataFrame(edges, "edge_seq long, src string, dst string, edge_type string, confidence double")
+    n = spark.createDataFrame([(i, f"m{i:02}", f"f{i % 4}", f"x{i}", 1, "function") for i in range(40)], "node_seq long, node_id string, file string, name string, line int, category string")
+    seeds = spark.createDataFrame([("m00",), ("m05",), ("absent",)], "node_id string")
+    want = {r["node_id"]: r.asDict() for r in traversal.rank_impact(n, e, seeds, 4).collect()}
+    got = {r["node_id"]: r.asDict() for r in traversal.rank_linked(n, traversal.impact_links(e), seeds, 4).collect()}
+    assert len(want) > 10 and got.keys() == want.keys()
+    for k, row in want.items():
+        assert got[k].pop("impact_score") == pytest.approx(row.pop("impact_score"), abs=1e-12)
+        assert got[k] == row
+    assert traversal.rank_linked(n.union(n.limit(1)), traversal.impact_links(e), seeds, 2) is None
+
+
+def test_whole_ranking_writes_no_table_a_round(spark, sf_dir, monkeypatch):
+    from ripplemark.plans import catalogue
+
+    names, real = [], traversal.written
+    for module in (traversal, catalogue, catalogue.bridge):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or real(df, name))
+    monkeypatch.setattr(catalogue, "_RANKINGS", {})
+    catalogue._whole_ranking(spark, sf_dir)
+    assert "whole-ranking" in names and not {"ppr", "paths", "impact", "bridge-edges", "bridge-nodes"} & set(names)
