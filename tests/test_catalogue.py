@@ -7,6 +7,7 @@ import pathlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ripplemark.operators import traversal
 from ripplemark.plans import bridge, catalogue
@@ -75,6 +76,17 @@ def test_whole_ranking_takes_all_edges_and_settles(spark, sf_dir):
     assert {"E_invoke", "E_contain", "E_import", "E_invoke_candidate"} <= kinds
 
 
+def test_whole_fusion_leaves_out_only_nodes_without_scores(spark, sf_dir, monkeypatch):
+    real, given = catalogue.fusion.fuse, []
+    monkeypatch.setattr(catalogue.fusion, "fuse", lambda *a, **b: given.append(a) or real(*a, **b))
+    got = catalogue.QUERIES["hybrid_fusion_whole"](spark, sf_dir)
+    n, s, ranking, evolution, _ = given[0]
+    every = bridge.nodes(spark, sf_dir).withColumn("file", F.col("node_id"))
+    assert n.count() < every.count()
+    want = real(every, s, ranking, evolution, catalogue.fusion.lexical_scores(every, catalogue._DIFF))
+    assert sorted(got.select("rank", "node_id", "severity").collect()) == sorted(want.select("rank", "node_id", "severity").collect())
+
+
 def test_projection_of_sold_parts_needs_no_graph_on_disk(spark, sf_dir, monkeypatch):
     sold, own = bridge.edge_parts(spark, sf_dir)
     loop = spark.createDataFrame([(1, "a", "a", "k", "E_contain", 1.0), (2, "b", "b", "k", "E_invoke", 0.5)], sold.schema)
